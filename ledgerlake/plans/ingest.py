@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,15 +45,19 @@ def write_accounts(versions: DataFrame, path: str, filters: SnapshotFilters = Sn
 
 
 def write_decoded(
-    versions: DataFrame, folder: str, known: DataFrame | None, decoders: Sequence[Decoder] = DEFAULT_DECODERS
+    versions: DataFrame,
+    place: Callable[[str], str],
+    known: DataFrame | None,
+    decoders: Sequence[Decoder] = DEFAULT_DECODERS,
 ) -> list[str]:
-    """One table per decoder that has rows. Filters on accounts do not touch these tables."""
-    written = []
-    for decoder in decoders:
-        table = decoder.table(versions, known)
-        if not table.isEmpty():
-            _write_table(table, f"{folder}/{decoder.name}")
-            written.append(decoder.name)
+    """One table per decoder that has rows, at `place(name)`.
+
+    Filters on accounts do not touch these tables.
+    """
+    tables = {decoder.name: decoder.table(versions, known) for decoder in decoders}
+    written = [name for name, table in tables.items() if not table.isEmpty()]
+    for name in written:
+        _write_table(tables[name], place(name))
     return written
 
 
@@ -65,10 +69,12 @@ def publish(
     filters: SnapshotFilters = SnapshotFilters(),
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
 ) -> list[str]:
-    """All tables of a snapshot; returns the names of those written."""
+    """All tables of a snapshot, each in `folder`; returns the names of those written."""
     if not filters.include_spam and known is None:
         raise ValueError("a list of known mints is needed unless spam is included")
-    write_accounts(versions, f"{folder}/accounts", filters)
-    return ["accounts", *write_decoded(versions, folder, None if filters.include_spam else known, decoders)]
 
+    def place(name: str) -> str:
+        return f"{folder}/{name}"
 
+    write_accounts(versions, place("accounts"), filters)
+    return ["accounts", *write_decoded(versions, place, None if filters.include_spam else known, decoders)]
