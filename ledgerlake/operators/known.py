@@ -27,19 +27,15 @@ def read_known_mints(spark: SparkSession, path: str) -> DataFrame:
     return known_mints(spark.read.text(path))
 
 
-def is_small(keys: DataFrame, bound: int = BROADCAST_KEYS) -> bool:
-    """Whether a set of keys has at most `bound` rows; never counts further than that."""
-    return keys.limit(bound + 1).count() <= bound
+def only_known(rows: DataFrame, tested: Column, known: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows whose `tested` key is in `known` (distinct keys): a left semi-join.
 
-
-def only_known(rows: DataFrame, tested: Column, known: DataFrame) -> DataFrame:
-    """Rows whose `tested` key is in `known`: a left semi-join.
-
-    A small list is broadcast after its size is checked, so the rows are not
+    The list is counted first. A small one is broadcast, so the rows are not
     shuffled. A larger one is left to a shuffled join, where adaptive execution
     splits the rows of a hot key; the list has each key once.
     """
     keys = known.select(F.col("pubkey").alias("_known"))
-    if is_small(keys):
+    if known.count() <= broadcast_keys:
         keys = F.broadcast(keys)
-    return rows.withColumn("_tested", tested).join(keys, F.col("_tested") == F.col("_known"), "left_semi").drop("_tested")
+    joined = rows.withColumn("_tested", tested).join(keys, F.col("_tested") == F.col("_known"), "left_semi")
+    return joined.drop("_tested")

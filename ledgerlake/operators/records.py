@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -18,6 +18,9 @@ from ledgerlake.schemas import ACCOUNT_VERSIONS, pick
 from ledgerlake.sources.files import list_files
 from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS, register
 
+# Compressed bytes of large archives per task once their chunks are spread.
+SPREAD_BYTES = 64 << 20
+
 _CHUNK_COLUMNS = ("archive", "path", "base_offset", "content")
 
 
@@ -77,6 +80,12 @@ def spread_chunks(entries: DataFrame, tasks: int) -> DataFrame:
     return entries.repartition(tasks, "archive", "entry_no", "chunk_no")
 
 
+def too_large_for_one_task(archives: Sequence[tuple[str, int]], cores: int) -> list[tuple[str, int]]:
+    """Archives of more than two cores' fair share of all bytes."""
+    total = sum(size for _, size in archives)
+    return [(uri, size) for uri, size in archives if size * cores > 2 * total]
+
+
 def read_accounts(
     spark: SparkSession,
     path: str,
@@ -86,32 +95,41 @@ def read_accounts(
     filters: SnapshotFilters = SnapshotFilters(include_dead=True),
     kind: str = "all",
     mode: str = "FAILFAST",
-    spread: bool | None = None,
 ) -> DataFrame:
     """Account versions in the archives under `path`.
 
-    With at least half as many archives as the cluster has cores, each archive
-    is unfolded where it is decompressed: no shuffle, and only the asked
-    columns leave the task. With fewer, archives are only decompressed and cut,
-    and the chunks are spread over all cores before they are unfolded.
+    An archive is unfolded where it is decompressed: no shuffle, and only the
+    asked columns and rows leave the task. An archive too large for that, or
+    all when they are few, is only decompressed and cut in one task; its chunks
+    are spread over all cores before they are unfolded.
     """
     register(spark)
-    schema = pick(ACCOUNT_VERSIONS, *columns)
-    if spread is None:
-        archives = len(list_files(path, ARCHIVE_PATTERNS[kind]))
-        spread = archives * 2 < spark.sparkContext.defaultParallelism
-    if not spread:
-        return (
-            spark.read.format("ledger_accounts")
-            .schema(schema)
-            .options(kind=kind, mode=mode, keepData=json.dumps(kept_data(decoders)))
-            .options(**filters.reader_options())
-            .load(path)
-        )
-    entries = (
-        spark.read.format("ledger_snapshot").options(kind=kind, accountsOnly="true", mode=mode).load(path)
+    cores = spark.sparkContext.defaultParallelism
+    archives = list_files(path, ARCHIVE_PATTERNS[kind])
+    large = too_large_for_one_task(archives, cores)
+    parts = []
+    if len(large) < len(archives) or not archives:
+        small = path if not large else [uri for uri, _ in archives if uri not in dict(large)]
+        parts.append(_unfold_in_place(spark, small, columns, decoders, filters, kind, mode))
+    if large:
+        tasks = max(cores, sum(size for _, size in large) // SPREAD_BYTES)
+        uris = [uri for uri, _ in large]
+        parts.append(_unfold_spread(spark, uris, tasks, columns, decoders, filters, kind, mode))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unfold_in_place(spark, paths, columns, decoders, filters, kind, mode) -> DataFrame:
+    return (
+        spark.read.format("ledger_accounts")
+        .schema(pick(ACCOUNT_VERSIONS, *columns))
+        .options(kind=kind, mode=mode, keepData=json.dumps(kept_data(decoders)))
+        .options(**filters.reader_options())
+        .load(paths)
     )
-    tasks = spark.sparkContext.defaultParallelism
+
+
+def _unfold_spread(spark, paths, tasks, columns, decoders, filters, kind, mode) -> DataFrame:
+    entries = spark.read.format("ledger_snapshot").options(kind=kind, accountsOnly="true").load(paths)
     needed = [*columns, *(n for n in ("lamports", *filters.keys()) if n not in columns)]
     rows = unfold(
         spread_chunks(entries, tasks),

@@ -70,6 +70,10 @@ class _ArchiveReader(DataSourceReader):
         found = [f for path in self.paths for f in list_files(path, ARCHIVE_PATTERNS[self.kind])]
         return [ArchivePartition(uri, size) for uri, size in sorted(found, key=lambda f: -f[1])]
 
+    def read(self, partition: ArchivePartition | None) -> Iterator[pa.RecordBatch]:
+        # Spark asks for one read without a partition when there are none.
+        return iter(()) if partition is None else self.read_archive(partition.uri)
+
     def _batch(self, columns: list[pa.Array]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(columns, schema=self.arrow_schema)
 
@@ -102,12 +106,12 @@ class EntryReader(_ArchiveReader):
             [pa.array([row[f.name] for row in rows], type=f.type) for f in self.arrow_schema]
         )
 
-    def read(self, partition: ArchivePartition) -> Iterator[pa.RecordBatch]:
-        archive = posixpath.basename(partition.uri)
+    def read_archive(self, uri: str) -> Iterator[pa.RecordBatch]:
+        archive = posixpath.basename(uri)
         rows: list[dict] = []
         held = 0
         for chunk in read_archive(
-            partition.uri,
+            uri,
             accounts_only=self.accounts_only,
             with_content=self.with_content,
             chunk_bytes=self.chunk_bytes,
@@ -137,9 +141,9 @@ class AccountReader(_ArchiveReader):
             (bytes.fromhex(owner), length) for owner, length in json.loads(options.get("keepData", "[]"))
         ]
 
-    def read(self, partition: ArchivePartition) -> Iterator[pa.RecordBatch]:
-        archive = posixpath.basename(partition.uri)
-        for chunk in read_archive(partition.uri, accounts_only=True, chunk_bytes=self.chunk_bytes):
+    def read_archive(self, uri: str) -> Iterator[pa.RecordBatch]:
+        archive = posixpath.basename(uri)
+        for chunk in read_archive(uri, accounts_only=True, chunk_bytes=self.chunk_bytes):
             for batch in record_batches(
                 chunk.content,
                 self.names,
