@@ -81,9 +81,9 @@ def spread_chunks(entries: DataFrame, tasks: int) -> DataFrame:
 
 
 def too_large_for_one_task(archives: Sequence[tuple[str, int]], cores: int) -> list[tuple[str, int]]:
-    """Archives of more than two cores' fair share of all bytes."""
+    """Archives of more than three cores' fair share of all bytes: below that, spreading costs more than it gains."""
     total = sum(size for _, size in archives)
-    return [(uri, size) for uri, size in archives if size * cores > 2 * total]
+    return [(uri, size) for uri, size in archives if size * cores > 3 * total]
 
 
 def read_accounts(
