@@ -25,7 +25,7 @@ from ledgerlake.operators.filters import SnapshotFilters, accounts  # noqa: E402
 from ledgerlake.operators.records import read_accounts  # noqa: E402
 from ledgerlake.plans.ingest import publish, read_versions, write_versions  # noqa: E402
 from ledgerlake.plans.scratch import new_folder  # noqa: E402
-from ledgerlake.schemas import ACCOUNT_VERSIONS, ENTRIES, pick  # noqa: E402
+from ledgerlake.schemas import ACCOUNT_VERSIONS, ENTRIES, STORED_VERSIONS, pick  # noqa: E402
 from ledgerlake.sources import register  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -70,25 +70,29 @@ def main() -> None:
 
     register(spark)
     columns = ("pubkey", "lamports", "owner", "data_len", "executable", "rent_epoch")
-    account_schema = pick(ACCOUNT_VERSIONS, *columns)
+    account_schema = pick(STORED_VERSIONS, *columns)
 
     def scan(times: int) -> None:
         entries = spark.read.format("ledger_snapshot").schema(pick(ENTRIES, "is_accounts", "content"))
-        noop(entries.option("accountsOnly", "true").load([lake.archives] * times).select(F.octet_length("content")))
+        entries = entries.option("accountsOnly", "true").option("minPartitions", CPUS)
+        noop(entries.load([lake.archives] * times).select(F.octet_length("content")))
 
     def walk(times: int) -> None:
         rows = spark.read.format("ledger_accounts").schema(account_schema).option("includeDead", "false")
+        rows = rows.option("minPartitions", CPUS)
         noop(accounts(rows.load([lake.archives] * times), SnapshotFilters()))
 
     def count(times: int) -> None:
         schema = pick(ACCOUNT_VERSIONS, "executable")
-        spark.read.format("ledger_accounts").schema(schema).load([lake.archives] * times).count()
+        rows = spark.read.format("ledger_accounts").schema(schema).option("minPartitions", CPUS)
+        rows.load([lake.archives] * times).count()
 
     versions_folder = new_folder(spark, "bench-versions")
     tables_folder = new_folder(spark, "bench-tables")
 
     def versions() -> None:
-        write_versions(read_accounts(spark, lake.archives, decoders=DECODERS), versions_folder, DECODERS)
+        rows = read_accounts(spark, lake.archives, decoders=DECODERS, schema=STORED_VERSIONS)
+        write_versions(rows, versions_folder, DECODERS)
 
     def tables() -> None:
         publish(read_versions(spark, versions_folder), tables_folder, known=known)

@@ -181,7 +181,9 @@ def decoder_match(lake: Lake) -> DataFrame:
 @lake_query
 def decoder_dispatch(lake: Lake) -> DataFrame:
     return (
-        lake.versions.select(dispatch(DECODERS).alias("chosen"), "lamports")
+        lake.versions.select(
+            dispatch(DECODERS).alias("chosen"), binary.u64_of(lake.versions, "lamports").alias("lamports")
+        )
         .groupBy("chosen")
         .agg(F.count("*").alias("versions"), F.sum("lamports").cast("bigint").alias("lamports"))
     )
@@ -288,7 +290,7 @@ def u64_columns(lake: Lake) -> DataFrame:
 
 @lake_query
 def describe_accounts(lake: Lake) -> DataFrame:
-    return lake.versions.select(describe_account().alias("line"))
+    return lake.versions.select(describe_account(lake.versions).alias("line"))
 
 
 # Metrics, sinks, streaming

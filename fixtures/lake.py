@@ -14,6 +14,7 @@ from ledgerlake.operators.known import read_known_mints
 from ledgerlake.operators.records import read_accounts
 from ledgerlake.plans.ingest import publish, read_versions, write_versions
 from ledgerlake.plans.scratch import new_folder
+from ledgerlake.schemas import STORED_VERSIONS
 
 
 
@@ -60,7 +61,8 @@ class Lake:
     @cached_property
     def versions(self) -> DataFrame:
         folder = f"{self.root}/versions"
-        write_versions(read_accounts(self.spark, self.archives, decoders=DECODERS), folder, DECODERS)
+        rows = read_accounts(self.spark, self.archives, decoders=DECODERS, schema=STORED_VERSIONS)
+        write_versions(rows, folder, DECODERS)
         return read_versions(self.spark, folder)
 
     @cached_property

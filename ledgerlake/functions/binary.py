@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.schemas import KEY_BYTES, U64
@@ -54,6 +54,11 @@ def unsigned(value: Column) -> Column:
     return F.when(value >= 0, exact).otherwise((exact + F.lit(TWO_TO_64)).cast(U64))
 
 
+def u64_of(rows: DataFrame, name: str) -> Column:
+    """A u64 column as decimal(20,0), whether it is stored as that or as bits."""
+    return unsigned(F.col(name)) if dict(rows.dtypes)[name] == "bigint" else F.col(name)
+
+
 def u64(data: Column, offset: int) -> Column:
     return unsigned(i64_le(data, offset))
 

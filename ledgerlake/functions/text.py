@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.functions.base58 import to_base58
+from ledgerlake.functions.binary import u64_of
 
 
 def _four_decimals(value: float | None) -> str | None:
@@ -41,14 +42,14 @@ def format_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema])
 
 
-def describe_account() -> Column:
-    """One line of text about an account version."""
+def describe_account(versions: DataFrame) -> Column:
+    """One line of text about each account version."""
     shown = [
-        ("version", F.col("write_version")),
-        ("data_len", F.col("data_len")),
+        ("version", u64_of(versions, "write_version")),
+        ("data_len", u64_of(versions, "data_len")),
         ("pubkey", to_base58("pubkey")),
-        ("lamports", F.col("lamports")),
-        ("rent_epoch", F.col("rent_epoch")),
+        ("lamports", u64_of(versions, "lamports")),
+        ("rent_epoch", u64_of(versions, "rent_epoch")),
         ("owner", to_base58("owner")),
         ("executable", F.col("executable")),
         ("hash", to_base58("hash")),

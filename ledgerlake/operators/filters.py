@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.base58 import decode_optional
-from ledgerlake.functions.binary import key
+from ledgerlake.functions.binary import key, u64_of
 
 
 @dataclass(frozen=True)
@@ -48,9 +48,9 @@ def accounts(versions: DataFrame, filters: SnapshotFilters = SnapshotFilters())
     """The published `accounts` table: every stored version that passes, without dedupe."""
     return versions.where(filters.predicate()).select(
         "pubkey",
-        "lamports",
+        u64_of(versions, "lamports").alias("lamports"),
         "owner",
-        "data_len",
+        u64_of(versions, "data_len").alias("data_len"),
         (F.col("executable") == 1).alias("executable"),
-        "rent_epoch",
+        u64_of(versions, "rent_epoch").alias("rent_epoch"),
     )

@@ -32,23 +32,22 @@ def unfold(
     drop_malformed: bool = False,
 ) -> DataFrame:
     """Account versions held by chunks of account members (1 chunk to N rows)."""
-    names, arrow_schema = schema.names, to_arrow_schema(schema)
+    arrow_schema = to_arrow_schema(schema)
     wanted = [(d.owner, d.data_len) for d in decoders]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 archive, path, base, content = (column[row] for column in batch.columns)
-                for out in record_batches(
+                yield from record_batches(
                     content.as_buffer(),
-                    names,
+                    arrow_schema,
                     archive=archive.as_py(),
                     path=path.as_py(),
                     base_offset=base.as_py(),
                     wanted=wanted,
                     drop_malformed=drop_malformed,
-                ):
-                    yield pa.RecordBatch.from_arrays([out[n] for n in names], schema=arrow_schema)
+                )
 
     return entries.where("is_accounts").select(*_CHUNK_COLUMNS).mapInArrow(walk, schema)
 
@@ -95,6 +94,7 @@ def read_accounts(
     filters: SnapshotFilters = SnapshotFilters(include_dead=True),
     kind: str = "all",
     mode: str = "FAILFAST",
+    schema: StructType = ACCOUNT_VERSIONS,
 ) -> DataFrame:
     """Account versions in the archives under `path`.
 
@@ -102,6 +102,8 @@ def read_accounts(
     asked columns and rows leave the task. An archive too large for that, or
     all when they are few, is only decompressed and cut in one task; its chunks
     are spread over all cores before they are unfolded.
+
+    With `schema=STORED_VERSIONS` u64 columns come as bits.
     """
     register(spark)
     cores = spark.sparkContext.defaultParallelism
@@ -110,31 +112,32 @@ def read_accounts(
     parts = []
     if len(large) < len(archives) or not archives:
         small = path if not large else [uri for uri, _ in archives if uri not in dict(large)]
-        parts.append(_unfold_in_place(spark, small, columns, decoders, filters, kind, mode))
+        parts.append(_unfold_in_place(spark, small, pick(schema, *columns), decoders, filters, kind, mode))
     if large:
         tasks = max(cores, sum(size for _, size in large) // SPREAD_BYTES)
         uris = [uri for uri, _ in large]
-        parts.append(_unfold_spread(spark, uris, tasks, columns, decoders, filters, kind, mode))
+        needed = [*columns, *(n for n in ("lamports", *filters.keys()) if n not in columns)]
+        rows = _unfold_spread(spark, uris, tasks, pick(schema, *needed), decoders, kind, mode)
+        parts.append(rows.where(filters.predicate()).select(*columns))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _unfold_in_place(spark, paths, columns, decoders, filters, kind, mode) -> DataFrame:
+def _unfold_in_place(spark, paths, schema, decoders, filters, kind, mode) -> DataFrame:
     return (
         spark.read.format("ledger_accounts")
-        .schema(pick(ACCOUNT_VERSIONS, *columns))
+        .schema(schema)
         .options(kind=kind, mode=mode, keepData=json.dumps(kept_data(decoders)))
+        .option("minPartitions", spark.sparkContext.defaultParallelism)
         .options(**filters.reader_options())
         .load(paths)
     )
 
 
-def _unfold_spread(spark, paths, tasks, columns, decoders, filters, kind, mode) -> DataFrame:
+def _unfold_spread(spark, paths, tasks, schema, decoders, kind, mode) -> DataFrame:
     entries = spark.read.format("ledger_snapshot").options(kind=kind, accountsOnly="true").load(paths)
-    needed = [*columns, *(n for n in ("lamports", *filters.keys()) if n not in columns)]
-    rows = unfold(
+    return unfold(
         spread_chunks(entries, tasks),
-        pick(ACCOUNT_VERSIONS, *needed),
+        schema,
         decoders=decoders,
         drop_malformed=mode.upper() == "DROPMALFORMED",
     )
-    return rows.where(filters.predicate()).select(*columns)

@@ -5,11 +5,13 @@
 versions in the task that decompresses them, so raw bytes never cross into the
 JVM. Both read the columns of the schema they are given and no others.
 
-An archive is one compressed stream, so each is one task, largest first.
+An archive is one compressed stream and is read by one task, largest first.
+With ``minPartitions`` set, small archives are packed together into tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import posixpath
 from collections.abc import Iterator
@@ -38,11 +40,19 @@ LISTING_ROWS = 10_000
 
 @dataclass
 class ArchivePartition(InputPartition):
-    uri: str
-    size: int
+    uris: list[str]
 
     def __post_init__(self):
-        super().__init__(self.uri)
+        super().__init__(self.uris)
+
+
+def packed(archives: list[tuple[str, int]], groups: int) -> list[list[str]]:
+    """Archives in at most that many groups of about equal bytes, largest first."""
+    loads = [(0, number, []) for number in range(min(groups, len(archives)))]
+    for uri, size in sorted(archives, key=lambda a: -a[1]):
+        held, number, uris = heapq.heappop(loads)
+        heapq.heappush(loads, (held + size, number, [*uris, uri]))
+    return [uris for _, _, uris in sorted(loads, key=lambda load: -load[0])]
 
 
 def _flag(options, name: str, default: bool) -> bool:
@@ -64,18 +74,22 @@ class _ArchiveReader(DataSourceReader):
         else:
             raise ValueError("a path to archives is needed: load(path)")
         self.chunk_bytes = int(options.get("chunkBytes", DEFAULT_CHUNK))
+        self.min_partitions = int(options.get("minPartitions", 0))
+        self.max_partition_bytes = int(options.get("maxPartitionBytes", 128 << 20))
         self.drop_malformed = options.get("mode", "FAILFAST").upper() == "DROPMALFORMED"
 
     def partitions(self):
         found = [f for path in self.paths for f in list_files(path, ARCHIVE_PATTERNS[self.kind])]
-        return [ArchivePartition(uri, size) for uri, size in sorted(found, key=lambda f: -f[1])]
+        groups = len(found)
+        if self.min_partitions:
+            total = sum(size for _, size in found)
+            groups = max(self.min_partitions, -(-total // self.max_partition_bytes))
+        return [ArchivePartition(uris) for uris in packed(found, groups)]
 
     def read(self, partition: ArchivePartition | None) -> Iterator[pa.RecordBatch]:
         # Spark asks for one read without a partition when there are none.
-        return iter(()) if partition is None else self.read_archive(partition.uri)
-
-    def _batch(self, columns: list[pa.Array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(columns, schema=self.arrow_schema)
+        for uri in partition.uris if partition else ():
+            yield from self.read_archive(uri)
 
 
 class EntryReader(_ArchiveReader):
@@ -102,9 +116,8 @@ class EntryReader(_ArchiveReader):
         }
 
     def _rows_batch(self, rows: list[dict]) -> pa.RecordBatch:
-        return self._batch(
-            [pa.array([row[f.name] for row in rows], type=f.type) for f in self.arrow_schema]
-        )
+        columns = [pa.array([row[f.name] for row in rows], type=f.type) for f in self.arrow_schema]
+        return pa.RecordBatch.from_arrays(columns, schema=self.arrow_schema)
 
     def read_archive(self, uri: str) -> Iterator[pa.RecordBatch]:
         archive = posixpath.basename(uri)
@@ -144,9 +157,9 @@ class AccountReader(_ArchiveReader):
     def read_archive(self, uri: str) -> Iterator[pa.RecordBatch]:
         archive = posixpath.basename(uri)
         for chunk in read_archive(uri, accounts_only=True, chunk_bytes=self.chunk_bytes):
-            for batch in record_batches(
+            yield from record_batches(
                 chunk.content,
-                self.names,
+                self.arrow_schema,
                 archive=archive,
                 path=chunk.member.path,
                 base_offset=chunk.base_offset,
@@ -154,15 +167,15 @@ class AccountReader(_ArchiveReader):
                 drop_malformed=self.drop_malformed,
                 include_dead=self.include_dead,
                 equal=self.equal,
-            ):
-                yield self._batch([batch[name] for name in self.names])
+            )
 
 
 class LedgerSnapshot(DataSource):
     """``spark.read.format("ledger_snapshot")``: members of archives.
 
     Options: ``kind`` (all, full, incremental), ``accountsOnly``,
-    ``includeContent``, ``chunkBytes``, ``endOfArchive`` (nul, emptyName).
+    ``includeContent``, ``chunkBytes``, ``endOfArchive`` (nul, emptyName),
+    ``minPartitions``, ``maxPartitionBytes``.
     """
 
     @classmethod
@@ -179,8 +192,10 @@ class LedgerSnapshot(DataSource):
 class LedgerAccounts(DataSource):
     """``spark.read.format("ledger_accounts")``: account versions in archives.
 
-    Options: ``kind``, ``chunkBytes``, ``mode`` (FAILFAST, DROPMALFORMED),
-    ``includeDead``, ``ownerHex``, ``pubkeyHex``, ``hashHex`` and ``keepData``,
+    A u64 column asked for as bigint holds the bits of the number.
+
+    Options: ``kind``, ``chunkBytes``, ``minPartitions``,
+    ``maxPartitionBytes``, ``mode`` (FAILFAST, DROPMALFORMED), ``includeDead``, ``ownerHex``, ``pubkeyHex``, ``hashHex`` and ``keepData``,
     a JSON list of [owner hex, data length] whose record data is kept.
     """
 

@@ -21,7 +21,7 @@ from ledgerlake.operators.filters import SnapshotFilters
 from ledgerlake.operators.records import unfold
 from ledgerlake.operators.walk import record_batches
 from ledgerlake.plans.ingest import read_versions, write_accounts, write_decoded, write_versions
-from ledgerlake.schemas import ACCOUNT_VERSIONS
+from ledgerlake.schemas import STORED_VERSIONS
 from ledgerlake.sources.archive import read_archive
 from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS
 
@@ -43,31 +43,29 @@ def stream_archives(
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Account versions of whole archives as they land.
+    """Account versions (stored form) of whole archives as they land.
 
     Only paths come from the file stream: its content column is pruned, and
     each archive is decompressed in chunks by the task that has its path.
     """
-    arrow_schema = to_arrow_schema(ACCOUNT_VERSIONS)
-    names = ACCOUNT_VERSIONS.names
+    arrow_schema = to_arrow_schema(STORED_VERSIONS)
     wanted = [(d.owner, d.data_len) for d in decoders]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 for chunk in read_archive(path, accounts_only=True):
-                    for out in record_batches(
+                    yield from record_batches(
                         chunk.content,
-                        names,
+                        arrow_schema,
                         archive=posixpath.basename(path),
                         path=chunk.member.path,
                         base_offset=chunk.base_offset,
                         wanted=wanted,
-                    ):
-                        yield pa.RecordBatch.from_arrays([out[n] for n in names], schema=arrow_schema)
+                    )
 
     landed = _landed(spark, folder, ARCHIVE_PATTERNS[kind], files_per_batch)
-    return landed.select("path").mapInArrow(read, ACCOUNT_VERSIONS)
+    return landed.select("path").mapInArrow(read, STORED_VERSIONS)
 
 
 def stream_members(
@@ -77,7 +75,7 @@ def stream_members(
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Account versions of unpacked account members as they land (each below 2 GiB)."""
+    """Account versions (stored form) of unpacked account members as they land, each below 2 GiB."""
     entries = _landed(spark, folder, "*", files_per_batch).select(
         F.lit("").alias("archive"),
         "path",
@@ -85,7 +83,7 @@ def stream_members(
         F.lit(0).cast("bigint").alias("base_offset"),
         "content",
     )
-    return unfold(entries, decoders=decoders)
+    return unfold(entries, STORED_VERSIONS, decoders=decoders)
 
 
 def write_tables(

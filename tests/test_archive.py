@@ -4,7 +4,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fixtures.pack import tar_header, tar_member
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from ledgerlake.operators.walk import record_batches, record_words
+from ledgerlake.schemas import ACCOUNT_VERSIONS, pick
 from ledgerlake.sources.archive import ArchiveError, is_accounts_member, member_size, padded, read_members
 from tests.conftest import account_member, key, record, stream, tar_zst
 
@@ -97,12 +100,15 @@ def test_member_across_two_frames():
     assert chunk.content == record() * 9
 
 
+PLACE = to_arrow_schema(pick(ACCOUNT_VERSIONS, "rec_offset", "pubkey"))
+
+
 def fields(chunks):
     return [
-        (offset, key_)
+        tuple(row.values())
         for c in chunks
-        for batch in record_batches(c.content, ["rec_offset", "pubkey"], archive="", path="", base_offset=c.base_offset)
-        for offset, key_ in zip(batch["rec_offset"].to_pylist(), batch["pubkey"].to_pylist())
+        for batch in record_batches(c.content, PLACE, archive="", path="", base_offset=c.base_offset)
+        for row in batch.to_pylist()
     ]
 
 

@@ -7,6 +7,7 @@ from ledgerlake.operators import listing, records
 from ledgerlake.operators.records import corrupt_records, read_accounts, too_large_for_one_task, unfold
 from ledgerlake.schemas import ENTRIES
 from ledgerlake.sources import register
+from ledgerlake.sources.snapshot import packed
 from tests.conftest import account_member, key, record, write_archive
 from fixtures.pack import tar_member
 
@@ -26,6 +27,21 @@ def archives(tmp_path):
     return str(tmp_path)
 
 
+def test_small_archives_are_packed_into_tasks():
+    archives = [("a", 10), ("b", 100), ("c", 20), ("d", 30)]
+    assert packed(archives, 9) == [["b"], ["d"], ["c"], ["a"]]
+    assert packed(archives, 3) == [["b"], ["d"], ["c", "a"]]
+    assert packed(archives, 2) == [["b"], ["d", "c", "a"]]
+    assert packed([], 10) == []
+
+
+def test_packing_changes_no_row(spark, archives):
+    register(spark)
+    for least in (1, 2, 3, 100):
+        rows = spark.read.format("ledger_accounts").option("minPartitions", least).load(archives)
+        assert rows.count() == 151 and rows.rdd.getNumPartitions() <= max(least, 4)
+
+
 def test_kinds(spark, archives):
     assert read_accounts(spark, archives).count() == 151
     assert read_accounts(spark, archives, kind="full").count() == 150
@@ -44,7 +60,8 @@ def test_no_archives_of_a_kind(spark, tmp_path):
 def test_large_archives_are_told_by_their_share():
     assert too_large_for_one_task([("a", 10)] * 8, 8) == []
     assert too_large_for_one_task([("a", 10)] * 4, 8) == []
-    assert too_large_for_one_task([("a", 100)] + [("b", 10)] * 20, 8) == [("a", 100)]
+    assert too_large_for_one_task([("a", 100)] + [("b", 10)] * 20, 8) == []
+    assert too_large_for_one_task([("a", 100)] + [("b", 10)] * 20, 80) == [("a", 100)]
     assert too_large_for_one_task([("a", 10)], 1) == []
     assert too_large_for_one_task([("a", 10)], 8) == [("a", 10)]
     assert too_large_for_one_task([], 8) == []

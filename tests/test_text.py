@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import base58
 from ledgerlake.functions.text import describe_account, format_rows
 from ledgerlake.operators.records import read_accounts
+from ledgerlake.schemas import STORED_VERSIONS
 from tests.conftest import account_member, key, record, write_archive
 
 
@@ -31,7 +32,10 @@ def test_halves_round_to_even(spark):
 
 def test_one_line_per_account(spark, tmp_path):
     write_archive(tmp_path, "snapshot-1.tar.zst", account_member("accounts/1.1", record(executable=2, rent_epoch=2**64 - 1)))
-    line = read_accounts(spark, str(tmp_path)).select(describe_account()).first()[0]
+    decimals = read_accounts(spark, str(tmp_path))
+    bits = read_accounts(spark, str(tmp_path), schema=STORED_VERSIONS)
+    line, same = (rows.select(describe_account(rows)).first()[0] for rows in (decimals, bits))
+    assert line == same
     a, o, h = (base58.encode(key(n)) for n in "aoh")
     assert line == (
         f"version: 7, data_len: 0, pubkey: {a}, lamports: 1, rent_epoch: 18446744073709551615,"
