@@ -68,7 +68,7 @@ class Lake:
     @cached_property
     def published(self) -> str:
         folder = f"{self.root}/published"
-        publish(self.versions, folder, known=self.known)
+        publish(self.versions, lambda name: f"{folder}/{name}", known=self.known)
         return folder
 
     def table(self, name: str) -> DataFrame:

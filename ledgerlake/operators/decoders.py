@@ -122,6 +122,14 @@ def dispatch(decoders: Sequence[Decoder] = DEFAULT_DECODERS) -> Column:
     return chosen
 
 
+def first_matches(decoders: Sequence[Decoder]) -> list[Decoder]:
+    """The decoders that can be first to match: none that repeats an earlier owner and length."""
+    first: dict[tuple[bytes, int], Decoder] = {}
+    for decoder in decoders:
+        first.setdefault((decoder.owner, decoder.data_len), decoder)
+    return list(first.values())
+
+
 def kept_data(decoders: Sequence[Decoder]) -> list[tuple[str, int]]:
     """(owner hex, length) of the records whose data must be kept."""
     return [(d.owner.hex(), d.data_len) for d in decoders]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -87,7 +88,7 @@ def too_large_for_one_task(archives: Sequence[tuple[str, int]], cores: int) -> l
 
 def read_accounts(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     *,
     columns: Sequence[str] = tuple(ACCOUNT_VERSIONS.names),
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
@@ -95,6 +96,7 @@ def read_accounts(
     kind: str = "all",
     mode: str = "FAILFAST",
     schema: StructType = ACCOUNT_VERSIONS,
+    decoded_only: bool = False,
 ) -> DataFrame:
     """Account versions in the archives under `path`.
 
@@ -103,33 +105,38 @@ def read_accounts(
     all when they are few, is only decompressed and cut in one task; its chunks
     are spread over all cores before they are unfolded.
 
-    With `schema=STORED_VERSIONS` u64 columns come as bits.
+    With `schema=STORED_VERSIONS` u64 columns come as bits; with `decoded_only`
+    only records come that one of the decoders takes.
     """
     register(spark)
     cores = spark.sparkContext.defaultParallelism
-    archives = list_files(path, ARCHIVE_PATTERNS[kind])
+    paths = [path] if isinstance(path, str) else list(path)
+    archives = [found for p in paths for found in list_files(p, ARCHIVE_PATTERNS[kind])]
     large = too_large_for_one_task(archives, cores)
     parts = []
     if len(large) < len(archives) or not archives:
-        small = path if not large else [uri for uri, _ in archives if uri not in dict(large)]
-        parts.append(_unfold_in_place(spark, small, pick(schema, *columns), decoders, filters, kind, mode))
+        small = paths if not large else [uri for uri, _ in archives if uri not in dict(large)]
+        reader = _accounts_reader(spark, pick(schema, *columns), decoders, filters, kind, mode)
+        parts.append(reader.option("onlyKeptData", str(decoded_only).lower()).load(small))
     if large:
         tasks = max(cores, sum(size for _, size in large) // SPREAD_BYTES)
         uris = [uri for uri, _ in large]
-        needed = [*columns, *(n for n in ("lamports", *filters.keys()) if n not in columns)]
+        tested = ["lamports", *filters.keys(), *(("owner", "data_len") if decoded_only else ())]
+        needed = [*columns, *(n for n in dict.fromkeys(tested) if n not in columns)]
         rows = _unfold_spread(spark, uris, tasks, pick(schema, *needed), decoders, kind, mode)
+        if decoded_only:
+            rows = rows.where(reduce(or_, [d.matches() for d in decoders]))
         parts.append(rows.where(filters.predicate()).select(*columns))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _unfold_in_place(spark, paths, schema, decoders, filters, kind, mode) -> DataFrame:
+def _accounts_reader(spark, schema, decoders, filters, kind, mode) -> DataFrameReader:
     return (
         spark.read.format("ledger_accounts")
         .schema(schema)
         .options(kind=kind, mode=mode, keepData=json.dumps(kept_data(decoders)))
         .option("minPartitions", spark.sparkContext.defaultParallelism)
         .options(**filters.reader_options())
-        .load(paths)
     )
 
 

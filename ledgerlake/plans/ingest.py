@@ -1,4 +1,4 @@
-"""From archives to tables: one pass to the account versions, then cheap reads of those."""
+"""From archives to tables, straight or by way of stored account versions."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder, dispatch
+from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder, dispatch, first_matches
 from ledgerlake.operators.filters import SnapshotFilters, accounts
+from ledgerlake.operators.records import read_accounts
+from ledgerlake.schemas import ACCOUNTS, STORED_VERSIONS
 
 # How the tables are written.
 PARQUET_OPTIONS = {
@@ -44,37 +46,62 @@ def write_accounts(versions: DataFrame, path: str, filters: SnapshotFilters = Sn
     _write_table(accounts(versions, filters), path)
 
 
-def write_decoded(
-    versions: DataFrame,
-    place: Callable[[str], str],
-    known: DataFrame | None,
-    decoders: Sequence[Decoder] = DEFAULT_DECODERS,
-) -> list[str]:
-    """One table per decoder that has rows, at `place(name)`.
-
-    Filters on accounts do not touch these tables.
-    """
-    tables = {decoder.name: decoder.table(versions, known) for decoder in decoders}
+def write_decoded(tables: dict[str, DataFrame], place: Callable[[str], str]) -> list[str]:
+    """Decoded tables that have rows, each at `place(name)`; returns their names."""
     written = [name for name, table in tables.items() if not table.isEmpty()]
     for name in written:
         _write_table(tables[name], place(name))
     return written
 
 
+def _needed_known(filters: SnapshotFilters, known: DataFrame | None) -> DataFrame | None:
+    if filters.include_spam:
+        return None
+    if known is None:
+        raise ValueError("a list of known mints is needed unless spam is included")
+    return known
+
+
 def publish(
     versions: DataFrame,
-    folder: str,
+    place: Callable[[str], str],
     *,
     known: DataFrame | None = None,
     filters: SnapshotFilters = SnapshotFilters(),
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
 ) -> list[str]:
-    """All tables of a snapshot, each in `folder`; returns the names of those written."""
-    if not filters.include_spam and known is None:
-        raise ValueError("a list of known mints is needed unless spam is included")
-
-    def place(name: str) -> str:
-        return f"{folder}/{name}"
+    """All tables of stored account versions, each at `place(name)`.
 
+    Filters on accounts do not touch the decoded tables.
+    """
+    known = _needed_known(filters, known)
     write_accounts(versions, place("accounts"), filters)
-    return ["accounts", *write_decoded(versions, place, None if filters.include_spam else known, decoders)]
+    return ["accounts", *write_decoded({d.name: d.table(versions, known) for d in decoders}, place)]
+
+
+def publish_archives(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    place: Callable[[str], str],
+    *,
+    known: DataFrame | None = None,
+    filters: SnapshotFilters = SnapshotFilters(),
+    decoders: Sequence[Decoder] = DEFAULT_DECODERS,
+    kind: str = "all",
+) -> list[str]:
+    """All tables straight from archives, when the versions are not wanted for anything else.
+
+    Each table walks the archives for its own rows and columns. Decompressing
+    again costs a fraction of writing all versions first.
+    """
+    known = _needed_known(filters, known)
+
+    def read(columns: Sequence[str], **more) -> DataFrame:
+        return read_accounts(spark, path, columns=columns, kind=kind, schema=STORED_VERSIONS, **more)
+
+    write_accounts(read(ACCOUNTS.names, filters=filters), place("accounts"), filters)
+    tables = {
+        d.name: d.table(read(("pubkey", "owner", "data_len", "data"), decoders=[d], decoded_only=True), known)
+        for d in first_matches(decoders)
+    }
+    return ["accounts", *write_decoded(tables, place)]

@@ -153,6 +153,7 @@ class AccountReader(_ArchiveReader):
         self.wanted = [
             (bytes.fromhex(owner), length) for owner, length in json.loads(options.get("keepData", "[]"))
         ]
+        self.wanted_only = _flag(options, "onlyKeptData", False)
 
     def read_archive(self, uri: str) -> Iterator[pa.RecordBatch]:
         archive = posixpath.basename(uri)
@@ -167,6 +168,7 @@ class AccountReader(_ArchiveReader):
                 drop_malformed=self.drop_malformed,
                 include_dead=self.include_dead,
                 equal=self.equal,
+                wanted_only=self.wanted_only,
             )
 
 
@@ -195,8 +197,10 @@ class LedgerAccounts(DataSource):
     A u64 column asked for as bigint holds the bits of the number.
 
     Options: ``kind``, ``chunkBytes``, ``minPartitions``,
-    ``maxPartitionBytes``, ``mode`` (FAILFAST, DROPMALFORMED), ``includeDead``, ``ownerHex``, ``pubkeyHex``, ``hashHex`` and ``keepData``,
-    a JSON list of [owner hex, data length] whose record data is kept.
+    ``maxPartitionBytes``, ``mode`` (FAILFAST, DROPMALFORMED), ``includeDead``,
+    ``ownerHex``, ``pubkeyHex``, ``hashHex``, ``keepData``, a JSON list of
+    [owner hex, data length] whose record data is kept, and ``onlyKeptData`` to
+    read no other records.
     """
 
     @classmethod

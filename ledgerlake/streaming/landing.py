@@ -20,7 +20,7 @@ from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder
 from ledgerlake.operators.filters import SnapshotFilters
 from ledgerlake.operators.records import unfold
 from ledgerlake.operators.walk import record_batches
-from ledgerlake.plans.ingest import read_versions, write_accounts, write_decoded, write_versions
+from ledgerlake.plans.ingest import publish, read_versions, write_versions
 from ledgerlake.schemas import STORED_VERSIONS
 from ledgerlake.sources.archive import read_archive
 from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS
@@ -97,14 +97,17 @@ def write_tables(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Publish `accounts` and the decoded tables of a stream of versions."""
-    known = None if filters.include_spam else known
-
     def write(batch: DataFrame, number: int) -> None:
         place = f"{folder}/versions/batch={number}"
         write_versions(batch, place, decoders)
         stored = read_versions(batch.sparkSession, place)
-        write_accounts(stored, f"{folder}/accounts/batch={number}", filters)
-        write_decoded(stored, lambda name: f"{folder}/{name}/batch={number}", known, decoders)
+        publish(
+            stored,
+            lambda name: f"{folder}/{name}/batch={number}",
+            known=known,
+            filters=filters,
+            decoders=decoders,
+        )
 
     query = versions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import base58
-from ledgerlake.operators.decoders import DEFAULT_DECODERS, MINTS, OTHER, TOKEN_ACCOUNTS, Decoder, Field, dispatch, is_nft
+from ledgerlake.operators.decoders import DEFAULT_DECODERS, MINTS, OTHER, TOKEN_ACCOUNTS, Decoder, Field, dispatch, first_matches, is_nft
 from ledgerlake.operators.filters import SnapshotFilters, accounts
 from ledgerlake.operators.known import known_mints, only_known
 from ledgerlake.operators.records import read_accounts, unfold
@@ -73,6 +73,7 @@ def test_first_decoder_that_matches_wins(versions):
     rows = versions(token_program(mint_data()))
     assert rows.select(dispatch([MINTS, twin])).first()[0] == "mints"
     assert rows.select(dispatch([twin, MINTS])).first()[0] == "twin"
+    assert first_matches([twin, MINTS, TOKEN_ACCOUNTS]) == [twin, TOKEN_ACCOUNTS]
 
 
 def test_decoder_without_code(versions):

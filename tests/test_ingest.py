@@ -11,7 +11,8 @@ from ledgerlake.functions import base58
 from ledgerlake.operators.decoders import MINTS, TOKEN_ACCOUNTS
 from ledgerlake.operators.filters import SnapshotFilters, accounts
 from ledgerlake.operators.records import read_accounts
-from ledgerlake.plans.ingest import publish, write_versions
+from ledgerlake.operators import records
+from ledgerlake.plans.ingest import publish, publish_archives, write_versions
 from ledgerlake.plans.sql import query, query_text
 from ledgerlake.sources.views import open_table, register_views, view_counts
 from tests.conftest import account_member, mint_data, record, write_archive
@@ -33,7 +34,7 @@ def test_goldens(lake):
 
 def test_decoded_tables_ignore_account_filters(spark, lake, tmp_path):
     filters = SnapshotFilters(owner=base58.encode(key_of("loader")), include_spam=True)
-    assert publish(lake.versions, str(tmp_path), filters=filters) == ["accounts", "mints", "token_accounts"]
+    assert publish(lake.versions, lambda name: f"{tmp_path}/{name}", filters=filters) == ["accounts", "mints", "token_accounts"]
     assert open_table(spark, str(tmp_path), "accounts").count() == 10
     mints = open_table(spark, str(tmp_path), "mints")
     assert mints.count() == 200
@@ -42,14 +43,33 @@ def test_decoded_tables_ignore_account_filters(spark, lake, tmp_path):
 
 
 def test_spam_does_not_touch_accounts(lake, tmp_path, spark):
-    publish(lake.versions, str(tmp_path), filters=SnapshotFilters(include_spam=True))
+    publish(lake.versions, lambda name: f"{tmp_path}/{name}", filters=SnapshotFilters(include_spam=True))
     assert open_table(spark, str(tmp_path), "accounts").count() == lake.table("accounts").count()
     assert open_table(spark, str(tmp_path), "mints").count() == 200
 
 
+@pytest.mark.parametrize("large", [[], [0, 2]])
+def test_straight_from_archives_gives_the_same_tables(spark, lake, tmp_path, monkeypatch, large):
+    monkeypatch.setattr(records, "too_large_for_one_task", lambda found, cores: [found[n] for n in large])
+
+    def place(name):
+        return f"{tmp_path}/{name}"
+
+    written = publish_archives(spark, lake.archives, place, known=lake.known)
+    assert written == ["accounts", "mints", "token_accounts"]
+    for name in written:
+        straight, stored = spark.read.parquet(place(name)), lake.table(name)
+        assert straight.schema == stored.schema
+        assert straight.exceptAll(stored).isEmpty() and stored.exceptAll(straight).isEmpty()
+    some = SnapshotFilters(owner=base58.encode(key_of("loader")), include_spam=True)
+    publish_archives(spark, lake.archives, place, filters=some, kind="full")
+    assert spark.read.parquet(place("accounts")).count() == 8
+    assert spark.read.parquet(place("mints")).count() == 150
+
+
 def test_known_list_is_needed(lake, tmp_path):
     with pytest.raises(ValueError, match="known mints"):
-        publish(lake.versions, str(tmp_path))
+        publish(lake.versions, lambda name: f"{tmp_path}/{name}")
 
 
 def test_file_format(lake):
@@ -74,7 +94,7 @@ def test_tables_without_rows(spark, tmp_path):
     write_archive(tmp_path, "snapshot-1.tar.zst", account_member("accounts/1.1", record(lamports=0)))
     write_versions(read_accounts(spark, str(tmp_path)), f"{tmp_path}/versions")
     versions = spark.read.parquet(f"{tmp_path}/versions")
-    written = publish(versions, f"{tmp_path}/out", filters=SnapshotFilters(include_spam=True))
+    written = publish(versions, lambda name: f"{tmp_path}/out/{name}", filters=SnapshotFilters(include_spam=True))
     assert written == ["accounts"]
     assert [tuple(r) for r in view_counts(spark, f"{tmp_path}/out").collect()] == [("accounts", 0)]
     assert set(register_views(spark, f"{tmp_path}/out")) == {"accounts"}
@@ -88,7 +108,7 @@ def test_sql_text(spark, tmp_path):
     data = mint_data(supply=2**64 - 1, authority=(0, bytes(32)))
     write_archive(tmp_path, "snapshot-1.tar.zst", account_member("accounts/1.1", record(owner=TOKEN_PROGRAM, data=data)))
     write_versions(read_accounts(spark, str(tmp_path)), f"{tmp_path}/versions")
-    publish(spark.read.parquet(f"{tmp_path}/versions"), f"{tmp_path}/out", filters=SnapshotFilters(include_spam=True))
+    publish(spark.read.parquet(f"{tmp_path}/versions"), lambda name: f"{tmp_path}/out/{name}", filters=SnapshotFilters(include_spam=True))
     sql = "SELECT a.owner, m.supply, m.mint_authority FROM accounts a JOIN mints m ON a.pubkey = m.pubkey"
     assert query(spark, f"{tmp_path}/out", sql).first().supply == 2**64 - 1
     text = query_text(spark, f"{tmp_path}/out", sql).first()
