@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder, dispatch, first_matches
 from ledgerlake.operators.filters import SnapshotFilters, accounts
@@ -46,14 +47,6 @@ def write_accounts(versions: DataFrame, path: str, filters: SnapshotFilters = Sn
     _write_table(accounts(versions, filters), path)
 
 
-def write_decoded(tables: dict[str, DataFrame], place: Callable[[str], str]) -> list[str]:
-    """Decoded tables that have rows, each at `place(name)`; returns their names."""
-    written = [name for name, table in tables.items() if not table.isEmpty()]
-    for name in written:
-        _write_table(tables[name], place(name))
-    return written
-
-
 def _needed_known(filters: SnapshotFilters, known: DataFrame | None) -> DataFrame | None:
     if filters.include_spam:
         return None
@@ -69,14 +62,15 @@ def publish(
     known: DataFrame | None = None,
     filters: SnapshotFilters = SnapshotFilters(),
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
-) -> list[str]:
+) -> None:
     """All tables of stored account versions, each at `place(name)`.
 
     Filters on accounts do not touch the decoded tables.
     """
     known = _needed_known(filters, known)
     write_accounts(versions, place("accounts"), filters)
-    return ["accounts", *write_decoded({d.name: d.table(versions, known) for d in decoders}, place)]
+    for decoder in decoders:
+        _write_table(decoder.table(versions, known), place(decoder.name))
 
 
 def publish_archives(
@@ -88,7 +82,7 @@ def publish_archives(
     filters: SnapshotFilters = SnapshotFilters(),
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
     kind: str = "all",
-) -> list[str]:
+) -> None:
     """All tables straight from archives, when the versions are not wanted for anything else.
 
     Each table walks the archives for its own rows and columns. Decompressing
@@ -100,8 +94,7 @@ def publish_archives(
         return read_accounts(spark, path, columns=columns, kind=kind, schema=STORED_VERSIONS, **more)
 
     write_accounts(read(ACCOUNTS.names, filters=filters), place("accounts"), filters)
-    tables = {
-        d.name: d.table(read(("pubkey", "owner", "data_len", "data"), decoders=[d], decoded_only=True), known)
-        for d in first_matches(decoders)
-    }
-    return ["accounts", *write_decoded(tables, place)]
+    for decoder in first_matches(decoders):
+        rows = read(("pubkey", "data"), decoders=[decoder], decoded_only=True)
+        rows = rows.withColumn("decoder", F.lit(decoder.name))
+        _write_table(decoder.table(rows, known), place(decoder.name))

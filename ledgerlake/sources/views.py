@@ -23,9 +23,16 @@ def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
 
 
 def register_views(spark: SparkSession, folder: str, names: Sequence[str] = TABLES) -> dict[str, DataFrame]:
-    """A temporary view per table that is there; missing tables are left out."""
+    """A temporary view per table that is there.
+
+    Missing tables are left out, and so are decoded tables without rows.
+    """
     found = {name: open_table(spark, folder, name) for name in names}
-    views = {name: table for name, table in found.items() if table is not None}
+    views = {
+        name: table
+        for name, table in found.items()
+        if table is not None and (name == "accounts" or not table.isEmpty())
+    }
     for name, table in views.items():
         table.createOrReplaceTempView(name)
     return views

@@ -34,7 +34,7 @@ def test_goldens(lake):
 
 def test_decoded_tables_ignore_account_filters(spark, lake, tmp_path):
     filters = SnapshotFilters(owner=base58.encode(key_of("loader")), include_spam=True)
-    assert publish(lake.versions, lambda name: f"{tmp_path}/{name}", filters=filters) == ["accounts", "mints", "token_accounts"]
+    publish(lake.versions, lambda name: f"{tmp_path}/{name}", filters=filters)
     assert open_table(spark, str(tmp_path), "accounts").count() == 10
     mints = open_table(spark, str(tmp_path), "mints")
     assert mints.count() == 200
@@ -55,9 +55,8 @@ def test_straight_from_archives_gives_the_same_tables(spark, lake, tmp_path, mon
     def place(name):
         return f"{tmp_path}/{name}"
 
-    written = publish_archives(spark, lake.archives, place, known=lake.known)
-    assert written == ["accounts", "mints", "token_accounts"]
-    for name in written:
+    publish_archives(spark, lake.archives, place, known=lake.known)
+    for name in ("accounts", "mints", "token_accounts"):
         straight, stored = spark.read.parquet(place(name)), lake.table(name)
         assert straight.schema == stored.schema
         assert straight.exceptAll(stored).isEmpty() and stored.exceptAll(straight).isEmpty()
@@ -94,8 +93,7 @@ def test_tables_without_rows(spark, tmp_path):
     write_archive(tmp_path, "snapshot-1.tar.zst", account_member("accounts/1.1", record(lamports=0)))
     write_versions(read_accounts(spark, str(tmp_path)), f"{tmp_path}/versions")
     versions = spark.read.parquet(f"{tmp_path}/versions")
-    written = publish(versions, lambda name: f"{tmp_path}/out/{name}", filters=SnapshotFilters(include_spam=True))
-    assert written == ["accounts"]
+    publish(versions, lambda name: f"{tmp_path}/out/{name}", filters=SnapshotFilters(include_spam=True))
     assert [tuple(r) for r in view_counts(spark, f"{tmp_path}/out").collect()] == [("accounts", 0)]
     assert set(register_views(spark, f"{tmp_path}/out")) == {"accounts"}
 
