@@ -25,9 +25,10 @@ from ledgerlake.operators.records import read_accounts
 from ledgerlake.plans.scratch import new_folder
 from ledgerlake.plans.sql import query
 from ledgerlake.schemas import ACCOUNT_VERSIONS, ENTRIES, TOKEN_PROGRAM
-from ledgerlake.sources.snapshot import register
+from ledgerlake.sources.files import list_files
+from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS, register
 from ledgerlake.sources.views import view_counts as count_views
-from ledgerlake.streaming.landing import stream_archives, write_tables
+from ledgerlake.streaming.landing import publish_arriving_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -299,9 +300,10 @@ def describe_accounts(lake: Lake) -> DataFrame:
 @lake_query
 def run_metrics(lake: Lake) -> DataFrame:
     passing = lake.versions.where(SnapshotFilters().predicate())
-    packed = lake.spark.read.parquet(f"{lake.root}/packed")
-    size = packed.agg(F.sum("account_bytes")).first()[0]
-    run = measured_run(lake.spark, passing, lambda rows: rows.write.format("noop").mode("overwrite").save(), size)
+    compressed = sum(size for _, size in list_files(lake.archives, ARCHIVE_PATTERNS["all"]))
+    run = measured_run(
+        lake.spark, passing, lambda rows: rows.write.format("noop").mode("overwrite").save(), compressed
+    )
     return run.select("rows_parsed", "record_bytes")
 
 
@@ -325,9 +327,9 @@ def sink_round_trip(lake: Lake) -> DataFrame:
 @lake_query
 def stream_accounts(lake: Lake) -> DataFrame:
     out = new_folder(lake.spark, "streamed")
-    # Batches of many archives: a failure repeats one batch, not the whole run.
-    versions = stream_archives(lake.spark, lake.archives, files_per_batch=2048)
-    write_tables(versions, f"{out}/tables", f"{out}/progress", known=lake.known).awaitTermination()
+    publish_arriving_archives(
+        lake.spark, lake.archives, f"{out}/tables", f"{out}/progress", known=lake.known
+    ).awaitTermination()
     return shown(lake.spark.read.parquet(f"{out}/tables/accounts").drop("batch"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ledgerlake.plans.scratch import new_folder
 
 HOT_ROWS = 4_000_000
+RANGES_PER_HOT_ROWS = 4
 
 
 @dataclass(frozen=True)
@@ -89,13 +90,15 @@ def _moved(measure: Measure) -> Column:
             return F.when(F.col("_first"), carried).otherwise(own)
 
 
-def _hot(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: Sequence[Measure]) -> DataFrame:
+def _hot(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: Sequence[Measure], ranges: int
+) -> DataFrame:
     spark = rows.sparkSession
     folder = new_folder(spark, "ordered")
     # The row id parts equal rows, so that copies can fall into several ranges.
     (
         rows.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(*keys, *order, "_tie")
+        .repartitionByRange(ranges, *keys, *order, "_tie")
         .sortWithinPartitions(*keys, *order, "_tie")
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id())
@@ -106,15 +109,16 @@ def _hot(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], measures
     placed = spark.read.parquet(folder)
     sums = [F.sum(m.of).alias(f"_{m.name}") for m in measures if isinstance(m, RunningSum)]
     lasts = [F.max_by(m.of, "_place").alias(f"_{m.name}") for m in measures if isinstance(m, Previous)]
-    ranges = W.partitionBy(*keys).orderBy("_range")
+    in_turn = W.partitionBy(*keys).orderBy("_range")
     carried = (
         placed.groupBy("_range", *keys)
         .agg(F.count("*").alias("_rows"), *sums, *lasts)
-        .select("_range", *keys, *[_carried(m, ranges).alias(f"_carried_{m.name}") for m in measures])
+        .select("_range", *keys, *[_carried(m, in_turn).alias(f"_carried_{m.name}") for m in measures])
     )
     inside = W.partitionBy("_range", *keys).orderBy("_place")
     numbered = _with_plain(placed, measures, inside).withColumn("_first", F.row_number().over(inside) == 1)
-    # One row per range and hot key in it: at most ranges + hot keys.
+    # One row per range and hot key in it: at most ranges + hot keys, which is
+    # (RANGES_PER_HOT_ROWS + 1) / hot_rows of all rows.
     place = ["_range", *keys]
     joined = numbered.join(F.broadcast(_apart(carried, place)), _same(place), "left")
     return joined.select(*rows.columns, *[_moved(m).alias(m.name) for m in measures])
@@ -130,13 +134,15 @@ def measured(
 ) -> DataFrame:
     """The rows with each measure over (partition by keys order by order)."""
     window = W.partitionBy(*keys).orderBy(*order)
-    hot_keys = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).drop("count")
-    if hot_keys.isEmpty():
+    folder = new_folder(rows.sparkSession, "hot-keys")
+    rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).write.parquet(folder)
+    found = rows.sparkSession.read.parquet(folder)
+    hot_total = found.agg(F.sum("_rows")).first()[0]
+    if not hot_total:
         return _with_plain(rows, measures, window)
+    ranges = -(-hot_total * RANGES_PER_HOT_ROWS // hot_rows)
     # Each hot key has more than hot_rows rows, so there are few of them.
-    folder = new_folder(rows.sparkSession, "hot-keys")
-    hot_keys.write.parquet(folder)
-    hot_keys = F.broadcast(_apart(rows.sparkSession.read.parquet(folder), keys))
+    hot_keys = F.broadcast(_apart(found.drop("_rows"), keys))
     cold = rows.join(hot_keys, _same(keys), "left_anti")
     hot = rows.join(hot_keys, _same(keys), "left_semi")
-    return _with_plain(cold, measures, window).unionByName(_hot(hot, keys, order, measures))
+    return _with_plain(cold, measures, window).unionByName(_hot(hot, keys, order, measures, ranges))

@@ -1,82 +1,86 @@
 """Snapshots that keep arriving: archives or unpacked account members in a landing folder.
 
 Spark's file stream keeps the list of files already taken. Each micro-batch
-rewrites its own folder of every table, so a batch that is run again after a
+writes its own folder of every table, so a batch that is run again after a
 failure replaces its output and adds nothing twice.
 """
 
 from __future__ import annotations
 
-import posixpath
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder
 from ledgerlake.operators.filters import SnapshotFilters
 from ledgerlake.operators.records import unfold
-from ledgerlake.operators.walk import record_batches
-from ledgerlake.plans.ingest import publish, read_versions, write_versions
+from ledgerlake.plans.ingest import publish, publish_archives, read_versions, write_versions
 from ledgerlake.schemas import STORED_VERSIONS
-from ledgerlake.sources.archive import read_archive
 from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+FILES_PER_BATCH = 1_000
 
 
-def _landed(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None) -> DataFrame:
-    stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", pattern)
-    if files_per_batch:
-        stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    return stream.load(folder)
+def _landed(spark: SparkSession, folder: str, pattern: str, files_per_batch: int) -> DataFrame:
+    return (
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder)
+    )
+
+
+def _start(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, now: bool) -> StreamingQuery:
+    query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if now else query).start()
+
+
+def _batch_place(folder: str, number: int) -> Callable[[str], str]:
+    return lambda name: f"{folder}/{name}/batch={number}"
 
 
-def stream_archives(
+def publish_arriving_archives(
     spark: SparkSession,
+    landing: str,
     folder: str,
+    checkpoint: str,
     *,
-    kind: str = "all",
+    known: DataFrame | None = None,
+    filters: SnapshotFilters = SnapshotFilters(),
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
-    files_per_batch: int | None = None,
-) -> DataFrame:
-    """Account versions (stored form) of whole archives as they land.
+    kind: str = "all",
+    files_per_batch: int = FILES_PER_BATCH,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Publish all tables of archives as they land.
 
-    Only paths come from the file stream: its content column is pruned, and
-    each archive is decompressed in chunks by the task that has its path.
+    The stream carries file names only: at most `files_per_batch` of them reach
+    the driver, and their archives are then read like any others.
     """
-    arrow_schema = to_arrow_schema(STORED_VERSIONS)
-    wanted = [(d.owner, d.data_len) for d in decoders]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                for chunk in read_archive(path, accounts_only=True):
-                    yield from record_batches(
-                        chunk.content,
-                        arrow_schema,
-                        archive=posixpath.basename(path),
-                        path=chunk.member.path,
-                        base_offset=chunk.base_offset,
-                        wanted=wanted,
-                    )
-
-    landed = _landed(spark, folder, ARCHIVE_PATTERNS[kind], files_per_batch)
-    return landed.select("path").mapInArrow(read, STORED_VERSIONS)
+    paths = _landed(spark, landing, ARCHIVE_PATTERNS[kind], files_per_batch).select("path")
+
+    def write(batch: DataFrame, number: int) -> None:
+        arrived = [row.path for row in batch.collect()]
+        if arrived:
+            place = _batch_place(folder, number)
+            publish_archives(spark, arrived, place, known=known, filters=filters, decoders=decoders)
+
+    return _start(paths, write, checkpoint, available_now)
 
 
 def stream_members(
     spark: SparkSession,
-    folder: str,
+    landing: str,
     *,
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
     """Account versions (stored form) of unpacked account members as they land, each below 2 GiB."""
-    entries = _landed(spark, folder, "*", files_per_batch).select(
+    entries = _landed(spark, landing, "*", files_per_batch).select(
         F.lit("").alias("archive"),
         "path",
         F.lit(True).alias("is_accounts"),
@@ -86,7 +90,7 @@ def stream_members(
     return unfold(entries, STORED_VERSIONS, decoders=decoders)
 
 
-def write_tables(
+def publish_versions(
     versions: DataFrame,
     folder: str,
     checkpoint: str,
@@ -96,18 +100,12 @@ def write_tables(
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Publish `accounts` and the decoded tables of a stream of versions."""
+    """Publish all tables of a stream of account versions, which are stored with them."""
+
     def write(batch: DataFrame, number: int) -> None:
-        place = f"{folder}/versions/batch={number}"
-        write_versions(batch, place, decoders)
-        stored = read_versions(batch.sparkSession, place)
-        publish(
-            stored,
-            lambda name: f"{folder}/{name}/batch={number}",
-            known=known,
-            filters=filters,
-            decoders=decoders,
-        )
-
-    query = versions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (query.trigger(availableNow=True) if available_now else query).start()
+        place = _batch_place(folder, number)
+        write_versions(batch, place("versions"), decoders)
+        stored = read_versions(batch.sparkSession, place("versions"))
+        publish(stored, place, known=known, filters=filters, decoders=decoders)
+
+    return _start(versions, write, checkpoint, available_now)

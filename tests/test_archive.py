@@ -135,5 +135,13 @@ def test_overrun_in_a_member_larger_than_a_chunk():
     assert chunks[-1].member.path == "accounts/2.2" and chunks[-1].content == record()
 
 
+def test_window_beyond_the_default_limit():
+    options = zstandard.ZstdCompressionParameters.from_level(1, window_log=28)
+    codec = zstandard.ZstdCompressor(compression_params=options).compressobj()
+    data = codec.compress(account_member("accounts/1.1", record()) + bytes(1024)) + codec.flush()
+    assert zstandard.get_frame_parameters(data).window_size == 2**28
+    assert [c.content for c in members(data)] == [record()]
+
+
 def test_padding():
     assert [padded(n) for n in (0, 1, 512, 513)] == [0, 512, 512, 1024]

@@ -5,7 +5,7 @@ import pytest
 from ledgerlake.operators.filters import SnapshotFilters, accounts
 from ledgerlake.operators.decoders import MINTS, TOKEN_ACCOUNTS
 from ledgerlake.operators.records import read_accounts
-from ledgerlake.streaming.landing import stream_archives, stream_members, write_tables
+from ledgerlake.streaming.landing import publish_arriving_archives, publish_versions, stream_members
 from ledgerlake.schemas import TOKEN_PROGRAM
 from tests.conftest import account_member, key, mint_data, record, token_data, write_archive
 
@@ -23,7 +23,7 @@ def rows(table):
     return sorted(map(tuple, table.collect()), key=repr)
 
 
-@pytest.mark.parametrize("files_per_batch", [None, 1])
+@pytest.mark.parametrize("files_per_batch", [1000, 1])
 def test_archives_that_arrive_over_time(spark, tmp_path, files_per_batch):
     landing = tmp_path / "landing"
     landing.mkdir()
@@ -31,8 +31,9 @@ def test_archives_that_arrive_over_time(spark, tmp_path, files_per_batch):
     known = spark.createDataFrame([(bytearray(key("m0")),)], "pubkey binary")
 
     def run():
-        versions = stream_archives(spark, str(landing), files_per_batch=files_per_batch)
-        write_tables(versions, out, progress, known=known).awaitTermination()
+        publish_arriving_archives(
+            spark, str(landing), out, progress, known=known, files_per_batch=files_per_batch
+        ).awaitTermination()
 
     for n in range(2):
         write_archive(landing, f"snapshot-{n}.tar.zst", account_member(f"accounts/{n}.{n}", *snapshot(n)))
@@ -57,7 +58,7 @@ def test_unpacked_members(spark, tmp_path):
         (landing / f"{n}.{n}").write_bytes(b"".join(snapshot(n)) + bytes(40))
     out = f"{tmp_path}/out"
     filters = SnapshotFilters(include_dead=True, include_spam=True)
-    write_tables(stream_members(spark, str(landing)), out, f"{tmp_path}/progress", filters=filters).awaitTermination()
+    publish_versions(stream_members(spark, str(landing)), out, f"{tmp_path}/progress", filters=filters).awaitTermination()
     assert spark.read.parquet(f"{out}/accounts").count() == 12
     assert spark.read.parquet(f"{out}/mints").count() == 3
     assert spark.read.parquet(f"{out}/token_accounts").count() == 3
