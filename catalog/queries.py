@@ -19,7 +19,7 @@ from ledgerlake.operators import listing, ranking
 from ledgerlake.operators.decoders import MINTS, TOKEN_ACCOUNTS, dispatch, is_nft
 from ledgerlake.operators.filters import SnapshotFilters, accounts
 from ledgerlake.operators.known import read_known_mints
-from ledgerlake.operators.metrics import measured_run
+from ledgerlake.operators.metrics import RunClock
 from ledgerlake.operators.ordered import Previous, RowNumber, RunningSum, measured
 from ledgerlake.operators.records import read_accounts
 from ledgerlake.plans.scratch import new_folder
@@ -299,12 +299,11 @@ def describe_accounts(lake: Lake) -> DataFrame:
 
 @lake_query
 def run_metrics(lake: Lake) -> DataFrame:
-    passing = lake.versions.where(SnapshotFilters().predicate())
+    passing = accounts(lake.versions)
     compressed = sum(size for _, size in list_files(lake.archives, ARCHIVE_PATTERNS["all"]))
-    run = measured_run(
-        lake.spark, passing, lambda rows: rows.write.format("noop").mode("overwrite").save(), compressed
-    )
-    return run.select("rows_parsed", "record_bytes")
+    clock = RunClock()
+    clock.watch(passing).write.format("noop").mode("overwrite").save()
+    return clock.summary(lake.spark, compressed).select("rows_parsed", "record_bytes")
 
 
 @lake_query

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,35 +16,31 @@ def record_size() -> Column:
     return align(F.col("data_len").cast("bigint") + RECORD_HEADER_BYTES, 8)
 
 
-def observe_rows(rows: DataFrame, observation: Observation) -> DataFrame:
-    """Count rows and their record bytes on the way through."""
-    return rows.observe(
-        observation,
-        F.count(F.lit(1)).alias("rows_parsed"),
-        F.coalesce(F.sum(record_size()), F.lit(0)).alias("record_bytes"),
-    )
-
-
-def measured_run(spark: SparkSession, rows: DataFrame, write: Callable[[DataFrame], None], compressed_bytes: int) -> DataFrame:
-    """Run `write` over the rows and give one row of figures about it.
-
-    `rows_parsed` counts rows that passed the filters; `mb_per_s` divides
-    compressed bytes by 10^6 and by the seconds taken.
-    """
-    observation = Observation()
-    begin = time.monotonic()
-    write(observe_rows(rows, observation))
-    seconds = time.monotonic() - begin
-    seen = observation.get
-    return spark.createDataFrame(
-        [
-            (
-                seen["rows_parsed"],
-                seen["record_bytes"],
-                compressed_bytes,
-                seconds,
-                compressed_bytes / 1e6 / max(seconds, 1e-9),
-            )
-        ],
-        "rows_parsed bigint, record_bytes bigint, compressed_bytes bigint, seconds double, mb_per_s double",
-    )
+class RunClock:
+    """Times a run from here on and counts the accounts it writes."""
+
+    def __init__(self):
+        self.observation = Observation()
+        self.begin = time.monotonic()
+
+    def watch(self, accounts: DataFrame) -> DataFrame:
+        """The same rows, counted on the way through with their record bytes."""
+        return accounts.observe(
+            self.observation,
+            F.count(F.lit(1)).alias("rows_parsed"),
+            F.coalesce(F.sum(record_size()), F.lit(0)).alias("record_bytes"),
+        )
+
+    def summary(self, spark: SparkSession, compressed_bytes: int) -> DataFrame:
+        """One row of figures, after the watched rows were written.
+
+        `rows_parsed` counts rows that passed the filters; `mb_per_s` divides
+        compressed bytes by 10^6 and by the seconds taken.
+        """
+        seconds = time.monotonic() - self.begin
+        seen = self.observation.get
+        rate = compressed_bytes / 1e6 / max(seconds, 1e-9)
+        return spark.createDataFrame(
+            [(seen["rows_parsed"], seen["record_bytes"], compressed_bytes, seconds, rate)],
+            "rows_parsed bigint, record_bytes bigint, compressed_bytes bigint, seconds double, mb_per_s double",
+        )

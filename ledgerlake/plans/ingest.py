@@ -42,9 +42,14 @@ def _write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").options(**PARQUET_OPTIONS).parquet(path)
 
 
-def write_accounts(versions: DataFrame, path: str, filters: SnapshotFilters = SnapshotFilters()) -> None:
-    """The `accounts` table; it is there even when no account passes."""
-    _write_table(accounts(versions, filters), path)
+def write_accounts(
+    versions: DataFrame,
+    path: str,
+    filters: SnapshotFilters = SnapshotFilters(),
+    watch: Callable[[DataFrame], DataFrame] = lambda table: table,
+) -> None:
+    """The `accounts` table; it is there even when no account passes. `watch` may count its rows."""
+    _write_table(watch(accounts(versions, filters)), path)
 
 
 def _needed_known(filters: SnapshotFilters, known: DataFrame | None) -> DataFrame | None:
@@ -82,6 +87,7 @@ def publish_archives(
     filters: SnapshotFilters = SnapshotFilters(),
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
     kind: str = "all",
+    watch: Callable[[DataFrame], DataFrame] = lambda table: table,
 ) -> None:
     """All tables straight from archives, when the versions are not wanted for anything else.
 
@@ -93,7 +99,7 @@ def publish_archives(
     def read(columns: Sequence[str], **more) -> DataFrame:
         return read_accounts(spark, path, columns=columns, kind=kind, schema=STORED_VERSIONS, **more)
 
-    write_accounts(read(ACCOUNTS.names, filters=filters), place("accounts"), filters)
+    write_accounts(read(ACCOUNTS.names, filters=filters), place("accounts"), filters, watch)
     for decoder in first_matches(decoders):
         rows = read(("pubkey", "data"), decoders=[decoder], decoded_only=True)
         rows = rows.withColumn("decoder", F.lit(decoder.name))
