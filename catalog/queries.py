@@ -313,7 +313,7 @@ def sink_round_trip(lake: Lake) -> DataFrame:
             F.lit(name).alias("name"),
             F.count("*").alias("rows"),
             F.sum(of).cast("string").alias("total"),
-            F.max(_hex(key)).alias("last_key"),
+            _hex(F.max(key)).alias("last_key"),
         )
 
     return (
@@ -394,13 +394,14 @@ def _total(column: str) -> Column:
 
 @lake_query
 def sql_top_holders(lake: Lake) -> DataFrame:
-    return (
+    top = (
         lake.table("token_accounts")
-        .groupBy(_hex("owner").alias("owner"))
+        .groupBy("owner")
         .agg(_total("amount").alias("amount"), F.count("*").alias("accounts"))
         .orderBy(F.desc("amount"), "owner")
         .limit(20)
     )
+    return shown(top)
 
 
 @lake_query
@@ -452,16 +453,13 @@ def sql_wallet_balances(lake: Lake) -> DataFrame:
 
 @lake_query
 def sql_distinct_holders(lake: Lake) -> DataFrame:
-    return lake.table("token_accounts").groupBy(_hex("mint").alias("mint")).agg(
-        F.count_distinct("owner").alias("holders")
-    )
+    return shown(lake.table("token_accounts").groupBy("mint").agg(F.count_distinct("owner").alias("holders")))
 
 
 @lake_query
 def sql_approx_holders(lake: Lake) -> DataFrame:
-    return lake.table("token_accounts").groupBy(_hex("mint").alias("mint")).agg(
-        F.approx_count_distinct("owner").alias("holders")
-    )
+    held = lake.table("token_accounts")
+    return shown(held.groupBy("mint").agg(F.approx_count_distinct("owner").alias("holders")))
 
 
 @lake_query
@@ -481,9 +479,9 @@ def sql_cube_accounts(lake: Lake) -> DataFrame:
     return query(
         lake.spark,
         lake.published,
-        """SELECT lower(hex(owner)) AS owner, executable, count(*) AS accounts,
-                  CAST(sum(lamports) AS BIGINT) AS lamports
-           FROM accounts GROUP BY CUBE (lower(hex(owner)), executable)""",
+        """SELECT lower(hex(owner)) AS owner, executable, accounts, lamports FROM (
+             SELECT owner, executable, count(*) AS accounts, CAST(sum(lamports) AS BIGINT) AS lamports
+             FROM accounts GROUP BY CUBE (owner, executable))""",
     )
 
 
@@ -596,9 +594,5 @@ def sql_formatted(lake: Lake) -> DataFrame:
 def top_distinct_holders(lake: Lake) -> DataFrame:
     """The flagship: verified mints with the most holders, from decoded token accounts."""
     held = TOKEN_ACCOUNTS.table(lake.versions, lake.known)
-    return (
-        held.groupBy(_hex("mint").alias("mint"))
-        .agg(F.count_distinct("owner").alias("holders"))
-        .orderBy(F.desc("holders"), "mint")
-        .limit(10)
-    )
+    top = held.groupBy("mint").agg(F.count_distinct("owner").alias("holders")).orderBy(F.desc("holders"), "mint")
+    return shown(top.limit(10))
