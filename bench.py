@@ -31,7 +31,7 @@ from ledgerlake.sources import register  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 TIMES_READ = 16
-RUNS = 3
+RUNS = 2
 
 
 def noop(rows: DataFrame) -> None:
@@ -113,14 +113,14 @@ def main() -> None:
         f"stage_scan_x{TIMES_READ}": best(lambda: scan(TIMES_READ)),
         f"stage_count_x{TIMES_READ}": best(lambda: count(TIMES_READ)),
         f"stage_walk_x{TIMES_READ}": best(lambda: walk(TIMES_READ)),
-        f"stage_full_build_x{TIMES_READ}": best(lambda: full_build(TIMES_READ), 2),
+        f"stage_full_build_x{TIMES_READ}": best(lambda: full_build(TIMES_READ)),
     }
     throughput = {
         name.removeprefix("stage_") + "_mb_s": round(account_mb * (TIMES_READ if "_x" in name else 1) / sec, 1)
         for name, sec in stages.items()
         if name != "stage_tables"
     }
-    queries = {name: best(lambda: noop(query(spark, SF_DIR)), 2) for name, query in QUERIES.items()}
+    queries = {name: best(lambda: noop(query(spark, SF_DIR))) for name, query in QUERIES.items()}
     result = {
         "metric": "total seconds over all stages and queries",
         "value": round(sum(stages.values()) + sum(queries.values()), 3),
