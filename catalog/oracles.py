@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
     ),
     "sql_holder_rank": _over(
         "tokens verified",
-        f"""SELECT mint, pubkey, amount, row_number() OVER ({_HELD_ORDER})::INTEGER AS rank FROM verified""",
+        f"""SELECT mint, pubkey, amount, row_number() OVER ({_HELD_ORDER})::BIGINT AS rank FROM verified""",
     ),
     "sql_running_amount": _over(
         "tokens verified",

@@ -46,7 +46,7 @@ Measure = RowNumber | RunningSum | Previous
 def _plain(measure: Measure, window: WindowSpec) -> Column:
     match measure:
         case RowNumber():
-            return F.row_number().over(window)
+            return F.row_number().over(window).cast("bigint")
         case RunningSum(_, of):
             return F.sum(of).over(window.rowsBetween(W.unboundedPreceding, W.currentRow))
         case Previous(_, of):
