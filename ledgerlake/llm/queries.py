@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlake.llm.bpe import op3_bpe
 from ledgerlake.llm.common import table
+from ledgerlake.llm.packing import op10_packing
 from ledgerlake.llm.simhash import op2_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,8 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash": _over("documents", op2_simhash),
+    "op3_bpe": _over("documents", op3_bpe),
+    "op10_packing": _over("documents", op10_packing),
 }
 
 ORACLES: dict[str, str] = {}
