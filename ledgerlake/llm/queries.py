@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlake.llm import chat
 from ledgerlake.llm.bpe import op3_bpe
 from ledgerlake.llm.common import table
+from ledgerlake.llm.hilbert import op9_hilbert
 from ledgerlake.llm.packing import op10_packing
+from ledgerlake.llm.quality import op5_quality
+from ledgerlake.llm.secrets import op4_secrets
 from ledgerlake.llm.simhash import op2_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +24,14 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash": _over("documents", op2_simhash),
+    "op4_secrets": _over("documents", op4_secrets),
+    "op5_quality": _over("documents", op5_quality),
+    "op8_chat": _over("conversations", chat.op8_chat),
+    "op9_hilbert": _over("documents", op9_hilbert),
     "op3_bpe": _over("documents", op3_bpe),
     "op10_packing": _over("documents", op10_packing),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_chat": chat.ORACLE,
+}
