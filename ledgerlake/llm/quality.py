@@ -1,9 +1,11 @@
 """Quality rules as weak supervision. DataFrame functions only.
 
-Each rule looks at a few counts of a document and votes good, bad, or abstains. The pattern of all votes is counted
-over the corpus (at most 3 to the number of rules patterns, whatever the corpus), and expectation-maximisation on
-that histogram estimates how often each rule votes good or bad for good and for bad documents. A document is kept
-if the posterior probability that it is good reaches KEEP.
+Each rule looks at a few counts of a document and votes good, bad, or abstains; a rule that looks for one fault
+votes bad or abstains, since not having that fault says little. The patterns of votes are counted over the corpus
+(at most 3 to the number of rules, whatever the corpus), and expectation-maximisation on that histogram estimates
+how often each rule's votes are right, without labels and with both classes equally likely beforehand. A document
+is kept if the posterior probability that it is good, the product of the odds of its votes, reaches KEEP; a document
+on which every rule abstains is kept.
 """
 
 from __future__ import annotations
@@ -24,28 +26,36 @@ GOOD, BAD, ABSTAIN = 1, -1, 0
 
 @dataclass(frozen=True)
 class Vote:
-    """A rule: bad where one condition holds, else good where the other does, else no vote."""
+    """A rule: votes `says` where the condition holds, else abstains."""
 
     name: str
-    bad: Callable[[], Column]
-    good: Callable[[], Column]
+    says: int
+    holds: Callable[[], Column]
 
     def column(self) -> Column:
-        return F.when(self.bad(), F.lit(BAD)).when(self.good(), F.lit(GOOD)).otherwise(F.lit(ABSTAIN))
+        return F.when(self.holds(), F.lit(self.says)).otherwise(F.lit(ABSTAIN))
 
 
 def _c(name: str) -> Column:
     return F.col(name)
 
 
+def _few_signs() -> Column:
+    return 50 * _c("n_symbols") <= _c("n_words")
+
+
+#: Shares are of words, letters or lines. Documents below 50 words are judged by the base rule alone.
 VOTES = (
-    Vote("length", lambda: _c("n_words") < 20, lambda: _c("n_words") >= 50),
-    Vote("repeats", lambda: 100 * _c("n_repeat_words") > 50 * _c("n_words"), lambda: 100 * _c("n_repeat_words") <= 20 * _c("n_words")),
-    Vote("symbols", lambda: 100 * _c("n_symbols") > 10 * _c("n_words"), lambda: 100 * _c("n_symbols") <= 2 * _c("n_words")),
-    Vote("lines", lambda: 100 * _c("n_dup_lines") > 30 * _c("n_lines"), lambda: (_c("n_lines") > 2) & (_c("n_dup_lines") == 0)),
-    Vote("capitals", lambda: 2 * _c("n_upper") > _c("word_chars"), lambda: 5 * _c("n_upper") < _c("word_chars")),
-    Vote("shouting", lambda: 100 * _c("n_marks") > 30 * _c("n_words"), lambda: 100 * _c("n_marks") <= 5 * _c("n_words")),
+    Vote("repeats", BAD, lambda: (_c("n_words") >= 50) & (2 * _c("n_repeat_words") > _c("n_words"))),
+    Vote("symbols", BAD, lambda: 10 * _c("n_symbols") > _c("n_words")),
+    Vote("lines", BAD, lambda: (_c("n_lines") >= 4) & (2 * _c("n_dup_lines") > _c("n_lines"))),
+    Vote("capitals", BAD, lambda: 2 * _c("n_upper") > _c("word_chars")),
+    Vote("marks", BAD, lambda: 3 * _c("n_marks") > _c("n_words")),
+    Vote("even", GOOD, lambda: _few_signs() & (20 * _c("n_marks") <= _c("n_words")) & (5 * _c("n_upper") < _c("word_chars"))),
+    Vote("varied", GOOD, lambda: _few_signs() & (5 * _c("n_repeat_words") <= _c("n_words")) & (_c("n_dup_lines") == 0)),
 )
+#: What a rule's accuracy is before any vote is seen, how many votes that belief is worth, and its bounds.
+BELIEF, BELIEF_VOTES, LEAST, MOST = 0.9, 1.0, 0.55, 0.999
 
 
 def _deleted(text: Column, characters: str) -> Column:
@@ -98,44 +108,35 @@ def base_failed() -> Column:
     return (_c("n_words") < 50) | (100 * _c("n_repeat_words") > 50 * _c("n_words"))
 
 
-def fit(patterns: DataFrame, votes: tuple[Vote, ...] = VOTES, rounds: int = ROUNDS) -> tuple[float, dict[str, tuple[float, ...]]]:
-    """(log odds of good, weights of each rule's votes) from patterns(one column per rule, n), by expectation-maximisation.
+def fit(patterns: DataFrame, votes: tuple[Vote, ...] = VOTES, rounds: int = ROUNDS) -> dict[str, float]:
+    """Accuracy of each rule from patterns(one column per rule, n), by expectation-maximisation.
 
-    A pattern starts as bad if any rule says so. Counts are smoothed by one half, so that a rule which never votes
-    weighs nothing. Without rows every vote weighs nothing and all documents are good.
+    A rule that never votes keeps its first accuracy; so do all without rows.
     """
-    good = F.when(F.least(*(_c(v.name) for v in votes)) < 0, F.lit(0.05)).otherwise(F.lit(0.95))
-    prior, weights = 1.0, {v.name: (0.0, 0.0) for v in votes}
+    accuracies = {v.name: BELIEF for v in votes}
     for _ in range(rounds):
-        p = patterns.withColumn("_p", good)
-        sums = [F.sum(F.col("n") * F.col("_p")).alias("good"), F.sum(F.col("n") * (1 - F.col("_p"))).alias("bad")]
+        p = patterns.withColumn("_p", probability(accuracies, votes))
+        sums = []
         for v in votes:
-            for vote, mark in ((GOOD, "g"), (BAD, "b")):
-                hit = F.when(_c(v.name) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * F.col("_p")).alias(f"{v.name}_{mark}_good"), F.sum(hit * (1 - F.col("_p"))).alias(f"{v.name}_{mark}_bad")]
+            hit = F.when(_c(v.name) == v.says, F.col("n")).otherwise(F.lit(0))
+            right = F.col("_p") if v.says == GOOD else 1 - F.col("_p")
+            sums += [F.coalesce(F.sum(hit), F.lit(0)).alias(f"{v.name}_all"), F.coalesce(F.sum(hit * right), F.lit(0.0)).alias(f"{v.name}_right")]
         found = p.agg(*sums).first()
-        if found.good is None:
+        before, accuracies = accuracies, {
+            v.name: min(MOST, max(LEAST, (found[f"{v.name}_right"] + BELIEF * BELIEF_VOTES) / (found[f"{v.name}_all"] + BELIEF_VOTES)))
+            for v in votes
+        }
+        if max(abs(accuracies[n] - before[n]) for n in before) < 1e-6:
             break
-        prior = log((found.good + 0.5) / (found.bad + 0.5))
-        weights = {}
-        for v in votes:
-            g_good, g_bad = found[f"{v.name}_g_good"], found[f"{v.name}_g_bad"]
-            b_good, b_bad = found[f"{v.name}_b_good"], found[f"{v.name}_b_bad"]
-            in_good, in_bad = g_good + b_good + 1, g_bad + b_bad + 1
-            weights[v.name] = (
-                log((g_good + 0.5) / in_good / ((g_bad + 0.5) / in_bad)),
-                log((b_good + 0.5) / in_good / ((b_bad + 0.5) / in_bad)),
-            )
-        good = probability(prior, weights, votes)
-    return prior, weights
-
-
-def probability(prior: float, weights: dict[str, tuple[float, ...]], votes: tuple[Vote, ...] = VOTES) -> Column:
+    return accuracies
+
+
+def probability(accuracies: dict[str, float], votes: tuple[Vote, ...] = VOTES) -> Column:
     """Posterior probability of good from vote columns named as the rules."""
-    odds = F.lit(prior)
+    odds = F.lit(0.0)
     for v in votes:
-        for_good, for_bad = weights[v.name]
-        odds = odds + F.when(_c(v.name) == GOOD, F.lit(for_good)).when(_c(v.name) == BAD, F.lit(for_bad)).otherwise(F.lit(0.0))
+        a = accuracies[v.name]
+        odds = odds + F.when(_c(v.name) == v.says, F.lit(v.says * log(a / (1 - a)))).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-odds))
 
 
@@ -150,19 +151,18 @@ def vote_patterns(counts: DataFrame) -> DataFrame:
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, all counts, base_failed, good, kept) for every row of documents; good is the posterior probability."""
     found = stored(counted(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "_q.*"), "quality-counts")
-    prior, weights = fit(vote_patterns(found))
-    good = probability(prior, weights)
+    good = probability(fit(vote_patterns(found)))
     return _voted(found).select(*found.columns, base_failed().alias("base_failed"), good.alias("good")).withColumn("kept", ~F.col("base_failed") & (F.col("good") >= KEEP))
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The rows of documents that are kept, with all their columns."""
     found = counted(documents)
-    prior, weights = fit(vote_patterns(found.select("_q.*")))
+    good = probability(fit(vote_patterns(found.select("_q.*"))))
     names = [F.col(f"`{c}`") for c in documents.columns]
 
     flat = found.select(*(n.alias(f"_d{k}") for k, n in enumerate(names)), "_q.*")
-    voted = _voted(flat).where(~base_failed() & (probability(prior, weights) >= KEEP))
+    voted = _voted(flat).where(~base_failed() & (good >= KEEP))
     return voted.select(*(F.col(f"_d{k}").alias(c) for k, c in enumerate(documents.columns)))
 
 
