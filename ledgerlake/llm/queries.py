@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import chat
+from ledgerlake.llm import chat, topk
 from ledgerlake.llm.bpe import op3_bpe
 from ledgerlake.llm.common import table
 from ledgerlake.llm.hilbert import op9_hilbert
@@ -14,6 +14,7 @@ from ledgerlake.llm.packing import op10_packing
 from ledgerlake.llm.quality import op5_quality
 from ledgerlake.llm.secrets import op4_secrets
 from ledgerlake.llm.simhash import op2_simhash
+from ledgerlake.llm.toxicity import op6_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,8 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": _over("documents", op2_simhash),
     "op4_secrets": _over("documents", op4_secrets),
     "op5_quality": _over("documents", op5_quality),
+    "op6_toxicity": lambda spark, sf_dir: op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op7_pivots": _over("embeddings", topk.op7_pivots),
     "op8_chat": _over("conversations", chat.op8_chat),
     "op9_hilbert": _over("documents", op9_hilbert),
     "op3_bpe": _over("documents", op3_bpe),
@@ -33,5 +36,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_pivots": topk.ORACLE,
     "op8_chat": chat.ORACLE,
 }
