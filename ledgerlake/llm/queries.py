@@ -12,6 +12,7 @@ from ledgerlake.llm.common import table
 from ledgerlake.llm.hilbert import op9_hilbert
 from ledgerlake.llm.packing import op10_packing
 from ledgerlake.llm.quality import op5_quality
+from ledgerlake.llm.scoring import op1_lm
 from ledgerlake.llm.secrets import op4_secrets
 from ledgerlake.llm.simhash import op2_simhash
 from ledgerlake.llm.toxicity import op6_toxicity
@@ -24,6 +25,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm": _over("documents", op1_lm),
     "op2_simhash": _over("documents", op2_simhash),
     "op4_secrets": _over("documents", op4_secrets),
     "op5_quality": _over("documents", op5_quality),
