@@ -156,14 +156,15 @@ def judged(documents: DataFrame) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
-    """The rows of documents that are kept, with all their columns."""
-    found = counted(documents)
-    good = probability(fit(vote_patterns(found.select("_q.*"))))
-    names = [F.col(f"`{c}`") for c in documents.columns]
-
-    flat = found.select(*(n.alias(f"_d{k}") for k, n in enumerate(names)), "_q.*")
-    voted = _voted(flat).where(~base_failed() & (good >= KEEP))
-    return voted.select(*(F.col(f"_d{k}").alias(c) for k, c in enumerate(documents.columns)))
+    """The rows of documents that are kept, with all their columns.
+
+    Rows are stored with their counts: a filter on computed counts would be pushed below them and count again.
+    """
+    names = [f"_d{k}" for k in range(len(documents.columns))]
+    found = counted(documents).toDF(*names, "_q")
+    found = stored(found.select(*names, "_q.*"), "quality-rows")
+    good = probability(fit(vote_patterns(found)))
+    return _voted(found).where(~base_failed() & (good >= KEEP)).select(*names).toDF(*documents.columns)
 
 
 def op5_quality(documents: DataFrame) -> DataFrame:

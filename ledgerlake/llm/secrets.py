@@ -121,17 +121,23 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return blobs.join(seen, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
 
 
+def scan_blobs(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Add an increment to the ledger in folder for what versions(path, text) have unseen; the whole ledger."""
+    spark = versions.sparkSession
+    fresh = unseen(versions, ledger_of(spark, folder), rules)
+    increment = fresh.select("blob", F.col("todo").alias("rules"), _scanned(F.col("text"), rules, F.col("todo")).alias("spans"))
+    increment.write.parquet(f"{folder}/increment-{uuid.uuid4().hex}")
+    return ledger_of(spark, folder)
+
+
 def scan(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, spans): findings of all versions(path, text), after one more increment of the ledger in folder.
 
     A path comes once for each of its versions. Of several versions of a rule in the ledger only those in `rules`
     count. Null texts are empty, repeated rows repeat, no rows give no rows; a text without a find has no spans.
     """
-    spark = versions.sparkSession
-    fresh = unseen(versions, ledger_of(spark, folder), rules)
-    increment = fresh.select("blob", F.col("todo").alias("rules"), _scanned(F.col("text"), rules, F.col("todo")).alias("spans"))
-    increment.write.parquet(f"{folder}/increment-{uuid.uuid4().hex}")
-    found = ledger_of(spark, folder).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    ledger = scan_blobs(versions, folder, rules)
+    found = ledger.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     found = stored(found.select("blob", _ranked(F.col("spans"), rules).alias("spans")), "findings")
     return named_versions(versions).select("path", "blob").join(found, "blob").select("path", "spans")
 
@@ -168,3 +174,25 @@ def op4_secrets(documents: DataFrame) -> DataFrame:
         F.col("path").alias("doc_id"), *(count(r.kind) for r in BASE),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+def redacted(documents: DataFrame) -> DataFrame:
+    """All rows of documents with their secrets masked in text, and n_chars, if there is one, counted again.
+
+    A null text stays null. The ledger names each row by its blob, so the text itself is joined with the findings.
+    """
+    names = documents.columns
+    versions = documents.select(F.lit(0).alias("path"), "text")
+    folder = new_folder(documents.sparkSession, "blob-ledger")
+    scan_blobs(versions, folder)
+    found = stored(ledger_of(documents.sparkSession, folder).where(F.size("spans") > 0).select("blob", _ranked(F.col("spans"), RULES).alias("_spans")), "redactions")
+    named = documents.toDF(*(f"_d{k}" for k in range(len(names))))
+    text = F.col(f"_d{names.index('text')}")
+    blob = F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    joined = named.withColumn("_blob", blob).join(found, F.col("_blob") == found.blob, "left")
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(masked(text, F.col("_spans")))
+    rows = joined.withColumn(f"_d{names.index('text')}", clean)
+    if "n_chars" in names:
+        changed = F.when(F.col("_spans").isNotNull(), F.length(text).cast("bigint")).otherwise(F.col(f"_d{names.index('n_chars')}"))
+        rows = rows.withColumn(f"_d{names.index('n_chars')}", changed)
+    return rows.select(*(F.col(f"_d{k}").alias(c) for k, c in enumerate(names)))
