@@ -35,7 +35,8 @@ END_CLASS = HEAD
 START = CLASSES
 WIDTH, ROUNDS, BATCH, NOISE, RATE = 24, 3, 4096, 64, 0.1
 SMOOTH = 0.1
-_WORDS_AT_ONCE = 1_000_000
+_WORDS_AT_ONCE = 300_000
+_TEXTS_AT_ONCE = 500
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,7 +204,7 @@ class _Classes(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _WORDS_AT_ONCE // 2:
+        if len(self) > _WORDS_AT_ONCE:
             self.clear()
             self.update(self.known)
         found = self[word] = rest_class(word)
@@ -225,8 +226,8 @@ def train(documents: DataFrame, vocab: Vocabulary) -> Parameters:
             start, shares, classes = shared.value
             class_of, learner, seen = _Classes(classes), Trainer(start, shares, n), 0
             for batch in batches:
-                for begin in range(0, len(batch), 1000):
-                    codes = _coded(batch["text"].iloc[begin : begin + 1000], class_of)
+                for begin in range(0, len(batch), _TEXTS_AT_ONCE):
+                    codes = _coded(batch["text"].iloc[begin : begin + _TEXTS_AT_ONCE], class_of)
                     at = np.flatnonzero(codes != START)
                     learner.random.shuffle(at)
                     for first in range(0, len(at), BATCH):
@@ -275,9 +276,9 @@ def scored(documents: DataFrame, model: Parameters, vocab: Vocabulary, counts: D
         scorer = Scorer(*shared.value)
         known, log_count = vocab_counts(scorer.vocab)
         for batch in batches:
-            rows = []
-            for begin in range(0, len(batch), 1000):
-                part = batch.iloc[begin : begin + 1000]
+            for begin in range(0, len(batch), _TEXTS_AT_ONCE):
+                rows = []
+                part = batch.iloc[begin : begin + _TEXTS_AT_ONCE]
                 lists = [lower_words(t) for t in part["text"]]
                 flat: list[int] = []
                 for words in lists:
@@ -309,9 +310,9 @@ def scored(documents: DataFrame, model: Parameters, vocab: Vocabulary, counts: D
                         doc_id, bool(held), len(words) + 1, seen, base - (len(words) + 1) * scorer.log_all,
                         by_class[n] - inner[n] + head, [{"word": w, "times": k} for w, k in times.items()],
                     ))
-            found = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
-            found["doc_id"] = batch["doc_id"].to_numpy()
-            yield found
+                found = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                found["doc_id"] = part["doc_id"].to_numpy()
+                yield found
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,times:bigint>>"
     parts = stored(_source(documents).mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored-parts")
