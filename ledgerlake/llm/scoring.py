@@ -88,7 +88,11 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     totals = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
-    frequent = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    words = counts.where(F.length("word") > 0)
+    if totals.types > 2 * KNOWN:  # else each task would send KNOWN words to the driver
+        least = words.agg(F.percentile_approx("n", 1 - 2 * KNOWN / totals.types, 100_000)).first()[0]
+        words = words.where(F.col("n") >= least)
+    frequent = words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     known = {bytes(r.word): r.n for r in frequent}
     classes = {w: n for n, w in enumerate(list(known)[:HEAD])} | {b"": END_CLASS}
     end = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
