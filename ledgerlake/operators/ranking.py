@@ -62,10 +62,16 @@ def source_candidates(probes: DataFrame) -> DataFrame:
         .agg(first.alias("hit"))
         .select("hit.*")
         .withColumn("url", resolve_url(F.col("probe_url"), F.col("location")))
-        .withColumn("size", F.expr("try_cast(content_length AS decimal(20,0))"))
+        .withColumn("size", _u64(F.col("content_length")))
     )
 
 
+def _u64(text: Column) -> Column:
+    """Digits, perhaps after a plus, up to 2^64 - 1; anything else is null."""
+    number = text.cast("string").try_cast("decimal(20,0)")
+    return F.when(text.cast("string").rlike(r"^[+]?[0-9]+\z") & (number <= F.lit(str(2**64 - 1)).cast("decimal(20,0)")), number)
+
+
 def throughput(done: Column, seconds: Column) -> Column:
     """Bytes per second; 0 for a measurement that gave nothing."""
     return F.when((done > 0) & (seconds > 0), done / seconds).otherwise(F.lit(0.0))

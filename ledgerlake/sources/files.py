@@ -20,19 +20,25 @@ def locate(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def list_files(uri: str, pattern: str) -> list[tuple[str, int]]:
-    """(uri, bytes) of a file, of a glob's files, or of a folder's files that fit `pattern`."""
-    head, tail = posixpath.split(uri)
-    if any(c in tail for c in "*?["):
-        uri, pattern = head, tail
+    """(uri, bytes) of a file, or of those files of a folder or glob that fit `pattern`.
+
+    A name is a glob only if no such file exists. A glob that no file fits raises.
+    """
     fs, path = locate(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.File:
         return [(uri, info.size)]
+    head, tail = posixpath.split(uri)
+    is_glob = info.type == pafs.FileType.NotFound and any(c in tail for c in "*?[")
+    if is_glob:
+        uri = head
+        fs, path = locate(uri)
+        info = fs.get_file_info(path)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(f"no such file or folder: {uri}")
-    found = fs.get_file_info(pafs.FileSelector(path))
-    return sorted(
-        (posixpath.join(uri, f.base_name), f.size)
-        for f in found
-        if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern)
-    )
+    files = [f for f in fs.get_file_info(pafs.FileSelector(path)) if f.type == pafs.FileType.File]
+    if is_glob:
+        files = [f for f in files if fnmatch.fnmatchcase(f.base_name, tail)]
+        if not files:
+            raise FileNotFoundError(f"no file fits: {posixpath.join(uri, tail)}")
+    return sorted((posixpath.join(uri, f.base_name), f.size) for f in files if fnmatch.fnmatchcase(f.base_name, pattern))

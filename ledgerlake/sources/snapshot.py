@@ -30,7 +30,7 @@ from ledgerlake.sources.files import list_files
 
 # File names of the two kinds of archive.
 ARCHIVE_PATTERNS = {
-    "all": "*snapshot*.tar.zst",
+    "all": "*.tar.zst",
     "full": "snapshot*.tar.zst",
     "incremental": "incremental-snapshot*.tar.zst",
 }

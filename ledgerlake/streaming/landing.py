@@ -22,6 +22,8 @@ from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 FILES_PER_BATCH = 1_000
+#: Spark's own default leaves out files a week older than the newest; late archives must not be lost.
+MAX_FILE_AGE = "36500d"
 
 
 def _landed(spark: SparkSession, folder: str, pattern: str, files_per_batch: int) -> DataFrame:
@@ -30,6 +32,7 @@ def _landed(spark: SparkSession, folder: str, pattern: str, files_per_batch: int
         .schema(BINARY_FILE)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", MAX_FILE_AGE)
         .load(folder)
     )
 

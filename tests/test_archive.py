@@ -145,3 +145,20 @@ def test_window_beyond_the_default_limit():
 
 def test_padding():
     assert [padded(n) for n in (0, 1, 512, 513)] == [0, 512, 512, 1024]
+
+
+def test_globs_keep_to_the_kind_and_brackets_are_names(tmp_path):
+    from ledgerlake.sources.files import list_files
+    from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS
+
+    for name in ("snapshot-1.tar.zst", "snapshot-[1].tar.zst", "incremental-snapshot-2.tar.zst", "ledger-3.tar.zst"):
+        (tmp_path / name).write_bytes(b"x")
+
+    def names(tail, kind):
+        return [uri.rsplit("/", 1)[1] for uri, _ in list_files(f"{tmp_path}{tail}", ARCHIVE_PATTERNS[kind])]
+
+    assert names("/*.tar.zst", "incremental") == names("", "incremental") == ["incremental-snapshot-2.tar.zst"]
+    assert names("/*.tar.zst", "full") == names("", "full") == ["snapshot-1.tar.zst", "snapshot-[1].tar.zst"]
+    assert len(names("", "all")) == 4 and names("/snapshot-[1].tar.zst", "all") == ["snapshot-[1].tar.zst"]
+    with pytest.raises(FileNotFoundError):
+        names("/none*.tar.zst", "all")

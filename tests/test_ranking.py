@@ -70,3 +70,12 @@ def test_speeds_and_ranks(spark):
 
 def test_nothing_found(spark):
     assert shortlist(source_candidates(probes(spark, [])), F.lit(1), F.lit(1.0)).collect() == []
+
+
+def test_sizes_are_strict_u64(spark):
+    from ledgerlake.operators.ranking import _u64
+
+    texts = ["12", "+12", "12.5", "-5", " 12 ", "1e3", "18446744073709551615", "18446744073709551616", "", None, "12\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {r.t: None if r.n is None else int(r.n) for r in rows.withColumn("n", _u64(rows.t)).collect()}
+    assert {t: n for t, n in found.items() if n is not None} == {"12": 12, "+12": 12, "18446744073709551615": 2**64 - 1}
