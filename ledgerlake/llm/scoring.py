@@ -33,7 +33,7 @@ CLASSES = HEAD + 1 + REST
 END_CLASS = HEAD
 #: The class before the first word.
 START = CLASSES
-WIDTH, ROUNDS, BATCH, NOISE, RATE = 24, 3, 4096, 64, 0.1
+WIDTH, ROUNDS, BATCH, NOISE, RATE = 24, 3, 4096, 64, 0.03
 SMOOTH = 0.1
 _WORDS_AT_ONCE = 300_000
 _TEXTS_AT_ONCE = 500
