@@ -97,7 +97,10 @@ _PROBES = """probes AS (
          CASE event_type WHEN 'error' THEN 404 WHEN 'signup' THEN 200 ELSE 302 END AS status,
          CASE WHEN event_id % 3 = 0 AND user_id % 10 <> 0
                 THEN 'http://n' || user_id || ':8899/snap-' || event_id || '.tar.zst'
-              WHEN event_id % 3 = 1 THEN 'http://h' || user_id || '/s' || event_id || '.tar.zst' END AS url,
+              WHEN event_id % 3 = 1 THEN 'http://h' || user_id || '/s' || event_id || '.tar.zst'
+              WHEN event_id % 12 IN (2, 5) AND user_id % 10 <> 0
+                THEN 'http://n' || user_id || ':8899/snapshot.tar.' || CASE event_id % 2 WHEN 0 THEN 'zst' ELSE 'bz2' END
+                  || CASE event_id % 12 WHEN 5 THEN '#f' ELSE '' END END AS url,
          CASE WHEN event_id % 5 <> 0 THEN event_id * 1000 END AS size,
          event_id * 1000 AS bytes, value AS secs, event_id * 32000 AS bytes2, value * 30 + event_id % 7 AS secs2
   FROM events)"""
@@ -192,6 +195,12 @@ ORACLES: dict[str, str] = {
                   lamports::BIGINT AS lamports, rent_epoch, owner, executable::INTEGER AS executable, hash
            FROM versions""",
     ),
+    "describe_accounts": _over(
+        "n records versions",
+        """SELECT write_version::BIGINT AS write_version, data_len::BIGINT AS data_len, pubkey,
+                  lamports::BIGINT AS lamports, rent_epoch, owner, executable::INTEGER AS executable, hash
+           FROM versions""",
+    ),
     "bench_counts": _over(
         _ENTRIES,
         """SELECT count(*) AS entries, count(*) FILTER (is_accounts) AS account_files,
@@ -209,7 +218,7 @@ ORACLES: dict[str, str] = {
         "n records versions",
         f"""SELECT pubkey, data_len::BIGINT AS data_len, owner = '{TOKEN}' AND data_len = 82 AS is_mint,
                    owner = '{TOKEN}' AND data_len = 165 AS is_token_account
-            FROM versions WHERE owner = '{TOKEN}' OR data_len IN (82, 165)""",
+            FROM versions""",
     ),
     "decoder_dispatch": _over(
         "n records versions",
@@ -233,6 +242,12 @@ ORACLES: dict[str, str] = {
     "option_fields": _over(
         "mints tokens",
         """SELECT pubkey, 'mint_authority' AS field, authority_tag::INTEGER AS tag, mint_authority AS value FROM mints
+           UNION ALL
+           SELECT pubkey, 'freeze_authority', (freeze_authority IS NOT NULL)::INTEGER, freeze_authority FROM mints
+           UNION ALL
+           SELECT pubkey, 'delegate', (delegate IS NOT NULL)::INTEGER, delegate FROM tokens
+           UNION ALL
+           SELECT pubkey, 'close_authority', (close_authority IS NOT NULL)::INTEGER, close_authority FROM tokens
            UNION ALL
            SELECT pubkey, 'is_native', (is_native IS NOT NULL)::INTEGER, is_native::VARCHAR FROM tokens""",
     ),
@@ -297,7 +312,7 @@ ORACLES: dict[str, str] = {
     "sql_left_unheld_mints": _over(
         "mints tokens verified verified_mints",
         """SELECT pubkey AS mint FROM verified_mints m
-           WHERE NOT EXISTS (SELECT 1 FROM verified t WHERE t.mint = m.pubkey AND t.amount > 49000)""",
+           WHERE NOT EXISTS (SELECT 1 FROM verified t WHERE t.mint = m.pubkey)""",
     ),
     "sql_wallet_balances": _over(
         "n records versions mints tokens verified verified_mints",
@@ -310,6 +325,9 @@ ORACLES: dict[str, str] = {
     "sql_distinct_holders": _over(
         "tokens verified", "SELECT mint, count(DISTINCT owner) AS holders FROM verified GROUP BY mint"
     ),
+    "sql_approx_holders": _over(
+        "tokens verified", "SELECT mint, count(DISTINCT owner) AS holders, true AS near FROM verified GROUP BY mint"
+    ),
     "sql_owner_state_rollup": _over(
         "tokens verified",
         """SELECT state::INTEGER AS state, native, count(*) AS accounts, sum(amount)::BIGINT AS amount
@@ -353,9 +371,9 @@ ORACLES: dict[str, str] = {
     ),
     "sql_theta_range": _over(
         "tokens verified",
-        """SELECT band, count(*) AS accounts, sum(amount)::BIGINT AS amount
+        """SELECT band, count(*) AS accounts, sum(amount)::HUGEINT::VARCHAR AS amount
            FROM verified JOIN (VALUES ('dust', 0, 5000), ('small', 5000, 20000), ('medium', 15000, 35000),
-                                      ('large', 35000, 1000000000000)) AS b(band, low, high)
+                                      ('large', 35000, 18446744073709551616)) AS b(band, low, high)
              ON amount >= low AND amount < high
            GROUP BY band""",
     ),
@@ -365,11 +383,12 @@ ORACLES: dict[str, str] = {
            WHERE amount = (SELECT max(amount) FROM verified s WHERE s.mint = t.mint)""",
     ),
     "sql_formatted": _over(
-        "mints verified_mints",
-        """SELECT pubkey AS mint, decimals::VARCHAR AS decimals, is_initialized::VARCHAR AS is_initialized,
+        "mints tokens verified verified_mints",
+        """SELECT m.pubkey AS mint, decimals::VARCHAR AS decimals, is_initialized::VARCHAR AS is_initialized,
                   supply::VARCHAR AS supply, printf('%.4f', supply::DOUBLE / 7000::DOUBLE) AS scaled,
-                  printf('%.4f', decimals::DOUBLE) AS decimals_float, coalesce(mint_authority, 'NULL') AS authority
-           FROM verified_mints""",
+                  printf('%.4f', decimals::DOUBLE) AS decimals_float, coalesce(mint_authority, 'NULL') AS authority,
+                  t.pubkey AS token, t.amount::VARCHAR AS amount
+           FROM verified_mints m JOIN verified t ON t.mint = m.pubkey""",
     ),
     "top_distinct_holders": _over(
         "tokens verified",

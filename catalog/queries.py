@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fixtures.lake import DECODERS, PROGRAMS, Lake, key_of, lake_of
 from fixtures.ledger import table
 from ledgerlake.functions import base58, binary
-from ledgerlake.functions.text import describe_account, format_rows
+from ledgerlake.functions.text import describe_account
 from ledgerlake.operators import listing, ranking
 from ledgerlake.operators.decoders import MINTS, TOKEN_ACCOUNTS, dispatch, is_nft
 from ledgerlake.operators.filters import SnapshotFilters, accounts
@@ -23,7 +23,7 @@ from ledgerlake.operators.metrics import RunClock
 from ledgerlake.operators.ordered import Previous, RowNumber, RunningSum, measured
 from ledgerlake.operators.records import read_accounts
 from ledgerlake.plans.scratch import new_folder
-from ledgerlake.plans.sql import query
+from ledgerlake.plans.sql import query, query_text
 from ledgerlake.schemas import ACCOUNT_VERSIONS, ENTRIES, TOKEN_PROGRAM
 from ledgerlake.sources.files import list_files
 from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS, register
@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {}
 
 WIDE = ("rent_epoch", "supply")
 HASHED_COLUMNS = [n for n in ACCOUNT_VERSIONS.names if n not in ("archive", "path", "rec_offset", "data")]
+DESCRIBED = ("write_version", "data_len", "pubkey", "lamports", "rent_epoch", "owner", "executable", "hash")
 ALL = SnapshotFilters(include_dead=True)
 
 
@@ -168,9 +169,8 @@ def filter_conjunction(lake: Lake) -> DataFrame:
 
 @lake_query
 def decoder_match(lake: Lake) -> DataFrame:
-    near = (F.col("owner") == binary.key(TOKEN_PROGRAM)) | F.col("data_len").isin(82, 165)
     return shown(
-        lake.versions.where(near).select(
+        lake.versions.select(
             "pubkey",
             "data_len",
             MINTS.matches().alias("is_mint"),
@@ -232,9 +232,17 @@ def option_fields(lake: Lake) -> DataFrame:
     def tag(at: int) -> Column:
         return F.conv(F.hex(binary.field(data, at, 1)), 16, 10).cast("int").alias("tag")
 
-    keys = lake.versions.where(F.col("decoder") == MINTS.name).select(
-        "pubkey", F.lit("mint_authority").alias("field"), tag(0),
-        _hex(binary.optional(data, 0, binary.field(data, 4, 32))).alias("value"),
+    def key(decoder: str, field: str, at: int) -> DataFrame:
+        return lake.versions.where(F.col("decoder") == decoder).select(
+            "pubkey", F.lit(field).alias("field"), tag(at),
+            _hex(binary.optional(data, at, binary.field(data, at + 4, 32))).alias("value"),
+        )
+
+    keys = (
+        key(MINTS.name, "mint_authority", 0)
+        .unionByName(key(MINTS.name, "freeze_authority", 46))
+        .unionByName(key(TOKEN_ACCOUNTS.name, "delegate", 72))
+        .unionByName(key(TOKEN_ACCOUNTS.name, "close_authority", 129))
     )
     numbers = lake.versions.where(F.col("decoder") == TOKEN_ACCOUNTS.name).select(
         "pubkey", F.lit("is_native").alias("field"), tag(109),
@@ -291,7 +299,18 @@ def u64_columns(lake: Lake) -> DataFrame:
 
 @lake_query
 def describe_accounts(lake: Lake) -> DataFrame:
-    return lake.versions.select(describe_account(lake.versions).alias("line"))
+    # The lines taken apart again.
+    parts = F.split(describe_account(lake.versions), ", ")
+    values = lake.versions.select(parts.alias("parts")).select(
+        *[F.substring_index(F.col("parts")[n], ": ", -1).alias(name) for n, name in enumerate(DESCRIBED)]
+    )
+
+    def value(name: str) -> Column:
+        if name in ("pubkey", "owner", "hash"):
+            return _hex(base58.from_base58(name))
+        return F.col(name).cast({"rent_epoch": "string", "executable": "int"}.get(name, "bigint"))
+
+    return values.select(*[value(name).alias(name) for name in DESCRIBED])
 
 
 # Metrics, sinks, streaming
@@ -352,8 +371,14 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("status"),
         F.when(event % 3 == 0, F.concat(F.lit("/snap-"), event.cast("string"), F.lit(".tar.zst")))
         .when(event % 3 == 1, F.concat(F.lit("http://h"), user, F.lit("/s"), event.cast("string"), F.lit(".tar.zst")))
+        .when(event % 12 == 2, "")
+        .when(event % 12 == 5, "#f")
+        .when(event % 12 == 8, "http://:80/s")
         .alias("location"),
-        F.when(event % 5 == 0, F.lit("bad")).otherwise((event * 1000).cast("string")).alias("content_length"),
+        F.when(event % 35 == 5, F.lit("12.5"))
+        .when(event % 35 == 15, F.lit("-5"))
+        .when(event % 35 == 25, F.lit("99999999999999999999"))
+        .when(event % 5 == 0, F.lit("bad")).otherwise((event * 1000).cast("string")).alias("content_length"),
         (event * 1000).alias("bytes"),
         F.col("value").alias("secs"),
         (event * 32000).alias("bytes2"),
@@ -419,7 +444,7 @@ def sql_supply_vs_held(lake: Lake) -> DataFrame:
 
 @lake_query
 def sql_left_unheld_mints(lake: Lake) -> DataFrame:
-    held = lake.table("token_accounts").where("amount > 49000").select("mint").distinct()
+    held = lake.table("token_accounts").select("mint").distinct()
     mints = lake.table("mints")
     return mints.join(held, mints["pubkey"] == held["mint"], "left_anti").select(_hex("pubkey").alias("mint"))
 
@@ -459,7 +484,12 @@ def sql_distinct_holders(lake: Lake) -> DataFrame:
 @lake_query
 def sql_approx_holders(lake: Lake) -> DataFrame:
     held = lake.table("token_accounts")
-    return shown(held.groupBy("mint").agg(F.approx_count_distinct("owner").alias("holders")))
+    counted = held.groupBy("mint").agg(
+        F.count_distinct("owner").alias("holders"), F.approx_count_distinct("owner").alias("estimate")
+    )
+    # Four standard deviations of the estimate.
+    near = F.abs(F.col("estimate") - F.col("holders")) <= F.greatest(F.lit(2.0), 0.2 * F.col("holders"))
+    return shown(counted.select("mint", "holders", near.alias("near")))
 
 
 @lake_query
@@ -541,13 +571,16 @@ def sql_owner_setops(lake: Lake) -> DataFrame:
     return both.select(_hex("owner").alias("owner"), F.explode(found).alias("set"))
 
 
-BANDS = [("dust", 0, 5_000), ("small", 5_000, 20_000), ("medium", 15_000, 35_000), ("large", 35_000, 10**12)]
+BANDS = [("dust", 0, 5_000), ("small", 5_000, 20_000), ("medium", 15_000, 35_000), ("large", 35_000, 2**64)]
 
 
 @lake_query
 def sql_theta_range(lake: Lake) -> DataFrame:
     # Bands meet amounts on the number of digits first, so this is a hash join.
-    bands = lake.spark.createDataFrame(BANDS, "band string, low bigint, high bigint")
+    texts = [(band, str(low), str(high)) for band, low, high in BANDS]
+    bands = lake.spark.createDataFrame(texts, "band string, low string, high string").select(
+        "band", *[F.col(n).cast("decimal(20,0)").alias(n) for n in ("low", "high")]
+    )
 
     def digits(column: Column) -> Column:
         return F.length(column.cast("string"))
@@ -555,39 +588,42 @@ def sql_theta_range(lake: Lake) -> DataFrame:
     by_digits = bands.withColumn(
         "digits", F.explode(F.sequence(digits(F.col("low")), digits(F.col("high") - 1)))
     )
-    amounts = lake.table("token_accounts").select(F.col("amount").cast("bigint").alias("amount"))
+    amounts = lake.table("token_accounts").select("amount")
     inside = (F.col("amount") >= F.col("low")) & (F.col("amount") < F.col("high"))
     return (
         amounts.withColumn("digits", digits(F.col("amount")))
         .join(F.broadcast(by_digits), "digits")
         .where(inside)
         .groupBy("band")
-        .agg(F.count("*").alias("accounts"), _total("amount").alias("amount"))
+        .agg(F.count("*").alias("accounts"), F.sum("amount").cast("string").alias("amount"))
     )
 
 
 @lake_query
 def sql_scalar_subquery(lake: Lake) -> DataFrame:
-    return query(
-        lake.spark,
-        lake.published,
-        """SELECT lower(hex(t.mint)) AS mint, lower(hex(t.pubkey)) AS pubkey, CAST(t.amount AS BIGINT) AS amount
-           FROM token_accounts t
-           WHERE t.amount = (SELECT max(s.amount) FROM token_accounts s WHERE s.mint = t.mint)""",
-    )
+    # The maxima are a written table: both sides of the join are then plain scans, and a hot mint is dealt by amount.
+    held = lake.table("token_accounts")
+    folder = new_folder(lake.spark, "mint-maxima")
+    held.groupBy("mint").agg(F.max("amount").alias("amount")).write.parquet(folder)
+    best = lake.spark.read.parquet(folder)
+    return shown(held.join(best, ["mint", "amount"], "left_semi").select("mint", "pubkey", "amount"))
 
 
 @lake_query
 def sql_formatted(lake: Lake) -> DataFrame:
-    rows = query(
+    # Two columns of the result are named pubkey.
+    rows = query_text(
         lake.spark,
         lake.published,
-        """SELECT lower(hex(pubkey)) AS mint, CAST(decimals AS INT) AS decimals, is_initialized,
+        """SELECT lower(hex(m.pubkey)) AS pubkey, CAST(decimals AS INT) AS decimals, is_initialized,
                   supply, CAST(supply AS DOUBLE) / 7e3 AS scaled,
-                  CAST(decimals AS FLOAT) AS decimals_float, lower(hex(mint_authority)) AS authority
-           FROM mints""",
+                  CAST(decimals AS FLOAT) AS decimals_float, lower(hex(mint_authority)) AS authority,
+                  lower(hex(t.pubkey)) AS pubkey, t.amount
+           FROM mints m JOIN token_accounts t ON t.mint = m.pubkey""",
+    )
+    return rows.toDF(
+        "mint", "decimals", "is_initialized", "supply", "scaled", "decimals_float", "authority", "token", "amount"
     )
-    return format_rows(rows)
 
 
 @lake_query

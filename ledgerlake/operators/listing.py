@@ -26,9 +26,8 @@ def list_entries(spark: SparkSession, path: str, *, accounts_only: bool = False,
 
 
 def accounts_members(entries: DataFrame) -> DataFrame:
-    """Members that hold accounts, told from name and type: a regular file under `accounts/`."""
-    name_fits = F.contains("path", F.lit("accounts/"))
-    return entries.where(F.col("typeflag").isin("0", "\0") & name_fits)
+    """Members that hold accounts, as the reader tells them: a regular file with `accounts/` in its name field."""
+    return entries.where("is_accounts")
 
 
 def manifest(entries: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from ledgerlake.plans.scratch import new_folder
 
 HOT_ROWS = 4_000_000
 RANGES_PER_HOT_ROWS = 4
+#: So many hot keys are broadcast at most; more are joined as the optimiser decides.
+BROADCAST_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -117,10 +119,10 @@ def _hot(
     )
     inside = W.partitionBy("_range", *keys).orderBy("_place")
     numbered = _with_plain(placed, measures, inside).withColumn("_first", F.row_number().over(inside) == 1)
-    # One row per range and hot key in it: at most ranges + hot keys, which is
-    # (RANGES_PER_HOT_ROWS + 1) / hot_rows of all rows.
+    # One row per range and hot key in it. Their number grows with the rows, so
+    # nothing is said about a broadcast; a range holds few rows for one task.
     place = ["_range", *keys]
-    joined = numbered.join(F.broadcast(_apart(carried, place)), _same(place), "left")
+    joined = numbered.join(_apart(carried, place), _same(place), "left")
     return joined.select(*rows.columns, *[_moved(m).alias(m.name) for m in measures])
 
 
@@ -132,17 +134,22 @@ def measured(
     *,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The rows with each measure over (partition by keys order by order)."""
+    """The rows with each measure over (partition by keys order by order), in the types of a plain window."""
     window = W.partitionBy(*keys).orderBy(*order)
     folder = new_folder(rows.sparkSession, "hot-keys")
     rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).write.parquet(folder)
     found = rows.sparkSession.read.parquet(folder)
-    hot_total = found.agg(F.sum("_rows")).first()[0]
+    hot_total, hot_count = found.agg(F.sum("_rows"), F.count("*")).first()
+    plain = _with_plain(rows, measures, window)
     if not hot_total:
-        return _with_plain(rows, measures, window)
+        return plain
     ranges = -(-hot_total * RANGES_PER_HOT_ROWS // hot_rows)
-    # Each hot key has more than hot_rows rows, so there are few of them.
-    hot_keys = F.broadcast(_apart(found.drop("_rows"), keys))
+    hot_keys = _apart(found.drop("_rows"), keys)
+    if hot_count <= BROADCAST_KEYS:
+        hot_keys = F.broadcast(hot_keys)
     cold = rows.join(hot_keys, _same(keys), "left_anti")
     hot = rows.join(hot_keys, _same(keys), "left_semi")
-    return _with_plain(cold, measures, window).unionByName(_hot(hot, keys, order, measures, ranges))
+    split = _hot(hot, keys, order, measures, ranges)
+    kinds = {f.name: f.dataType for f in plain.schema}
+    split = split.select(*rows.columns, *[F.col(m.name).cast(kinds[m.name]).alias(m.name) for m in measures])
+    return _with_plain(cold, measures, window).unionByName(split)

@@ -35,10 +35,12 @@ def resolve_url(base: Column, location: Column) -> Column:
     folder = F.coalesce(F.nullif(F.regexp_extract(base_path, r"^.*/", 0), F.lit("")), F.lit("/"))
     path = F.regexp_extract(location, r"^[^?#]*", 0)
     rest = F.regexp_extract(location, r"[?#].*$", 0)
+    asked = F.concat(origin, base_path, F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1))
     joined = (
         F.when(location.rlike(_SCHEME), location)
         .when(F.startswith(location, F.lit("//")), F.concat(scheme, location))
         .when(F.startswith(location, F.lit("/")), F.concat(origin, _without_dots(path), rest))
+        .when((location == "") | F.startswith(location, F.lit("#")), F.concat(asked, location))
         .when(F.startswith(location, F.lit("?")), F.concat(origin, base_path, location))
         .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
     )
@@ -46,15 +48,24 @@ def resolve_url(base: Column, location: Column) -> Column:
     return F.regexp_replace(joined, r"^([^:/]+://[^/?#]+)($|[?#])", "$1/$2")
 
 
+def parses(location: Column) -> Column:
+    """Whether a location is a reference that can be joined: if it names a host, that is not empty and its port fits."""
+    named = location.rlike(r"^(?:[hH][tT][tT][pP][sS]?:)?//")
+    host = r"^(?:[A-Za-z]+:)?//(?:[^/?#@]*@)?(?:\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]\s<>^|\\]+)(?::([0-9]*))?(?:[/?#]|\z)"
+    port = F.nullif(F.regexp_extract(location, host, 1), F.lit("")).try_cast("decimal(20,0)")
+    return ~named | (location.rlike(host) & (F.coalesce(port, F.lit(0)) <= 65_535))
+
+
 def source_candidates(probes: DataFrame) -> DataFrame:
     """One candidate per node: its first path that answered with a redirect.
 
     Probes have (rpc, path_no, probe_no, probe_url, status, location,
     content_length) and whatever measurements belong to them. The first hit is
     an aggregate with partial results, so a node with very many probes is never
-    gathered in one place.
+    gathered in one place. A location that does not parse is no hit: the next
+    path is taken.
     """
-    hit = F.col("rpc").isNotNull() & F.col("status").between(300, 399) & F.col("location").isNotNull()
+    hit = F.col("rpc").isNotNull() & F.col("status").between(300, 399) & parses(F.col("location"))
     first = F.min_by(F.struct("*"), F.struct("path_no", "probe_no"))
     return (
         probes.where(hit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.operators.filters import SnapshotFilters
-from ledgerlake.operators.known import read_known_mints
+from ledgerlake.operators.known import keep_known, read_known_mints
 from ledgerlake.operators.metrics import RunClock
 from ledgerlake.plans.ingest import publish_archives
 from ledgerlake.sources.files import list_files
@@ -29,7 +29,7 @@ def process_snapshot(
     bytes read, seconds, and MB/s of compressed bytes.
     """
     kind = "incremental" if incremental else "full"
-    known = None if known_mints is None else read_known_mints(spark, known_mints)
+    known = None if known_mints is None else keep_known(read_known_mints(spark, known_mints))
     compressed = sum(size for _, size in list_files(path, ARCHIVE_PATTERNS[kind]))
     clock = RunClock()
     publish_archives(

@@ -13,9 +13,9 @@ TABLES = ("accounts", "mints", "token_accounts")
 
 
 def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """A published table, or None when it was never written."""
+    """A published table, or None when it was never written; the folders of stream batches are no column of it."""
     try:
-        return spark.read.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}").drop("batch")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

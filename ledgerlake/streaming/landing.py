@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder
 from ledgerlake.operators.filters import SnapshotFilters
+from ledgerlake.operators.known import keep_known
 from ledgerlake.operators.records import unfold
 from ledgerlake.plans.ingest import publish, publish_archives, read_versions, write_versions
 from ledgerlake.schemas import STORED_VERSIONS
@@ -64,6 +65,7 @@ def publish_arriving_archives(
     The stream carries file names only: at most `files_per_batch` of them reach
     the driver, and their archives are then read like any others.
     """
+    known = None if known is None else keep_known(known)
     paths = _landed(spark, landing, ARCHIVE_PATTERNS[kind], files_per_batch).select("path")
 
     def write(batch: DataFrame, number: int) -> None:

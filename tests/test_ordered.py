@@ -59,3 +59,12 @@ def test_several_keys_and_a_null_key(spark):
     plain = measured(rows, ["k", "w"], order, MEASURES, hot_rows=10**9)
     spread = measured(rows, ["k", "w"], order, MEASURES, hot_rows=500)
     assert ordered(spread) == ordered(plain)
+
+
+def test_types_do_not_depend_on_hot_keys(spark):
+    rows = spark.range(900).selectExpr("id % 2 AS k", "id AS v", "CAST(18446744073709551615 AS DECIMAL(20,0)) AS d")
+    measures = [RowNumber("n"), RunningSum("total", "d"), Previous("before", "d")]
+    plain = measured(rows, ["k"], [F.col("v")], measures, hot_rows=10**9)
+    spread = measured(rows, ["k"], [F.col("v")], measures, hot_rows=100)
+    assert plain.dtypes == spread.dtypes
+    assert sorted(plain.collect()) == sorted(spread.collect())

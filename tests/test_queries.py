@@ -9,9 +9,6 @@ import __spark_entry__ as entry_points
 from catalog.queries import QUERIES
 from tests.conftest import SF_DIR
 
-ROWS_ONLY = {"describe_accounts", "sql_approx_holders"}
-
-
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
@@ -30,26 +27,15 @@ def by_name(columns, rows):
 def test_query(spark, duck, name):
     result = entry_points.queries()[name](spark, SF_DIR)
     rows = result.collect()
-    if name in ROWS_ONLY:
-        assert rows
-        return
     expected = duck.execute(entry_points.oracle_sql()[name])
     names = [d[0] for d in expected.description]
     assert by_name(result.columns, rows) == by_name(names, expected.fetchall())
 
 
-def test_all_queries_but_two_have_sql():
-    assert set(QUERIES) - set(entry_points.oracle_sql()) == ROWS_ONLY
+def test_all_queries_have_sql():
+    assert set(QUERIES) <= set(entry_points.oracle_sql())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-def test_approximate_holders_are_near(spark):
-    queries = entry_points.queries()
-    exact = {r.mint: r.holders for r in queries["sql_distinct_holders"](spark, SF_DIR).collect()}
-    near = {r.mint: r.holders for r in queries["sql_approx_holders"](spark, SF_DIR).collect()}
-    assert exact.keys() == near.keys()
-    assert all(abs(near[m] - n) <= max(2, 0.2 * n) for m, n in exact.items())
-
-
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 10

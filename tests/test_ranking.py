@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.ranking import final_ranking, resolve_url, shortlist, source_candidates, throughput
+from ledgerlake.operators.ranking import final_ranking, parses, resolve_url, shortlist, source_candidates, throughput
 
 BASE = "http://n1:8899/a/snapshot.tar.zst"
 
@@ -79,3 +79,22 @@ def test_sizes_are_strict_u64(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     found = {r.t: None if r.n is None else int(r.n) for r in rows.withColumn("n", _u64(rows.t)).collect()}
     assert {t: n for t, n in found.items() if n is not None} == {"12": 12, "+12": 12, "18446744073709551615": 2**64 - 1}
+
+
+@pytest.mark.parametrize(
+    "location, url",
+    [("", "http://n/a/b?q"), ("#f", "http://n/a/b?q#f"), ("?r", "http://n/a/b?r"), ("c", "http://n/a/c")],
+)
+def test_references_without_a_path_keep_the_asked_one(spark, location, url):
+    found = spark.range(1).select(resolve_url(F.lit("http://n/a/b?q#old"), F.lit(location)))
+    assert found.first()[0] == url
+
+
+@pytest.mark.parametrize(
+    "location, right",
+    [("", True), ("/x:y", True), ("http://h:80/x", True), ("//h", True), ("http://[::1]:8/x", True), ("http://u@h/x", True),
+     ("http://:80/x", False), ("http://", False), ("//", False), ("http://h:99999/", False), ("http://h:8a/", False),
+     ("http://a b/", False), (None, None)],
+)
+def test_locations_that_parse(spark, location, right):
+    assert spark.range(1).select(parses(F.lit(location).cast("string"))).first()[0] is right

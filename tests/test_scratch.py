@@ -39,5 +39,5 @@ def test_paths_and_uris(tmp_path):
     for uri in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
         assert [(u.rsplit("/", 1)[1], n) for u, n in list_files(uri, "*.txt")] == [("a b.txt", 1), ("c.txt", 2)]
         assert locate(uri)[1] == str(tmp_path)
-    assert [n for _, n in list_files(f"{tmp_path}/c*", "ignored")] == [2]
+    assert [n for _, n in list_files(f"{tmp_path}/c*", "*.txt")] == [2]
     assert list_files(f"{tmp_path}/c.txt", "ignored") == [(f"{tmp_path}/c.txt", 2)]

@@ -41,3 +41,20 @@ def test_one_line_per_account(spark, tmp_path):
         f"version: 7, data_len: 0, pubkey: {a}, lamports: 1, rent_epoch: 18446744073709551615,"
         f" owner: {o}, executable: 2, hash: {h}"
     )
+
+
+def test_repeated_names_and_backticks(spark):
+    rows = spark.sql("SELECT 1 AS a, 2.5D AS a, CAST(NULL AS DOUBLE) AS `b``c`")
+    found = format_rows(rows)
+    assert found.columns == ["a", "a", "b`c"]
+    assert tuple(found.first()) == ("1", "2.5000", "NULL")
+
+
+def test_four_decimals_of_many_values(spark):
+    import random
+
+    draw = random.Random(3)
+    values = [draw.choice([1, -1]) * draw.random() * 10.0 ** draw.randint(-6, 20) for _ in range(3000)]
+    values += [n / 32 for n in range(-64, 64)] + [0.99995, 0.99999, -0.00001, 2.0**53, 1e300, float("-inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "d double").coalesce(1)
+    assert [r.d for r in format_rows(rows).collect()] == [f"{v:.4f}" for v in values]
