@@ -1,0 +1,166 @@
+"""Groups of near copies by the similarity of their word shingles, for the pipeline's near-duplicate stage.
+
+At a five-word similarity of 0.8 about ten of a fingerprint's 64 bits differ, so links of three bits find only part
+of these pairs. Candidates therefore come from the Golay-code keys of the five-word fingerprints and, for the rest,
+from bands of least hashes: 24 bands of five, of which two texts at similarity 0.8 share one with probability
+0.9999. Every candidate is verified by its whole sets of shingles.
+
+A band shared by many texts is no list of pairs at first: its members are compared with one of them only. Once
+those links have joined most of a band's members, only pairs of different groups are left to compare.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlake.llm.common import lower_words, stored, words_of
+from ledgerlake.llm.components import components
+from ledgerlake.llm.simhash import SEED, close_pairs, fingerprint
+
+SHINGLE = 5
+#: A link needs intersection / union >= PART / WHOLE.
+PART, WHOLE = 4, 5
+BANDS, ROWS = 24, 5
+ROWS_AT_ONCE = 500
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PROFILE = "doc_id bigint, node bigint, n int, print bigint, bands array<bigint>, shingles array<bigint>"
+
+
+def node_of(text: Column) -> Column:
+    """A 64-bit name of the text's lower-cased words; texts that differ in letter case or gaps only share it."""
+    return F.xxhash64(F.array_join(words_of(F.translate(text, _UPPER, _LOWER)), " "))
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles; fewer words: of the whole sequence; no word: none."""
+    words = lower_words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(run), SEED) for run in runs), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: the hash of its number and its least products of hash and factor."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for begin in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[None, begin : begin + 4096] * _FACTORS[:, None]).min(1), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), number) for number, band in enumerate(bands)]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def profiles(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of documents: its node, fingerprint, band keys and shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for begin in range(0, len(whole), ROWS_AT_ONCE):
+                batch = whole.iloc[begin : begin + ROWS_AT_ONCE]
+                found = [shingle_hashes(t, shingle) for t in batch["text"]]
+                prints = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].to_numpy(),
+                        "node": batch["node"].to_numpy(),
+                        "n": [len(h) for h in found],
+                        "print": prints,
+                        "bands": [band_keys(h) for h in found],
+                        "shingles": [h.view(np.int64) for h in found],
+                    }
+                )
+
+    source = documents.select(F.col("doc_id").cast("bigint"), node_of(F.col("text")).alias("node"), "text")
+    return source.mapInPandas(run, _PROFILE)
+
+
+def verified(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """Those pairs (u, v) whose shingles reach the similarity."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = profile.select("node", "shingles").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = stored(sets, "shingles")
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    enough = shared * (PART + WHOLE) >= (F.size("a") + F.size("b")) * PART
+    return pairs.join(left, "u").join(right, "v").where(enough).select("u", "v")
+
+
+def _sizes_allow(a: str, b: str) -> Column:
+    return (F.col(a) * WHOLE >= F.col(b) * PART) & (F.col(b) * WHOLE >= F.col(a) * PART)
+
+
+def _first_candidates(texts: DataFrame, banded: DataFrame) -> DataFrame:
+    """(u, v), u < v: members of a band with the band's least node, and texts whose fingerprints are equal or close."""
+    heads = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size"))
+    heads = heads.where("size > 1").select("band", F.col("head.node").alias("u"), F.col("head.n").alias("m"))
+    stars = banded.join(heads, "band").where(F.col("u") < F.col("node")).where(_sizes_allow("n", "m"))
+    stars = stars.select("u", F.col("node").alias("v"))
+    prints = stored(texts.groupBy("print").agg(F.min("node").alias("least")), "stage-prints")
+    same = texts.join(prints, "print").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    close = close_pairs(prints).withColumnsRenamed({"u": "p", "v": "q"})
+    close = close.join(prints.select(F.col("print").alias("p"), F.col("least").alias("u")), "p")
+    close = close.join(prints.select(F.col("print").alias("q"), F.col("least").alias("v")), "q")
+    close = close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return stars.union(same).union(close).distinct()
+
+
+def _rest(banded: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v), u < v: texts of one band that are still in different groups."""
+    labelled = banded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = stored(labelled, "labelled-bands")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    open_bands = mixed.where("least <> most").select("band")
+    members = stored(labelled.join(open_bands, "band", "left_semi"), "open-bands")
+    left = members.select("band", F.col("node").alias("u"), F.col("n").alias("n1"), F.col("root").alias("r1"))
+    right = members.select("band", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("r2"))
+    pairs = left.join(right, "band").where("u < v AND r1 <> r2").where(_sizes_allow("n1", "n2"))
+    return pairs.select("u", "v").distinct()
+
+
+def similar_groups(documents: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(texts, links). Texts: (node, doc_id, root), one row per distinct text with its least id (null only if it has
+    no other) and its group's least node. Links: the verified pairs that join the groups.
+
+    Null text counts as empty; all texts without a word are one text. No rows give no rows. Extra columns are not read.
+    """
+    profile = stored(profiles(documents, shingle), "profiles")
+    texts = profile.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")
+    )
+    texts = stored(texts, "distinct-texts")
+    banded = texts.select("node", "n", F.explode("bands").alias("band"))
+    first = stored(_first_candidates(texts.select("node", "print"), banded), "candidates")
+    links = stored(verified(first, profile), "similar")
+    roots = components(links)
+    rest = stored(_rest(banded, roots).join(first, ["u", "v"], "left_anti"), "more-candidates")
+    links = stored(links.union(verified(rest, profile)), "all-similar")
+    roots = components(links)
+    labelled = texts.select("node", "doc_id").join(roots, "node", "left")
+    return labelled.withColumn("root", F.coalesce("root", "node")), links
+
+
+def one_of_similar(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of similar texts, with all columns of documents: the least id (null last), of that the
+    least node, of rows that repeat both the least row by text and then the other columns.
+    """
+    texts, _ = similar_groups(documents.select("doc_id", "text"), shingle)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    kept = texts.groupBy("root").agg(F.min(order).alias("_kept"))
+    kept = stored(kept.select(F.col("_kept.node").alias("_node"), F.col("_kept.doc_id").alias("_id")), "kept-texts")
+    numbered = documents.withColumn("_text_node", node_of(F.col("text")))
+    same = (numbered._text_node == kept._node) & numbered.doc_id.cast("bigint").eqNullSafe(kept._id)
+    rows = numbered.join(kept, same, "left_semi")
+    if not rows.groupBy("_text_node").count().where("count > 1").limit(1).count():
+        return rows.select(documents.columns)
+    whole = F.struct("text", *(c for c in documents.columns if c != "text"))
+    return rows.groupBy("_text_node").agg(F.min(whole).alias("_row")).select("_row.*").select(documents.columns)

@@ -1,0 +1,84 @@
+"""Groups of near copies against all pairs of sets: links from bands, from fingerprints and from what stars leave over."""
+
+import itertools
+import random
+
+from ledgerlake.llm import overlap
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, node string, root int, bands string, n int"
+
+
+def groups(texts, shingle=5):
+    """Brute force: for each text the least index of its group."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        sets.append({b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set())
+    parent = list(range(len(texts)))
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            high, low = sorted((top(a), top(b)), reverse=True)
+            parent[high] = low
+    return [top(k) for k in range(len(texts))]
+
+
+def variants():
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(900)]
+    out = [None, "", " \t", "One", "one", "two words", "TWO  words", "x" * 30_000, "a b c " * 9000]
+    for _ in range(6):
+        base = rng.choices(vocabulary, k=150)
+        for changes in (0, 0, 1, 2, 3, 4, 5, 8):
+            words = list(base)
+            for place in rng.sample(range(150), changes):
+                words[place] = rng.choice(vocabulary)
+            out.append(" ".join(words))
+    return out
+
+
+def test_groups_equal_brute_force(spark):
+    texts = variants()
+    rows = [(k, t, "clash", k, None, None) for k, t in enumerate(texts)]
+    kept = overlap.one_of_similar(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "node", "root", "bands", "n"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups(texts)))
+
+
+def test_members_that_their_band_head_misses(spark):
+    """In a chain of small steps no text is like all the others, yet one stays."""
+    words = [f"w{k}" for k in range(400)]
+    chain = [" ".join(words[k : k + 200]) for k in range(0, 200, 10)]
+    rows = [(k, t, None, None, None, None) for k, t in enumerate(chain)]
+    assert len(set(groups(chain))) == 1
+    assert [r.doc_id for r in overlap.one_of_similar(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "first text without id", "b", 1, None, None), (None, "second text without id", "a", 2, None, None)]
+    rows += [(5, "Same words", "b", 3, None, None), (5, "same words", "a", 4, None, None), (5, "other words", None, 5, None, None)]
+    rows += [(None, "other words", None, 6, None, None)] + rows[:1]
+    kept = overlap.one_of_similar(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [
+        (0, "first text without id"), (0, "second text without id"), (5, "Same words"), (5, "other words"),
+    ]
+    assert next(r.root for r in kept if r.text == "other words") == 5
+
+
+def test_empty(spark):
+    assert overlap.one_of_similar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_given_documents(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in documents.collect())
+    least = {rows[k][0] for k in groups([t for _, t in rows])}
+    kept = overlap.one_of_similar(documents)
+    assert {r.doc_id for r in kept.collect()} == least
+    assert kept.count() == len(least)

@@ -1,7 +1,7 @@
 """The pipeline's stages: columns stay, decisions take effect, the last stage packs what is left."""
 
 import corpus_pipeline
-from ledgerlake.llm import quality, simhash, toxicity
+from ledgerlake.llm import overlap, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +20,8 @@ def test_stages(spark):
         if name == "toxicity":
             assert ids == sorted(r.doc_id for r in toxicity.op6_toxicity(before, labels).where("predicted = 0").collect())
         if name == "near_duplicates":
-            parts = {r.component_id for r in simhash.op2_simhash(before).collect()}
-            assert set(ids) <= parts
+            texts, _ = overlap.similar_groups(before)
+            assert ids == sorted(r.least for r in texts.groupBy("root").agg({"doc_id": "min"}).toDF("root", "least").collect())
         if name == "secret_scans":
             assert docs.count() == before.count()
             assert not docs.where("text LIKE '%AKIA%' OR text RLIKE '[0-9a-f]{24,}'").count()
