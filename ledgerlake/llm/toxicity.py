@@ -3,8 +3,13 @@
 Two letter models, of toxic and of ordinary documents, predict each letter of a word from up to five before it.
 Orders three to six are counted by class; orders one and two, to which they back off, are shared, so that rare
 expressions weigh alike for both. A word's evidence is the difference of its log-likelihoods; a document's is
-length-normalised: the mean over all its words, and the largest mean over any run of 1, 4 and 16 words. A logistic
-curve fitted on labelled rows that the models have not seen turns the four into a score.
+length-normalised: the mean over all its words, and the largest mean over any run of 1, 4 and 16 words.
+
+Where toxicity is how densely words on a stem come, which ordinary documents have now and then too, no single word
+tells. So n-grams of orders three to six are also counted by the documents in which they are dense: in at least a
+hundredth of the words, and in two. The logarithm of the ratio of a dense n-gram's document shares by class, less two
+standard errors, is its strength; a document's fifth feature is the greatest strength of the n-grams dense in it.
+A logistic curve fitted on labelled rows that the models have not seen turns the five into a score.
 
 The models are fitted on at most SAMPLE labelled rows a class (whole texts), chosen by a hash of the id, so that
 their size does not grow with the corpus. Scoring reads all words of all texts.
@@ -28,6 +33,8 @@ ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 #: N-grams of the two highest orders that came once in the sample are left out.
 PRUNED_FROM, LEAST = 5, 2
 RUNS = (1, 4, 16)
+#: An n-gram of DENSE_FROM letters or more is dense in a document with this share of its words, and this many, on it.
+DENSE_FROM, DENSE_SHARE, DENSE_WORDS, ERRORS = 3, 0.01, 2, 2.0
 THRESHOLD = 0.7
 START, STOP = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,13 +60,42 @@ def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     return at, hashes, starts
 
 
+def grams_by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of the word): the n-grams from DENSE_FROM letters on of every word, each once a word."""
+    at, hashes, _ = grams(words)
+    owner = np.tile(np.repeat(np.arange(len(words)), [len(w) + 1 for w in words]), ORDER + 1 - DENSE_FROM)
+    keys = np.concatenate([hashes[k][at] for k in range(DENSE_FROM, ORDER + 1)]).view(np.int64)
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
+    return keys[first], owner[first]
+
+
+def is_dense(times: np.ndarray, words: int) -> np.ndarray:
+    return (times >= DENSE_WORDS) & (times >= DENSE_SHARE * words)
+
+
+def dense_grams(words: list[str]) -> np.ndarray:
+    """Hashes of the n-grams that are dense in a document of these words."""
+    if not words:
+        return np.zeros(0, np.int64)
+    kinds, times = np.unique(np.array(words, object), return_counts=True)
+    keys, owner = grams_by_word(list(kinds))
+    found, where = np.unique(keys, return_inverse=True)
+    return found[is_dense(np.bincount(where, times[owner]), len(words))]
+
+
 @dataclass
 class Model:
-    """By order: sorted hashes of n-grams with their two discounted shares, and of contexts with their two back-off weights."""
+    """By order: sorted hashes of n-grams with their two discounted shares, and of contexts with their two back-off weights.
+
+    Besides these, sorted hashes of n-grams with the strength that each gives where it is dense.
+    """
 
     shares: list[tuple[np.ndarray, np.ndarray]]
     backoffs: list[tuple[np.ndarray, np.ndarray]]
     floor: float
+    dense: tuple[np.ndarray, np.ndarray]
     curve: np.ndarray
 
     @staticmethod
@@ -81,16 +117,39 @@ class Model:
             p = self._found(self.shares[k - 1], hashes[k][at].view(np.int64), 0.0) + self._found(self.backoffs[k - 1], context.view(np.int64), 1.0) * p
         return np.add.reduceat(np.log(p[:, 0]) - np.log(p[:, 1]), starts)
 
-    def features(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
+    def strong_grams(self, words: list[str]) -> dict[str, list[int]]:
+        """Places in the table of strengths of the n-grams of those words that have any there."""
+        known = self.dense[0]
+        if not words or not len(known):
+            return {}
+        keys, owner = grams_by_word(words)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        out: dict[str, list[int]] = {}
+        for word, gram in zip(owner[hit].tolist(), at[hit].tolist()):
+            out.setdefault(words[word], []).append(gram)
+        return out
+
+    def strength(self, words: list[str], strong: dict[str, list[int]]) -> float:
+        """The greatest strength of the n-grams that are dense in a document of these words."""
+        found = [gram for w in words if w in strong for gram in strong[w]]
+        if not found:
+            return 0.0
+        kinds, times = np.unique(found, return_counts=True)
+        return float(self.dense[1][kinds[is_dense(times, len(words))]].max(initial=0.0))
+
+    def features(self, texts: list[str | None], cache: dict[str, float], strong: dict[str, list[int]]) -> np.ndarray:
         lists = [words_of(t) for t in texts]
         new = list({w for words in lists for w in words if w not in cache})
         if len(cache) + len(new) > _WORDS_KEPT:
             cache.clear()
+            strong.clear()
             new = list({w for words in lists for w in words})
         for begin in range(0, len(new), 20_000):
             some = new[begin : begin + 20_000]
             cache.update(zip(some, self.evidence(some).tolist()))
-        out = np.zeros((len(texts), 1 + len(RUNS)))
+            strong.update(self.strong_grams(some))
+        out = np.zeros((len(texts), 2 + len(RUNS)))
         for row, words in zip(out, lists):
             if words:
                 sums = np.concatenate([[0.0], np.cumsum([cache[w] for w in words])])
@@ -98,6 +157,7 @@ class Model:
                 for n, run in enumerate(RUNS):
                     r = min(run, len(words))
                     row[1 + n] = ((sums[r:] - sums[:-r]) / r).max()
+                row[-1] = self.strength(words, strong)
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -180,6 +240,24 @@ def _tables(rows: DataFrame) -> tuple[list, list, float]:
     return by_order(shares, "gram"), by_order(weights, "context"), 1 / (letters + 1)
 
 
+def _dense(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams that are dense in a greater share of the toxic than of the ordinary rows(text, toxic), and their strengths."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [dense_grams(words_of(t)) for t in batch["text"]]
+            if found:
+                yield pd.DataFrame({"gram": np.concatenate(found), "toxic": np.repeat(batch["toxic"].to_numpy(np.int32), [len(g) for g in found])})
+
+    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, ordinary = F.count_if(F.col("toxic") == 1) + 0.5, F.count_if(F.col("toxic") == 0) + 0.5
+    ratio = F.log(toxic / ordinary * ((n.get(0, 0) + 1) / (n.get(1, 0) + 1)))
+    strength = ratio - ERRORS * F.sqrt(1 / toxic + 1 / ordinary)
+    emitted = rows.select("text", "toxic").mapInPandas(run, "gram bigint, toxic int")
+    found = emitted.groupBy("gram").agg(strength.alias("strength")).where("strength > 0").toPandas().sort_values("gram")
+    return found["gram"].to_numpy(np.int64), found["strength"].to_numpy(float)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The models and the curve, from rows that are not held out; None unless both classes are there to learn both from."""
     toxic = F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0)
@@ -198,8 +276,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     picked = documents.sparkSession.createDataFrame(chosen, "doc_id bigint, toxic int, curve boolean")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(texts.join(F.broadcast(picked), "doc_id"), "toxicity-sample")
-    shares, backoffs, floor = _tables(rows.where(~F.col("curve")))
-    model = Model(shares, backoffs, floor, np.zeros(1))
+    learnt = rows.where(~F.col("curve"))
+    model = Model(*_tables(learnt), _dense(learnt), np.zeros(1))
     found = _features(rows.where("curve"), model).toPandas()
     y = found["toxic"].to_numpy(float)
     if not 0 < y.sum() < len(y):
@@ -213,9 +291,9 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, float] = {}
+        cache, strong = {}, {}
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "features": list(shared.value.features(list(batch["text"]), cache))})
+            yield pd.DataFrame({"toxic": batch["toxic"], "features": list(shared.value.features(list(batch["text"]), cache, strong))})
 
     return rows.select("text", "toxic").mapInPandas(run, "toxic int, features array<double>")
 
@@ -233,9 +311,9 @@ def scorer(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, float] = {}
+        cache, strong = {}, {}
         for texts in batches:
-            yield pd.Series(shared.value.score(shared.value.features(list(texts), cache)))
+            yield pd.Series(shared.value.score(shared.value.features(list(texts), cache, strong)))
 
     return score
 

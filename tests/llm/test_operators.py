@@ -268,6 +268,26 @@ def test_toxicity(spark, documents, empty):
     assert toxicity.op6_toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_is_found_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = by_id(toxicity.op6_toxicity(table, labels).where("held_out").collect())
+    langs = {r.doc_id: r.lang for r in table.select("doc_id", "lang").collect()}
+    toxic = [(langs[r.doc_id], found[r.doc_id].predicted) for r in labels.where("toxic = 1").collect() if r.doc_id in found]
+    recall = {lang: sum(p for at, p in toxic if at == lang) / sum(at == lang for at, _ in toxic) for lang, _ in toxic}
+    assert set(recall) == {"de", "en", "es", "fr"} and min(recall.values()) >= 0.75, recall  # by words alone 1 of 20 in German
+
+
+def test_dense_grams_are_in_two_words_and_a_hundredth():
+    def grams(words):
+        return set(toxicity.dense_grams(words).tolist())
+
+    stem = grams(["achlix", "achliy"])
+    assert stem and stem < grams(["achlix"] * 2 + ["achliy"] * 2)
+    assert stem <= grams(["achlix", "achliy"] + ["o"] * 198) and not stem & grams(["achlix", "achliy"] + ["o"] * 199)
+    assert not grams([]) and not grams(["achlix"])
+
+
 VECTORS = [(0, [1.0, 0.5]), (50, [0.25, -1.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [None, 1.0]), (100, [float("nan"), 1.0]),
            (5, [float("inf"), 1.0]), (6, [3.0]), (7, [-2.0, 0.1]), (8, [0.0, 0.0]), (9, [1.5, 1.5]), (9, [1.5, 1.5]), (None, [1.0, 1.0]), (10, [0.3, 0.3])]
 
