@@ -258,31 +258,48 @@ def _dense(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["gram"].to_numpy(np.int64), found["strength"].to_numpy(float)
 
 
+def _split(chosen: pd.DataFrame, totals: dict[tuple[int, bool], float]) -> tuple[pd.DataFrame, dict[tuple[int, bool], float]] | None:
+    """The chosen rows and their totals, with every fourth row for the curve in a class that lacks curve rows or others.
+
+    None if a class has fewer than two rows, as the curve needs rows that the models have not seen.
+    """
+    chosen, totals = chosen.copy(), dict(totals)
+    for t in (0, 1):
+        of = np.flatnonzero(chosen["toxic"] == t)
+        if len(of) < 2:
+            return None
+        if not all(totals.get((t, c)) for c in (True, False)):
+            curve = np.arange(len(of)) % 4 == 1
+            chosen.iloc[of, chosen.columns.get_loc("curve")] = curve
+            n = sum(totals.get((t, c), 0) for c in (True, False))
+            totals[t, True], totals[t, False] = n * curve.mean(), n * (1 - curve.mean())
+    return chosen, totals
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The models and the curve, from rows that are not held out; None unless both classes are there to learn both from."""
+    """The models and the curve, from labelled rows of documents that are not held out; None with fewer than two of a class."""
     toxic = F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0)
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), toxic.alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    known = known.withColumn("curve", _for_curve(F.col("doc_id")))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = stored(known.join(texts.select("doc_id"), "doc_id", "left_semi").withColumn("curve", _for_curve(F.col("doc_id"))), "toxicity-labels")
     totals = {(r.toxic, r.curve): r.n for r in known.groupBy("toxic", "curve").agg(F.count("*").alias("n")).collect()}
-    if any(not totals.get((t, c)) for t in (0, 1) for c in (True, False)):
-        return None
     chosen = None
     for t in (0, 1):
         for c in (True, False):
             some = known.where((F.col("toxic") == t) & (F.col("curve") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
             chosen = some if chosen is None else chosen.union(some)
-    chosen = chosen.toPandas()
+    split = _split(chosen.toPandas(), totals)
+    if split is None:
+        return None
+    chosen, totals = split
     picked = documents.sparkSession.createDataFrame(chosen, "doc_id bigint, toxic int, curve boolean")
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(texts.join(F.broadcast(picked), "doc_id"), "toxicity-sample")
     learnt = rows.where(~F.col("curve"))
     model = Model(*_tables(learnt), _dense(learnt), np.zeros(1))
     found = _features(rows.where("curve"), model).toPandas()
     y = found["toxic"].to_numpy(float)
-    if not 0 < y.sum() < len(y):
-        return None
-    weights = np.where(y == 1, totals[1, True] / max(1, y.sum()), totals[0, True] / max(1, (1 - y).sum()))
+    weights = np.where(y == 1, totals[1, True] / y.sum(), totals[0, True] / (1 - y).sum())
     model.curve = fitted_curve(np.array(found["features"].tolist()), y, weights)
     return model
 
@@ -301,7 +318,7 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
 def scorer(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """A function from a text column to its score column, fitted on the labelled rows of documents.
 
-    Without labels of both classes every score is 0. Null and empty texts have no evidence and get the curve's
+    With fewer than two labelled rows of a class, not counting those held out, every score is 0. Null and empty texts have no evidence and get the curve's
     value there.
     """
     model = fit(documents, labels, sample)

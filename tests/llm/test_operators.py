@@ -278,6 +278,22 @@ def test_toxicity_is_found_in_every_language(spark):
     assert set(recall) == {"de", "en", "es", "fr"} and min(recall.values()) >= 0.75, recall  # by words alone 1 of 20 in German
 
 
+@pytest.mark.parametrize("in_curve", [True, False])
+def test_toxicity_learns_from_one_side_of_the_split(spark, in_curve):
+    # All toxic rows on one side of the curve's quarter, and many more labelled rows that are not among the documents.
+    free = [n for n in range(2000) if held(n, 3) != 1]
+    toxic = [n for n in free if (held(n, 12) in (0, 5)) == in_curve][:40]
+    plain = [n for n in free if n not in toxic][:200]
+    held_out = [n for n in range(2000) if held(n, 3) == 1][:20]
+    bad, good = "you idiot clown fool of the sea " * 4, "an old ship lies near the shore at night " * 4
+    docs = [(n, bad) for n in toxic + held_out[:10]] + [(n, good) for n in plain + held_out[10:]]
+    labels = [(n, 1) for n in toxic] + [(n, 0) for n in plain] + [(n, 1) for n in range(5000, 9000)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found = by_id(toxicity.op6_toxicity(table, known).collect())
+    assert [found[n].predicted for n in held_out] == [1] * 10 + [0] * 10
+
+
 def test_dense_grams_are_in_two_words_and_a_hundredth():
     def grams(words):
         return set(toxicity.dense_grams(words).tolist())
