@@ -158,10 +158,13 @@ def judged(documents: DataFrame) -> DataFrame:
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The rows of documents that are kept, with all their columns.
 
+    Null and empty texts fail the base rule and go; very long texts are read whole; repeated rows are judged alike and
+    all stay or go; no rows give no rows. Column names do not matter: the input is renamed by position.
     Rows are stored with their counts: a filter on computed counts would be pushed below them and count again.
     """
     names = [f"_d{k}" for k in range(len(documents.columns))]
-    found = counted(documents).toDF(*names, "_q")
+    named = documents.toDF(*names)
+    found = counted(named.withColumn("text", F.col(names[documents.columns.index("text")])))
     found = stored(found.select(*names, "_q.*"), "quality-rows")
     good = probability(fit(vote_patterns(found)))
     return _voted(found).where(~base_failed() & (good >= KEEP)).select(*names).toDF(*documents.columns)

@@ -152,20 +152,20 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
 def one_of_each(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of documents whose doc_id is its component's id, with all their columns.
 
-    Of rows that repeat a doc_id one stays, the one with the least text. A component without any id (all null)
-    keeps one row too.
+    Of rows that repeat a doc_id one stays, the one with the least text, of equal texts the one whose other columns
+    are least as JSON. A component without any id (all null) keeps one row too. Null and empty texts have fingerprint
+    zero and are one component. Very long texts are read whole. No rows give no rows; column names do not matter.
     """
     found = near_duplicates(documents.select("doc_id", "text"), shingle)
-    kept = stored(found.groupBy("component_id").agg(F.count("*").alias("_n")), "kept-ids")
-    name = "_kept_id"
-    kept = kept.select(F.col("component_id").alias(name))
-    rows = documents.join(kept, documents.doc_id.cast("bigint").eqNullSafe(kept[name]), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        whole = F.struct("text", *(c for c in documents.columns if c not in ("doc_id", "text")))
-        first = rows.groupBy("doc_id").agg(F.min(whole).alias("_row"))
-        rows = first.select("doc_id", "_row.*").select(documents.columns)
-    return rows
+    kept = stored(found.groupBy("component_id").agg(F.count("*").alias("n")), "kept-ids")
+    named = documents.toDF(*(f"_d{k}" for k in range(len(documents.columns))))
+    doc_id, text = (F.col(f"_d{documents.columns.index(name)}") for name in ("doc_id", "text"))
+    rows = named.join(kept.select(F.col("component_id").alias("_kept")), doc_id.cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        whole = F.struct(*named.columns)
+        first = rows.groupBy(doc_id.cast("bigint")).agg(F.min_by(whole, F.struct(text, F.to_json(whole))).alias("_row"))
+        rows = first.select("_row.*")
+    return rows.toDF(*documents.columns)
 
 
 def op2_simhash(documents: DataFrame) -> DataFrame:
