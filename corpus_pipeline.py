@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.llm.common import stored, table
-from ledgerlake.llm.overlap import one_of_similar
 from ledgerlake.llm.packing import op10_packing
 from ledgerlake.llm.quality import kept_documents
 from ledgerlake.llm.secrets import redacted
+from ledgerlake.llm.simhash import one_of_each
 from ledgerlake.llm.toxicity import not_toxic
 from ledgerlake.plans.ship import ship_code
 
@@ -31,9 +31,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group whose SimHash fingerprints link: three-word shingles, three bits at most."""
     ship_code(spark)
-    return one_of_similar(docs)
+    return one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
