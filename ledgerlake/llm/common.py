@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def stored(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: later jobs start there, whoever is lost."""
+#: Spark removes a query's shuffle files once it has ended, not when the driver next collects garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def stored(rows: DataFrame, purpose: str, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write the rows to the shared folder and read them back: later jobs start there, whoever is lost.
+
+    `instead_of`: stored tables that nothing else reads, which are removed once the new one is written.
+    """
     spark = rows.sparkSession
     folder = new_folder(spark, purpose)
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        rows.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    for old in instead_of:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop(old))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    found = spark.read.schema(rows.schema).parquet(folder)
+    _folders[found] = folder
+    return found
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(u, v): root is the least node that can be reached.
 
-    Each round is a written table, so a lost executor costs one round. Rounds grow with the logarithm of
+    Each round is a written table, so a lost executor costs one round; the round before it is removed. Rounds grow with the logarithm of
     the longest path. Empty links give an empty table; self-links are ignored.
     """
     edges = stored(links.where("u <> v").select("u", "v"), "links")
@@ -39,6 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(state) == before or not state.n:
             break
         before = tuple(state)
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        edges = stored(_small_star(_large_star(edges)), "stars", instead_of=[edges])
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

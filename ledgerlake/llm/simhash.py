@@ -29,6 +29,8 @@ LENGTH, CHECKS = 23, 11
 SEED = 42
 BITS = 3
 _HASHES_AT_ONCE = 1 << 16
+#: Ids in a broadcast: a hash table of them takes some 60 MB.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -141,11 +143,12 @@ def near_duplicates(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """
     found = stored(fingerprints(documents, shingle), "prints")
     distinct = stored(found.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    roots = components(stored(close_pairs(distinct), "close"))
+    close = stored(close_pairs(distinct), "close")
+    roots = components(close)
     joined = distinct.join(roots, distinct.print == roots.node, "left")
     joined = joined.select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(joined.join(ids, "root").select("print", "component_id"), "print-labels")
+    labels = stored(joined.join(ids, "root").select("print", "component_id"), "print-labels", instead_of=[distinct, close])
     return found.join(labels, "print").select("doc_id", "print", "component_id")
 
 
@@ -154,13 +157,17 @@ def one_of_each(documents: DataFrame, shingle: int = 3) -> DataFrame:
 
     Of rows that repeat a doc_id one stays, the one with the least text, of equal texts the one whose other columns
     are least as JSON. A component without any id (all null) keeps one row too. Null and empty texts have fingerprint
-    zero and are one component. Very long texts are read whole. No rows give no rows; column names do not matter.
+    zero and are one component. Very long texts are read whole. Texts are not shuffled while the ids that go are few
+    enough to be broadcast. No rows give no rows; column names do not matter.
     """
-    found = near_duplicates(documents.select("doc_id", "text"), shingle)
-    kept = stored(found.groupBy("component_id").agg(F.count("*").alias("n")), "kept-ids")
+    found = stored(near_duplicates(documents.select("doc_id", "text"), shingle).select("doc_id", "component_id"), "duplicates")
+    ids, kept = found.select("doc_id").distinct(), found.select(F.col("component_id").alias("kept")).distinct()
+    dropped = stored(ids.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_anti").toDF("_dropped"), "dropped-ids")
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
     named = documents.toDF(*(f"_d{k}" for k in range(len(documents.columns))))
     doc_id, text = (F.col(f"_d{documents.columns.index(name)}") for name in ("doc_id", "text"))
-    rows = named.join(kept.select(F.col("component_id").alias("_kept")), doc_id.cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = named.join(dropped, doc_id.cast("bigint").eqNullSafe(F.col("_dropped")), "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         whole = F.struct(*named.columns)
         first = rows.groupBy(doc_id.cast("bigint")).agg(F.min_by(whole, F.struct(text, F.to_json(whole))).alias("_row"))
