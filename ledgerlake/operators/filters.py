@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.base58 import decode_optional
 from ledgerlake.functions.binary import key, u64_of
+from ledgerlake.operators.walk import Condition
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,11 @@ class SnapshotFilters:
         parts += [F.col(name) == key(value) for name, value in self.keys().items()]
         return reduce(and_, parts, F.lit(True))
 
+    def conditions(self) -> list[Condition]:
+        """The same filters for the record walk."""
+        parts = [] if self.include_dead else [Condition("lamports", "!=", 0)]
+        return parts + [Condition(name, "==", value) for name, value in self.keys().items()]
+
     def reader_options(self) -> dict[str, str]:
         """The same filters as options of the ``ledger_accounts`` source."""
         options = {name + "Hex": value.hex() for name, value in self.keys().items()}

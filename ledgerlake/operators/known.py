@@ -28,10 +28,10 @@ def read_known_mints(spark: SparkSession, path: str) -> DataFrame:
     return known_mints(spark.read.text(path))
 
 
-def keep_known(known: DataFrame) -> DataFrame:
+def keep_known(known: DataFrame, folder: str | None = None) -> DataFrame:
     """The list as a written table: decoded once, cheap to count, and a plain scan whose joins can be split."""
     spark = known.sparkSession
-    folder = new_folder(spark, "known-mints")
+    folder = folder or new_folder(spark, "known-mints")
     known.write.parquet(folder)
     return spark.read.schema(known.schema).parquet(folder)
 

@@ -31,16 +31,22 @@ class RunClock:
             F.coalesce(F.sum(record_size()), F.lit(0)).alias("record_bytes"),
         )
 
-    def summary(self, spark: SparkSession, compressed_bytes: int) -> DataFrame:
-        """One row of figures, after the watched rows were written.
+    def summary(self, spark: SparkSession, compressed_bytes: int, counts=None) -> DataFrame:
+        """One row of figures, after the watched rows were written, or of the counts of a run that took its own.
 
         `rows_parsed` counts rows that passed the filters; `mb_per_s` divides
-        compressed bytes by 10^6 and by the seconds taken.
+        compressed bytes by 10^6 and by the seconds taken. `rejected_*` tell
+        how much of members was left out behind records that overrun them.
         """
         seconds = time.monotonic() - self.begin
-        seen = self.observation.get
         rate = compressed_bytes / 1e6 / max(seconds, 1e-9)
+        if counts is None:
+            seen = self.observation.get
+            figures = (seen["rows_parsed"], seen["record_bytes"], 0, 0)
+        else:
+            figures = (counts.rows["accounts"], counts.record_bytes, counts.rejected_members, counts.rejected_bytes)
         return spark.createDataFrame(
-            [(seen["rows_parsed"], seen["record_bytes"], compressed_bytes, seconds, rate)],
-            "rows_parsed bigint, record_bytes bigint, compressed_bytes bigint, seconds double, mb_per_s double",
+            [(*figures[:2], compressed_bytes, seconds, rate, *figures[2:])],
+            "rows_parsed bigint, record_bytes bigint, compressed_bytes bigint, seconds double, mb_per_s double, "
+            "rejected_members bigint, rejected_bytes bigint",
         )

@@ -34,7 +34,7 @@ def unfold(
 ) -> DataFrame:
     """Account versions held by chunks of account members (1 chunk to N rows)."""
     arrow_schema = to_arrow_schema(schema)
-    wanted = [(d.owner, d.data_len) for d in decoders]
+    wanted = [d.rule for d in decoders]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +121,7 @@ def read_accounts(
     if large:
         tasks = max(cores, sum(size for _, size in large) // SPREAD_BYTES)
         uris = [uri for uri, _ in large]
-        tested = ["lamports", *filters.keys(), *(("owner", "data_len") if decoded_only else ())]
+        tested = ["lamports", *filters.keys(), *(("owner", "data_len", "data") if decoded_only else ())]
         needed = [*columns, *(n for n in dict.fromkeys(tested) if n not in columns)]
         rows = _unfold_spread(spark, uris, tasks, pick(schema, *needed), decoders, kind, mode)
         if decoded_only:

@@ -48,6 +48,9 @@ TOKEN_ACCOUNTS = _table(
     ("close_authority", T.BinaryType(), True),
 )
 
+# One row per archive.
+ARCHIVES = _table(("uri", T.StringType(), False))
+
 # One row per chunk of a tar member. A chunk always holds whole records.
 ENTRIES = _table(
     ("archive", T.StringType(), False),

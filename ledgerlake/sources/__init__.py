@@ -1,3 +1,3 @@
-from ledgerlake.sources.snapshot import LedgerAccounts, LedgerSnapshot, register
+from ledgerlake.sources.snapshot import LedgerAccounts, LedgerArchives, LedgerSnapshot, register
 
-__all__ = ["LedgerAccounts", "LedgerSnapshot", "register"]
+__all__ = ["LedgerAccounts", "LedgerArchives", "LedgerSnapshot", "register"]

@@ -1,9 +1,10 @@
 """Batch data sources over snapshot archives.
 
-``ledger_snapshot`` lists tar members and hands out their bodies in chunks;
-``ledger_accounts`` goes one step further and unfolds the chunks into account
-versions in the task that decompresses them, so raw bytes never cross into the
-JVM. Both read the columns of the schema they are given and no others.
+``ledger_archives`` lists archives. ``ledger_snapshot`` lists tar members and
+hands out their bodies in chunks; ``ledger_accounts`` goes one step further and
+unfolds the chunks into account versions in the task that decompresses them, so
+raw bytes never cross into the JVM. All read the columns of the schema they are
+given and no others, and ``ledger_accounts`` no rows that a filter drops.
 
 An archive is one compressed stream and is read by one task, largest first.
 With ``minPartitions`` set, small archives are packed together into tasks.
@@ -16,15 +17,31 @@ import json
 import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    Not,
+)
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DecimalType, LongType, StructType
 
-from ledgerlake.operators.walk import record_batches
-from ledgerlake.schemas import ACCOUNT_VERSIONS, ENTRIES
+from ledgerlake.operators.decoders import rule_of
+from ledgerlake.operators.walk import KEY_WORDS, U64_WORDS, Condition, record_batches
+from ledgerlake.schemas import ACCOUNT_VERSIONS, ARCHIVES, ENTRIES
 from ledgerlake.sources.archive import DEFAULT_CHUNK, Chunk, read_archive
 from ledgerlake.sources.files import list_files
 
@@ -92,6 +109,14 @@ class _ArchiveReader(DataSourceReader):
             yield from self.read_archive(uri)
 
 
+class ListReader(_ArchiveReader):
+    """Archives as rows, without opening them; a task's archives are a partition."""
+
+    def read(self, partition: ArchivePartition | None) -> Iterator[pa.RecordBatch]:
+        if partition:
+            yield pa.RecordBatch.from_arrays([pa.array(partition.uris, pa.string())], schema=self.arrow_schema)
+
+
 class EntryReader(_ArchiveReader):
     """Tar members as rows; bodies of account members only."""
 
@@ -139,22 +164,70 @@ class EntryReader(_ArchiveReader):
             yield self._rows_batch(rows)
 
 
+_COMPARISONS = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def _stated(name: str, value: object, schema: StructType) -> object | None:
+    """A literal as the walk compares it; None where it cannot."""
+    kind = schema[name].dataType
+    if name in KEY_WORDS:
+        return bytes(value) if isinstance(value, (bytes, bytearray)) else None
+    if name == "executable":
+        return int(value) if 0 <= value < 256 else None
+    if isinstance(kind, LongType):
+        return value % 2**64
+    whole = Decimal(value)
+    return int(whole) if whole == whole.to_integral_value() and 0 <= whole < 2**64 else None
+
+
+def pushed(given: Filter, schema: StructType) -> Condition | tuple | None:
+    """The condition that says the same as a filter, an empty tuple if it always holds, None if the walk has none.
+
+    Numbers stored as bits have no order, keys are only equal or not.
+    """
+    inner, negated = (given.child, True) if isinstance(given, Not) else (given, False)
+    name = inner.attribute[0] if len(getattr(inner, "attribute", ())) == 1 else None
+    if name not in (*KEY_WORDS, *U64_WORDS, "executable"):
+        return None
+    if isinstance(inner, IsNotNull):
+        return None if negated else ()
+    ordered = name == "executable" or isinstance(schema[name].dataType, DecimalType)
+    if isinstance(inner, In):
+        values = [_stated(name, v, schema) for v in inner.value if v is not None]
+        if negated or None in values:
+            return None
+        return Condition(name, "in", tuple(values))
+    if isinstance(inner, (EqualTo, EqualNullSafe)):
+        op = "!=" if negated else "=="
+    elif type(inner) in _COMPARISONS and not negated and ordered and name not in KEY_WORDS:
+        op = _COMPARISONS[type(inner)]
+    else:
+        return None
+    value = None if inner.value is None else _stated(name, inner.value, schema)
+    return None if value is None else Condition(name, op, value)
+
+
 class AccountReader(_ArchiveReader):
     """Account versions as rows, in the columns of the schema asked for."""
 
     def __init__(self, schema: StructType, options):
         super().__init__(schema, options)
-        self.include_dead = _flag(options, "includeDead", True)
-        self.equal = {
-            name: bytes.fromhex(options[name + "Hex"])
-            for name in ("owner", "pubkey", "hash")
-            if options.get(name + "Hex")
-        }
-        self.wanted = [
-            (bytes.fromhex(owner), length) for owner, length in json.loads(options.get("keepData", "[]"))
-        ]
+        self.where = [] if _flag(options, "includeDead", True) else [Condition("lamports", "!=", 0)]
+        for name in KEY_WORDS:
+            if options.get(name + "Hex"):
+                self.where.append(Condition(name, "==", bytes.fromhex(options[name + "Hex"])))
+        self.wanted = [rule_of(kept) for kept in json.loads(options.get("keepData", "[]"))]
         self.wanted_only = _flag(options, "onlyKeptData", False)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of the record's own fields are answered by the walk; all others go back to Spark."""
+        for given in filters:
+            condition = pushed(given, self.schema)
+            if condition is None:
+                yield given
+            elif condition:
+                self.where.append(condition)
+
     def read_archive(self, uri: str) -> Iterator[pa.RecordBatch]:
         archive = posixpath.basename(uri)
         for chunk in read_archive(uri, accounts_only=True, chunk_bytes=self.chunk_bytes):
@@ -166,8 +239,7 @@ class AccountReader(_ArchiveReader):
                 base_offset=chunk.base_offset,
                 wanted=self.wanted,
                 drop_malformed=self.drop_malformed,
-                include_dead=self.include_dead,
-                equal=self.equal,
+                where=self.where,
                 wanted_only=self.wanted_only,
             )
 
@@ -191,6 +263,23 @@ class LedgerSnapshot(DataSource):
         return EntryReader(schema, self.options)
 
 
+class LedgerArchives(DataSource):
+    """``spark.read.format("ledger_archives")``: archives, unread, in tasks of about equal bytes.
+
+    Options: ``kind``, ``minPartitions``, ``maxPartitionBytes``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "ledger_archives"
+
+    def schema(self) -> StructType:
+        return ARCHIVES
+
+    def reader(self, schema: StructType) -> ListReader:
+        return ListReader(schema, self.options)
+
+
 class LedgerAccounts(DataSource):
     """``spark.read.format("ledger_accounts")``: account versions in archives.
 
@@ -199,8 +288,9 @@ class LedgerAccounts(DataSource):
     Options: ``kind``, ``chunkBytes``, ``minPartitions``,
     ``maxPartitionBytes``, ``mode`` (FAILFAST, DROPMALFORMED), ``includeDead``,
     ``ownerHex``, ``pubkeyHex``, ``hashHex``, ``keepData``, a JSON list of
-    [owner hex, data length] whose record data is kept, and ``onlyKeptData`` to
-    read no other records.
+    [owner hex, data length] or [owner hex, least, most length, prefix hex,
+    its place] whose record data is kept, and ``onlyKeptData`` to read no other
+    records.
     """
 
     @classmethod
@@ -215,6 +305,7 @@ class LedgerAccounts(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both formats known to the session."""
-    for source in (LedgerSnapshot, LedgerAccounts):
+    """Make the formats known to the session, and let Spark push filters into them: it refuses sources that take filters otherwise."""
+    for source in (LedgerArchives, LedgerSnapshot, LedgerAccounts):
         spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

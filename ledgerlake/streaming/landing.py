@@ -15,11 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder
 from ledgerlake.operators.filters import SnapshotFilters
-from ledgerlake.operators.known import keep_known
+from ledgerlake.operators.membership import ready_keys
 from ledgerlake.operators.records import unfold
 from ledgerlake.plans.ingest import publish, publish_archives, read_versions, write_versions
 from ledgerlake.schemas import STORED_VERSIONS
 from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS
+from ledgerlake.sources.tables import register_tables
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 FILES_PER_BATCH = 1_000
@@ -58,21 +59,23 @@ def publish_arriving_archives(
     decoders: Sequence[Decoder] = DEFAULT_DECODERS,
     kind: str = "all",
     files_per_batch: int = FILES_PER_BATCH,
+    mode: str = "FAILFAST",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Publish all tables of archives as they land.
+    """Publish all tables of archives as they land, each archive read once.
 
     The stream carries file names only: at most `files_per_batch` of them reach
     the driver, and their archives are then read like any others.
     """
-    known = None if known is None else keep_known(known)
+    register_tables(spark)
+    known = None if known is None else ready_keys(known)
     paths = _landed(spark, landing, ARCHIVE_PATTERNS[kind], files_per_batch).select("path")
 
     def write(batch: DataFrame, number: int) -> None:
         arrived = [row.path for row in batch.collect()]
         if arrived:
             place = _batch_place(folder, number)
-            publish_archives(spark, arrived, place, known=known, filters=filters, decoders=decoders)
+            publish_archives(batch.sparkSession, arrived, place, known=known, filters=filters, decoders=decoders, mode=mode)
 
     return _start(paths, write, checkpoint, available_now)
 

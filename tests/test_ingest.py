@@ -11,7 +11,7 @@ from ledgerlake.functions import base58
 from ledgerlake.operators.decoders import MINTS, TOKEN_ACCOUNTS
 from ledgerlake.operators.filters import SnapshotFilters, accounts
 from ledgerlake.operators.records import read_accounts
-from ledgerlake.operators import records
+from ledgerlake.plans import ingest
 from ledgerlake.plans.ingest import publish, publish_archives, write_versions
 from ledgerlake.plans.sql import query, query_text
 from ledgerlake.sources.views import open_table, register_views, view_counts
@@ -50,7 +50,7 @@ def test_spam_does_not_touch_accounts(lake, tmp_path, spark):
 
 @pytest.mark.parametrize("large", [[], [0, 2]])
 def test_straight_from_archives_gives_the_same_tables(spark, lake, tmp_path, monkeypatch, large):
-    monkeypatch.setattr(records, "too_large_for_one_task", lambda found, cores: [found[n] for n in large])
+    monkeypatch.setattr(ingest, "too_large_for_one_task", lambda found, cores: [found[n] for n in large])
 
     def place(name):
         return f"{tmp_path}/{name}"
