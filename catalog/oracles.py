@@ -15,7 +15,8 @@ _N = """n AS (
 
 _RECORDS = f"""records AS (
   SELECT 'wallet:' || c_custkey AS name, c_custkey AS spread, c_custkey AS write_version,
-         CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_custkey * 1000 + c_nationkey END AS lamports,
+         CASE WHEN c_custkey % 10 = 0 THEN 0 WHEN c_custkey % 100 = 3 THEN {MAX_U64}
+              ELSE c_custkey * 1000 + c_nationkey END::HUGEINT AS lamports,
          CASE WHEN c_custkey % 2 = 0 THEN '{MAX_U64}' ELSE '361' END AS rent_epoch,
          repeat('0', 64) AS owner, 0 AS data_len, 0 AS executable
   FROM customer
@@ -78,10 +79,11 @@ _MINTS = """mints AS (
          p_partkey % 4 <> 0 AS is_initialized
   FROM part)"""
 
-_TOKENS = """tokens AS (
+_TOKENS = f"""tokens AS (
   SELECT l_partkey, sha256('token:' || l_orderkey || ':' || l_linenumber) AS pubkey,
-         sha256('mint:' || l_partkey) AS mint, sha256('wallet:' || l_suppkey) AS owner,
-         CAST(l_quantity AS BIGINT) * 1000 + l_linenumber AS amount,
+         sha256('mint:' || CASE WHEN l_partkey % 30 = 6 THEN l_partkey + 3 ELSE l_partkey END) AS mint, sha256('wallet:' || l_suppkey) AS owner,
+         CASE WHEN l_partkey % 300 = 9 THEN {MAX_U64}
+              ELSE CAST(l_quantity AS BIGINT) * 1000 + l_linenumber END::HUGEINT AS amount,
          CASE WHEN l_returnflag = 'R' THEN sha256('wallet:' || (l_suppkey + 1)) END AS delegate,
          CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS state,
          CASE WHEN l_partkey % 100 = 0 THEN 2039280 END AS is_native,
@@ -136,7 +138,7 @@ def _over(parts: str, select: str) -> str:
 def _accounts(condition: str) -> str:
     return _over(
         "n records versions",
-        "SELECT pubkey, lamports::BIGINT AS lamports, owner, data_len::BIGINT AS data_len,"
+        "SELECT pubkey, lamports::VARCHAR AS lamports, owner, data_len::VARCHAR AS data_len,"
         f" executable = 1 AS executable, rent_epoch FROM versions WHERE {condition}",
     )
 
@@ -146,8 +148,8 @@ _MINT_COLUMNS = (
     " decimals::INTEGER AS decimals, is_initialized"
 )
 _TOKEN_COLUMNS = (
-    "pubkey, mint, owner, amount, delegate, state::INTEGER AS state, is_native::BIGINT AS is_native,"
-    " delegated_amount::BIGINT AS delegated_amount, close_authority"
+    "pubkey, mint, owner, amount::VARCHAR AS amount, delegate, state::INTEGER AS state,"
+    " is_native::VARCHAR AS is_native, delegated_amount::VARCHAR AS delegated_amount, close_authority"
 )
 _HELD_ORDER = "PARTITION BY mint ORDER BY amount DESC, pubkey"
 _ALIVE = "lamports <> 0"
@@ -178,7 +180,7 @@ ORACLES: dict[str, str] = {
     ),
     "incremental_scan": _over(
         "n records placed",
-        f"""SELECT sha256(name) AS pubkey, lamports::BIGINT AS lamports, owner, data_len::BIGINT AS data_len,
+        f"""SELECT sha256(name) AS pubkey, lamports::VARCHAR AS lamports, owner, data_len::VARCHAR AS data_len,
                    executable = 1 AS executable, rent_epoch
             FROM placed, n WHERE archive_no >= n.archives * 3 // 4 AND {_ALIVE}""",
     ),
@@ -191,14 +193,14 @@ ORACLES: dict[str, str] = {
     ),
     "accounts_all_versions": _over(
         "n records versions",
-        """SELECT write_version::BIGINT AS write_version, data_len::BIGINT AS data_len, pubkey,
-                  lamports::BIGINT AS lamports, rent_epoch, owner, executable::INTEGER AS executable, hash
+        """SELECT write_version::VARCHAR AS write_version, data_len::VARCHAR AS data_len, pubkey,
+                  lamports::VARCHAR AS lamports, rent_epoch, owner, executable::INTEGER AS executable, hash
            FROM versions""",
     ),
     "describe_accounts": _over(
         "n records versions",
-        """SELECT write_version::BIGINT AS write_version, data_len::BIGINT AS data_len, pubkey,
-                  lamports::BIGINT AS lamports, rent_epoch, owner, executable::INTEGER AS executable, hash
+        """SELECT write_version::VARCHAR AS write_version, data_len::VARCHAR AS data_len, pubkey,
+                  lamports::VARCHAR AS lamports, rent_epoch, owner, executable::INTEGER AS executable, hash
            FROM versions""",
     ),
     "bench_counts": _over(
@@ -216,7 +218,7 @@ ORACLES: dict[str, str] = {
     "filter_conjunction": _accounts(f"{_ALIVE} AND owner = '{TOKEN}' AND pubkey = sha256('mint:9')"),
     "decoder_match": _over(
         "n records versions",
-        f"""SELECT pubkey, data_len::BIGINT AS data_len, owner = '{TOKEN}' AND data_len = 82 AS is_mint,
+        f"""SELECT pubkey, data_len::VARCHAR AS data_len, owner = '{TOKEN}' AND data_len = 82 AS is_mint,
                    owner = '{TOKEN}' AND data_len = 165 AS is_token_account
             FROM versions""",
     ),
@@ -225,7 +227,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT CASE WHEN owner = '{TOKEN}' AND data_len = 82 THEN 'mints'
                         WHEN owner = '{TOKEN}' AND data_len = 165 THEN 'token_accounts'
                         WHEN owner = sha256('loader') AND data_len = 36 THEN 'programs' ELSE 'other' END AS chosen,
-                   count(*) AS versions, sum(lamports)::BIGINT AS lamports
+                   count(*) AS versions, sum(lamports)::VARCHAR AS lamports
             FROM versions GROUP BY 1""",
     ),
     "zero_keys": _over(
@@ -251,7 +253,7 @@ ORACLES: dict[str, str] = {
            UNION ALL
            SELECT pubkey, 'is_native', (is_native IS NOT NULL)::INTEGER, is_native::VARCHAR FROM tokens""",
     ),
-    "custom_decoder": """SELECT sha256('program:' || s_suppkey) AS pubkey, 2::BIGINT AS kind,
+    "custom_decoder": """SELECT sha256('program:' || s_suppkey) AS pubkey, '2' AS kind,
                                 sha256('programdata:' || s_suppkey) AS programdata FROM supplier""",
     "base58_round_trip": _over(
         "mints", "SELECT pubkey, pubkey AS decoded, mint_authority, freeze_authority FROM mints"
@@ -301,12 +303,13 @@ ORACLES: dict[str, str] = {
     ),
     "sql_top_holders": _over(
         "tokens verified",
-        """SELECT owner, sum(amount)::BIGINT AS amount, count(*) AS accounts
-           FROM verified GROUP BY owner ORDER BY amount DESC, owner LIMIT 20""",
+        """SELECT owner, amount::VARCHAR AS amount, accounts FROM (
+             SELECT owner, sum(amount) AS amount, count(*) AS accounts
+             FROM verified GROUP BY owner ORDER BY amount DESC, owner LIMIT 20)""",
     ),
     "sql_supply_vs_held": _over(
         "mints tokens verified verified_mints",
-        """SELECT m.pubkey AS mint, m.supply::VARCHAR AS supply, sum(t.amount)::BIGINT AS held
+        """SELECT m.pubkey AS mint, m.supply::VARCHAR AS supply, sum(t.amount)::VARCHAR AS held
            FROM verified t JOIN verified_mints m ON t.mint = m.pubkey GROUP BY m.pubkey, m.supply""",
     ),
     "sql_left_unheld_mints": _over(
@@ -316,7 +319,7 @@ ORACLES: dict[str, str] = {
     ),
     "sql_wallet_balances": _over(
         "n records versions mints tokens verified verified_mints",
-        f"""SELECT a.pubkey AS wallet, a.lamports::BIGINT AS lamports, sum(t.amount)::BIGINT AS amount,
+        f"""SELECT a.pubkey AS wallet, a.lamports::VARCHAR AS lamports, sum(t.amount)::VARCHAR AS amount,
                    count(*) AS token_accounts, count(DISTINCT t.mint) AS mints, max(m.decimals)::INTEGER AS max_decimals
             FROM (SELECT * FROM versions WHERE {_ALIVE}) a
             JOIN verified t ON t.owner = a.pubkey JOIN verified_mints m ON m.pubkey = t.mint
@@ -330,12 +333,12 @@ ORACLES: dict[str, str] = {
     ),
     "sql_owner_state_rollup": _over(
         "tokens verified",
-        """SELECT state::INTEGER AS state, native, count(*) AS accounts, sum(amount)::BIGINT AS amount
+        """SELECT state::INTEGER AS state, native, count(*) AS accounts, sum(amount)::VARCHAR AS amount
            FROM (SELECT *, is_native IS NOT NULL AS native FROM verified) GROUP BY ROLLUP (state, native)""",
     ),
     "sql_cube_accounts": _over(
         "n records versions",
-        f"""SELECT owner, executable, count(*) AS accounts, sum(lamports)::BIGINT AS lamports
+        f"""SELECT owner, executable, count(*) AS accounts, sum(lamports)::VARCHAR AS lamports
             FROM (SELECT owner, executable = 1 AS executable, lamports FROM versions WHERE {_ALIVE})
             GROUP BY CUBE (owner, executable)""",
     ),
@@ -347,16 +350,17 @@ ORACLES: dict[str, str] = {
     ),
     "sql_holder_rank": _over(
         "tokens verified",
-        f"""SELECT mint, pubkey, amount, row_number() OVER ({_HELD_ORDER})::BIGINT AS rank FROM verified""",
+        f"""SELECT mint, pubkey, amount::VARCHAR AS amount, row_number() OVER ({_HELD_ORDER}) AS place,
+                   rank() OVER (PARTITION BY mint ORDER BY amount DESC) AS rank FROM verified""",
     ),
     "sql_running_amount": _over(
         "tokens verified",
-        f"""SELECT mint, pubkey, amount,
-                   sum(amount) OVER ({_HELD_ORDER} ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM verified""",
+        f"""SELECT mint, pubkey, amount::VARCHAR AS amount,
+                   sum(amount) OVER ({_HELD_ORDER} ROWS UNBOUNDED PRECEDING)::VARCHAR AS running FROM verified""",
     ),
     "sql_lag_amount": _over(
         "tokens verified",
-        f"SELECT mint, pubkey, amount, lag(amount) OVER ({_HELD_ORDER}) AS previous FROM verified",
+        f"SELECT mint, pubkey, amount::VARCHAR AS amount, (lag(amount) OVER ({_HELD_ORDER}))::VARCHAR AS previous FROM verified",
     ),
     "sql_owner_setops": _over(
         "n records versions tokens verified",
@@ -379,7 +383,7 @@ ORACLES: dict[str, str] = {
     ),
     "sql_scalar_subquery": _over(
         "tokens verified",
-        """SELECT mint, pubkey, amount FROM verified t
+        """SELECT mint, pubkey, amount::VARCHAR AS amount FROM verified t
            WHERE amount = (SELECT max(amount) FROM verified s WHERE s.mint = t.mint)""",
     ),
     "sql_formatted": _over(
@@ -390,6 +394,11 @@ ORACLES: dict[str, str] = {
                   t.pubkey AS token, t.amount::VARCHAR AS amount
            FROM verified_mints m JOIN verified t ON t.mint = m.pubkey""",
     ),
+    "sql_correlated_maximum": _over(
+        "tokens verified",
+        """SELECT mint, pubkey, amount::VARCHAR AS amount FROM verified t
+           WHERE amount = (SELECT max(amount) FROM verified s WHERE s.mint = t.mint)""",
+    ),
     "top_distinct_holders": _over(
         "tokens verified",
         """SELECT mint, count(DISTINCT owner) AS holders FROM verified

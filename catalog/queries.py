@@ -1,7 +1,7 @@
 """One query per operator, over the ledger that is derived from the given tables.
 
-Keys are published as lower-case hex and u64 values that may pass 2^63 as text,
-so that results compare plainly with the checking SQL.
+Keys are published as lower-case hex, u64 values and their sums as text, so that
+results compare plainly with the checking SQL and no number is too large.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ledgerlake.operators.decoders import MINTS, TOKEN_ACCOUNTS, dispatch, is_nf
 from ledgerlake.operators.filters import SnapshotFilters, accounts
 from ledgerlake.operators.known import read_known_mints
 from ledgerlake.operators.metrics import RunClock
-from ledgerlake.operators.ordered import Previous, RowNumber, RunningSum, measured
+from ledgerlake.operators.ordered import Previous, Rank, RowNumber, RunningSum, measured
 from ledgerlake.operators.records import read_accounts
 from ledgerlake.plans.scratch import new_folder
 from ledgerlake.plans.sql import query, query_text
@@ -34,7 +34,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-WIDE = ("rent_epoch", "supply")
 HASHED_COLUMNS = [n for n in ACCOUNT_VERSIONS.names if n not in ("archive", "path", "rec_offset", "data")]
 DESCRIBED = ("write_version", "data_len", "pubkey", "lamports", "rent_epoch", "owner", "executable", "hash")
 ALL = SnapshotFilters(include_dead=True)
@@ -63,10 +62,8 @@ def shown(rows: DataFrame) -> DataFrame:
         column = F.col(name)
         if kind == "binary":
             return _hex(column)
-        if name in WIDE:
-            return column.cast("string")
         if kind.startswith("decimal"):
-            return column.cast("bigint")
+            return column.cast("string")
         return column.cast("int") if kind == "smallint" else column
 
     return rows.select(*[show(name, kind).alias(name) for name, kind in rows.dtypes])
@@ -172,7 +169,7 @@ def decoder_match(lake: Lake) -> DataFrame:
     return shown(
         lake.versions.select(
             "pubkey",
-            "data_len",
+            binary.u64_of(lake.versions, "data_len").alias("data_len"),
             MINTS.matches().alias("is_mint"),
             TOKEN_ACCOUNTS.matches().alias("is_token_account"),
         )
@@ -186,7 +183,7 @@ def decoder_dispatch(lake: Lake) -> DataFrame:
             dispatch(DECODERS).alias("chosen"), binary.u64_of(lake.versions, "lamports").alias("lamports")
         )
         .groupBy("chosen")
-        .agg(F.count("*").alias("versions"), F.sum("lamports").cast("bigint").alias("lamports"))
+        .agg(F.count("*").alias("versions"), F.sum("lamports").cast("string").alias("lamports"))
     )
 
 
@@ -308,7 +305,7 @@ def describe_accounts(lake: Lake) -> DataFrame:
     def value(name: str) -> Column:
         if name in ("pubkey", "owner", "hash"):
             return _hex(base58.from_base58(name))
-        return F.col(name).cast({"rent_epoch": "string", "executable": "int"}.get(name, "bigint"))
+        return F.col(name).cast("int") if name == "executable" else F.col(name)
 
     return values.select(*[value(name).alias(name) for name in DESCRIBED])
 
@@ -413,16 +410,12 @@ def rank_sources_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 # SQL shapes over the published tables
 
 
-def _total(column: str) -> Column:
-    return F.sum(column).cast("bigint")
-
-
 @lake_query
 def sql_top_holders(lake: Lake) -> DataFrame:
     top = (
         lake.table("token_accounts")
         .groupBy("owner")
-        .agg(_total("amount").alias("amount"), F.count("*").alias("accounts"))
+        .agg(F.sum("amount").alias("amount"), F.count("*").alias("accounts"))
         .orderBy(F.desc("amount"), "owner")
         .limit(20)
     )
@@ -437,8 +430,8 @@ def sql_supply_vs_held(lake: Lake) -> DataFrame:
     joined = held.join(mints, held["mint"] == mints["pubkey"])
     return (
         joined.groupBy("pubkey", "supply")
-        .agg(_total("held").alias("held"))
-        .select(_hex("pubkey").alias("mint"), F.col("supply").cast("string").alias("supply"), "held")
+        .agg(F.sum("held").alias("held"))
+        .select(_hex("pubkey").alias("mint"), *(F.col(n).cast("string").alias(n) for n in ("supply", "held")))
     )
 
 
@@ -498,7 +491,7 @@ def sql_owner_state_rollup(lake: Lake) -> DataFrame:
         lake.spark,
         lake.published,
         """SELECT CAST(state AS INT) AS state, is_native IS NOT NULL AS native,
-                  count(*) AS accounts, CAST(sum(amount) AS BIGINT) AS amount
+                  count(*) AS accounts, CAST(sum(amount) AS STRING) AS amount
            FROM token_accounts
            GROUP BY ROLLUP (CAST(state AS INT), is_native IS NOT NULL)""",
     )
@@ -510,7 +503,7 @@ def sql_cube_accounts(lake: Lake) -> DataFrame:
         lake.spark,
         lake.published,
         """SELECT lower(hex(owner)) AS owner, executable, accounts, lamports FROM (
-             SELECT owner, executable, count(*) AS accounts, CAST(sum(lamports) AS BIGINT) AS lamports
+             SELECT owner, executable, count(*) AS accounts, CAST(sum(lamports) AS STRING) AS lamports
              FROM accounts GROUP BY CUBE (owner, executable))""",
     )
 
@@ -529,13 +522,13 @@ def sql_grouping_sets(lake: Lake) -> DataFrame:
 
 
 def _held_in_order(lake: Lake, measures: Sequence) -> DataFrame:
-    held = lake.table("token_accounts").select("mint", "pubkey", F.col("amount").cast("bigint").alias("amount"))
+    held = lake.table("token_accounts").select("mint", "pubkey", "amount")
     return shown(measured(held, ["mint"], [F.desc("amount"), F.col("pubkey")], measures))
 
 
 @lake_query
 def sql_holder_rank(lake: Lake) -> DataFrame:
-    return _held_in_order(lake, [RowNumber("rank")])
+    return _held_in_order(lake, [RowNumber("place"), Rank("rank", ("amount",))])
 
 
 @lake_query
@@ -550,25 +543,19 @@ def sql_lag_amount(lake: Lake) -> DataFrame:
 
 @lake_query
 def sql_owner_setops(lake: Lake) -> DataFrame:
-    def owners(name: str) -> DataFrame:
-        return lake.table(name).select("owner").distinct()
-
-    # Both sides are distinct already: a full outer view of them answers all three.
-    left = owners("token_accounts").withColumn("in_tokens", F.lit(True))
-    right = lake.table("accounts").select(F.col("pubkey").alias("owner")).distinct().withColumn("in_accounts", F.lit(True))
-    both = left.unionByName(right, allowMissingColumns=True).groupBy("owner").agg(
-        F.bool_or("in_tokens").alias("in_tokens"), F.bool_or("in_accounts").alias("in_accounts")
-    )
-    in_tokens, in_accounts = (F.coalesce(n, F.lit(False)) for n in ("in_tokens", "in_accounts"))
-    found = F.filter(
-        F.array(
-            F.lit("union"),
-            F.when(in_tokens & in_accounts, "intersect"),
-            F.when(in_accounts & ~in_tokens, "except"),
-        ),
-        lambda x: x.isNotNull(),
+    # Each side is distinct before the sets meet, so an owner of very many accounts is one row there.
+    return query(
+        lake.spark,
+        lake.published,
+        """WITH holders AS (SELECT DISTINCT owner FROM token_accounts),
+                wallets AS (SELECT DISTINCT pubkey AS owner FROM accounts)
+           SELECT lower(hex(owner)) AS owner, 'union' AS set
+           FROM (SELECT * FROM holders UNION SELECT * FROM wallets)
+           UNION ALL
+           SELECT lower(hex(owner)), 'intersect' FROM (SELECT * FROM holders INTERSECT SELECT * FROM wallets)
+           UNION ALL
+           SELECT lower(hex(owner)), 'except' FROM (SELECT * FROM wallets EXCEPT SELECT * FROM holders)""",
     )
-    return both.select(_hex("owner").alias("owner"), F.explode(found).alias("set"))
 
 
 BANDS = [("dust", 0, 5_000), ("small", 5_000, 20_000), ("medium", 15_000, 35_000), ("large", 35_000, 2**64)]
@@ -609,6 +596,18 @@ def sql_scalar_subquery(lake: Lake) -> DataFrame:
     return shown(held.join(best, ["mint", "amount"], "left_semi").select("mint", "pubkey", "amount"))
 
 
+@lake_query
+def sql_correlated_maximum(lake: Lake) -> DataFrame:
+    # As a user writes it. `sql_scalar_subquery` gives the same where one mint has a large share of all accounts.
+    return query(
+        lake.spark,
+        lake.published,
+        """SELECT lower(hex(mint)) AS mint, lower(hex(pubkey)) AS pubkey, CAST(amount AS STRING) AS amount
+           FROM token_accounts t
+           WHERE amount = (SELECT max(amount) FROM token_accounts s WHERE s.mint = t.mint)""",
+    )
+
+
 @lake_query
 def sql_formatted(lake: Lake) -> DataFrame:
     # Two columns of the result are named pubkey.

@@ -160,7 +160,7 @@ def record_bytes() -> Column:
     wallet = _record(
         _name("wallet", k),
         version=k,
-        lamports=F.when(k % 10 == 0, 0).otherwise(k * 1000 + F.col("nation")),
+        lamports=F.when(k % 10 == 0, 0).when(k % 100 == 3, F.lit(MAX_U64)).otherwise(k * 1000 + F.col("nation")),
         rent=F.when(k % 2 == 0, F.lit(MAX_U64)).otherwise(361),
         owner=_bytes(ZERO_KEY),
         data=_bytes(b""),
@@ -190,9 +190,9 @@ def record_bytes() -> Column:
         rent=F.lit(MAX_U64),
         owner=_bytes(TOKEN_PROGRAM),
         data=F.concat(
-            text_key("mint:", part),
+            text_key("mint:", F.when(part % 30 == 6, part + 3).otherwise(part)),
             text_key("wallet:", supplier),
-            le64(F.col("quantity") * 1000 + line),
+            le64(F.when(part % 300 == 9, F.lit(MAX_U64)).otherwise(F.col("quantity") * 1000 + line)),
             _tag(F.when(returned, 1).otherwise(0)),
             text_key("wallet:", supplier + 1),
             F.when(F.col("status") == "O", _bytes(b"\x01")).otherwise(_bytes(b"\x02")),

@@ -1,4 +1,4 @@
-"""Row number, running sum and previous value per key, also when one key holds very many rows.
+"""Row number, rank, running sum and previous value per key, also when one key holds very many rows.
 
 A plain window sorts all rows of a key in one task. Here keys with more than
 `hot_rows` rows are found first; their rows are range-partitioned by key and
@@ -42,21 +42,32 @@ class Previous:
     of: str
 
 
-Measure = RowNumber | RunningSum | Previous
+@dataclass(frozen=True)
+class Rank:
+    """Place of the first row with the same values in `by`, the first columns of the order."""
+
+    name: str
+    by: tuple[str, ...]
 
 
-def _plain(measure: Measure, window: WindowSpec) -> Column:
+Measure = RowNumber | RunningSum | Previous | Rank
+
+
+def _plain(measure: Measure, keys: Sequence[str], order: Sequence[Column]) -> Column:
+    window = W.partitionBy(*keys).orderBy(*order)
     match measure:
         case RowNumber():
             return F.row_number().over(window).cast("bigint")
+        case Rank(_, by):
+            return F.rank().over(W.partitionBy(*keys).orderBy(*order[: len(by)])).cast("bigint")
         case RunningSum(_, of):
             return F.sum(of).over(window.rowsBetween(W.unboundedPreceding, W.currentRow))
         case Previous(_, of):
             return F.lag(of).over(window)
 
 
-def _with_plain(rows: DataFrame, measures: Sequence[Measure], window: WindowSpec) -> DataFrame:
-    return rows.select("*", *[_plain(m, window).alias(m.name) for m in measures])
+def _with_plain(rows: DataFrame, measures: Sequence[Measure], keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    return rows.select("*", *[_plain(m, keys, order).alias(m.name) for m in measures])
 
 
 def _apart(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -78,6 +89,39 @@ def _carried(measure: Measure, ranges: WindowSpec) -> Column:
             return F.sum(f"_{name}").over(before)
         case Previous(name, _):
             return F.lag(f"_{name}").over(ranges)
+        case Rank(name, _):
+            # Where the last run of the range before begins, if this range goes on with that run.
+            goes_on = F.lag(f"_last_{name}").over(ranges).eqNullSafe(F.col(f"_first_{name}"))
+            return F.when(goes_on, F.last(f"_begins_{name}", ignorenulls=True).over(before))
+
+
+def _summed(measure: Measure) -> list[Column]:
+    """What a range tells of a key besides its number of rows."""
+    match measure:
+        case RowNumber():
+            return []
+        case RunningSum(name, of):
+            return [F.sum(of).alias(f"_{name}")]
+        case Previous(name, of):
+            return [F.max_by(of, "_place").alias(f"_{name}")]
+        case Rank(name, by):
+            values = F.struct(*by)
+            return [
+                F.min_by(values, "_place").alias(f"_first_{name}"),
+                F.max_by(values, "_place").alias(f"_last_{name}"),
+                F.max_by(name, "_place").alias(f"_begins_{name}"),
+            ]
+
+
+def _begun(ranges: DataFrame, measure: Rank, in_turn: WindowSpec) -> DataFrame:
+    """The place in its key, not in its range, where a range's last run begins; null if that is in an earlier range."""
+    name = measure.name
+    first, last = F.col(f"_first_{name}"), F.col(f"_last_{name}")
+    one_run_from_before = F.lag(last).over(in_turn).eqNullSafe(first) & first.eqNullSafe(last)
+    earlier = F.coalesce(F.sum("_rows").over(in_turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    has_before = F.row_number().over(in_turn) > 1
+    begins = F.when(~(has_before & one_run_from_before), earlier + F.col(f"_begins_{name}"))
+    return ranges.withColumn(f"_begins_{name}", begins)
 
 
 def _moved(measure: Measure) -> Column:
@@ -86,6 +130,9 @@ def _moved(measure: Measure) -> Column:
     match measure:
         case RowNumber():
             return own + F.coalesce(carried, F.lit(0))
+        case Rank():
+            earlier = F.coalesce(F.col("_carried_rows"), F.lit(0))
+            return F.when((own == 1) & carried.isNotNull(), carried).otherwise(own + earlier)
         case RunningSum():
             return F.when(carried.isNull(), own).when(own.isNull(), carried).otherwise(own + carried)
         case Previous():
@@ -109,20 +156,21 @@ def _hot(
     )
     # Read from the table: the ranges are fixed there.
     placed = spark.read.parquet(folder)
-    sums = [F.sum(m.of).alias(f"_{m.name}") for m in measures if isinstance(m, RunningSum)]
-    lasts = [F.max_by(m.of, "_place").alias(f"_{m.name}") for m in measures if isinstance(m, Previous)]
     in_turn = W.partitionBy(*keys).orderBy("_range")
-    carried = (
-        placed.groupBy("_range", *keys)
-        .agg(F.count("*").alias("_rows"), *sums, *lasts)
-        .select("_range", *keys, *[_carried(m, in_turn).alias(f"_carried_{m.name}") for m in measures])
-    )
-    inside = W.partitionBy("_range", *keys).orderBy("_place")
-    numbered = _with_plain(placed, measures, inside).withColumn("_first", F.row_number().over(inside) == 1)
+    inside = ["_range", *keys]
+    places = [F.col("_place")]
+    ranks = [m for m in measures if isinstance(m, Rank)]
+    others = [m for m in measures if not isinstance(m, Rank)]
+    numbered = _with_plain(_with_plain(placed, others, inside, places), ranks, inside, order)
+    numbered = numbered.withColumn("_first", F.row_number().over(W.partitionBy(*inside).orderBy(*places)) == 1)
+    told = (numbered if ranks else placed).groupBy(*inside).agg(F.count("*").alias("_rows"), *[c for m in measures for c in _summed(m)])
+    for rank in ranks:
+        told = _begun(told, rank, in_turn)
+    earlier = F.sum("_rows").over(in_turn.rowsBetween(W.unboundedPreceding, -1)).alias("_carried_rows")
+    carried = told.select(*inside, earlier, *[_carried(m, in_turn).alias(f"_carried_{m.name}") for m in measures])
     # One row per range and hot key in it. Their number grows with the rows, so
     # nothing is said about a broadcast; a range holds few rows for one task.
-    place = ["_range", *keys]
-    joined = numbered.join(_apart(carried, place), _same(place), "left")
+    joined = numbered.join(_apart(carried, inside), _same(inside), "left")
     return joined.select(*rows.columns, *[_moved(m).alias(m.name) for m in measures])
 
 
@@ -135,12 +183,11 @@ def measured(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The rows with each measure over (partition by keys order by order), in the types of a plain window."""
-    window = W.partitionBy(*keys).orderBy(*order)
     folder = new_folder(rows.sparkSession, "hot-keys")
     rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).write.parquet(folder)
     found = rows.sparkSession.read.parquet(folder)
     hot_total, hot_count = found.agg(F.sum("_rows"), F.count("*")).first()
-    plain = _with_plain(rows, measures, window)
+    plain = _with_plain(rows, measures, keys, order)
     if not hot_total:
         return plain
     ranges = -(-hot_total * RANGES_PER_HOT_ROWS // hot_rows)
@@ -152,4 +199,4 @@ def measured(
     split = _hot(hot, keys, order, measures, ranges)
     kinds = {f.name: f.dataType for f in plain.schema}
     split = split.select(*rows.columns, *[F.col(m.name).cast(kinds[m.name]).alias(m.name) for m in measures])
-    return _with_plain(cold, measures, window).unionByName(split)
+    return _with_plain(cold, measures, keys, order).unionByName(split)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.ordered import Previous, RowNumber, RunningSum, measured
+from ledgerlake.operators.ordered import Previous, Rank, RowNumber, RunningSum, measured
 
 MEASURES = [RowNumber("n"), RunningSum("running", "v"), Previous("before", "v")]
 
@@ -68,3 +68,20 @@ def test_types_do_not_depend_on_hot_keys(spark):
     spread = measured(rows, ["k"], [F.col("v")], measures, hot_rows=100)
     assert plain.dtypes == spread.dtypes
     assert sorted(plain.collect()) == sorted(spread.collect())
+
+
+@pytest.mark.parametrize("hot_rows", [5_000, 400])
+@pytest.mark.parametrize("by", [("v",), ("v", "w")])
+def test_rank_over_runs_that_cross_ranges(rows, hot_rows, by):
+    """Half of the hot key's rows are one run of equal values, longer than several ranges; nulls are a run too."""
+    order = [F.desc("v"), F.col("w")]
+    measures = [RowNumber("n"), Rank("rank", by)]
+    plain = measured(rows, ["k"], order, measures, hot_rows=10**9)
+    spread = measured(rows, ["k"], order, measures, hot_rows=hot_rows)
+    assert spread.dtypes == plain.dtypes
+
+    def found(table):
+        return sorted(map(tuple, table.select("k", "v", "w", "n", "rank").collect()), key=repr)
+
+    assert found(spread) == found(plain)
+    assert all(r[4] <= r[3] for r in found(spread))
