@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +66,15 @@ def lower_words(text: str | None) -> list[bytes]:
 def in_blocks(values: list, size: int) -> Iterator[list]:
     for begin in range(0, len(values), size):
         yield values[begin : begin + size]
+
+
+def blocks_of(sizes: Sequence[int], most: int) -> Iterator[slice]:
+    """Consecutive rows of at most so many bytes together, or one larger row."""
+    begin = held = 0
+    for at, size in enumerate(sizes):
+        if at > begin and held + size > most:
+            yield slice(begin, at)
+            begin, held = at, 0
+        held += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ledgerlake.llm.common import blocks_of
+
 #: A run has at least so many words, and at least two periods.
 LEAST = 12
 #: Text of one block, in bytes, unless one document is larger.
@@ -310,18 +312,6 @@ def _block(texts: Sequence[bytes], seeds: Sequence[int | None]) -> Iterator[tupl
         yield len(mine), int(begin[k]), longest, shortest, 1000 * longest // shortest, sha256(listed.encode()).hexdigest(), collapsed
 
 
-def blocks_of(sizes: Sequence[int], most: int) -> Iterator[slice]:
-    """Consecutive rows of at most so many bytes together, or one larger row."""
-    begin = held = 0
-    for at, size in enumerate(sizes):
-        if at > begin and held + size > most:
-            yield slice(begin, at)
-            begin, held = at, 0
-        held += size
-    if begin < len(sizes):
-        yield slice(begin, len(sizes))
-
-
 RESULT = (
     "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
     "runs_sha256 string, collapsed_sha256 string"

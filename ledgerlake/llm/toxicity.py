@@ -19,13 +19,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import crc_of_id, stored
+from ledgerlake.llm.common import blocks_of, crc_of_id, stored
 
 #: Labelled rows of each class that a model is fitted on, at most; as many more may fit the curve.
 SAMPLE = 4000
@@ -38,11 +40,16 @@ DENSE_FROM, DENSE_SHARE, DENSE_WORDS, ERRORS = 3, 0.01, 2, 2.0
 THRESHOLD = 0.7
 START, STOP = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 500_000
+#: Words whose evidence a task remembers; texts that are worked out at once, in bytes, unless one is larger; new words at once.
+_WORDS_KEPT, _BLOCK_BYTES, _NEW_WORDS = 500_000, 4 << 20, 20_000
+
+
+def lower_bytes(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").split()
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in (text or "").lower().encode("utf-8", "replace").split()]
+    return [w.decode("utf-8", "replace") for w in lower_bytes(text)]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -71,7 +78,7 @@ def grams_by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], owner[first]
 
 
-def is_dense(times: np.ndarray, words: int) -> np.ndarray:
+def is_dense(times: np.ndarray, words: int | np.ndarray) -> np.ndarray:
     return (times >= DENSE_WORDS) & (times >= DENSE_SHARE * words)
 
 
@@ -85,11 +92,78 @@ def dense_grams(words: list[str]) -> np.ndarray:
     return found[is_dense(np.bincount(where, times[owner]), len(words))]
 
 
+class _Places:
+    """Where hashes stand in a table: slots by their high bits, a full slot's neighbour next."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.missing = len(keys)
+        self.slots = np.full(1 << bits, self.missing, np.int32)
+        self.keys = np.append(keys, 0)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[slot] == self.missing
+            self.slots[slot[free]] = left[free]
+            lost = self.slots[slot] != left
+            left, slot = left[lost], slot[lost] + 1 & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, `missing` where it has none."""
+        slot = self._first(keys)
+        found = self.slots[slot]
+        wrong = np.flatnonzero((self.keys[found] != keys) & (found != self.missing))
+        while len(wrong):
+            slot[wrong] = slot[wrong] + 1 & self.mask
+            found[wrong] = self.slots[slot[wrong]]
+            wrong = wrong[(self.keys[found[wrong]] != keys[wrong]) & (found[wrong] != self.missing)]
+        return found
+
+
+class _Values:
+    """Two numbers for each known hash, others for all else."""
+
+    def __init__(self, table: tuple[np.ndarray, np.ndarray], otherwise: float):
+        self.places = _Places(table[0])
+        self.values = np.concatenate([table[1].reshape(-1, 2), np.full((1, 2), otherwise, np.float32)])
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self.places.of(keys)]
+
+
+class Vocabulary:
+    """What a task knows of the words it has met: evidence, and the strong n-grams of each as a stretch of one array."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.evidence = np.zeros(0)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.grams = np.zeros(0, np.int64)
+
+    def learn(self, model: Model, words: list[bytes]) -> None:
+        """Take in words that are new."""
+        evidence, owners, grams = [self.evidence], [], [self.grams]
+        for begin in range(0, len(words), _NEW_WORDS):
+            some = [w.decode("utf-8", "replace") for w in words[begin : begin + _NEW_WORDS]]
+            own, owner, gram = model.of_words(some)
+            evidence.append(own)
+            owners.append(owner + begin)
+            grams.append(gram)
+        count = np.bincount(np.concatenate(owners), minlength=len(words)) if owners else np.zeros(0, np.int64)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.begin = np.concatenate([self.begin, len(self.grams) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.evidence, self.grams = np.concatenate(evidence), np.concatenate(grams)
+
+
 @dataclass
 class Model:
-    """By order: sorted hashes of n-grams with their two discounted shares, and of contexts with their two back-off weights.
+    """By order: hashes of n-grams with their two discounted shares, and of contexts with their two back-off weights.
 
-    Besides these, sorted hashes of n-grams with the strength that each gives where it is dense.
+    Besides these, hashes of n-grams with the strength that each gives where it is dense.
     """
 
     shares: list[tuple[np.ndarray, np.ndarray]]
@@ -98,68 +172,84 @@ class Model:
     dense: tuple[np.ndarray, np.ndarray]
     curve: np.ndarray
 
-    @staticmethod
-    def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise: float) -> np.ndarray:
-        known, values = table
-        if not len(known):
-            return np.full((len(keys), 2), otherwise)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where((known[at] == keys)[:, None], values[at], otherwise)
+    @cached_property
+    def _tables(self) -> tuple[list[_Values], list[_Values], _Places]:
+        return [_Values(t, 0.0) for t in self.shares], [_Values(t, 1.0) for t in self.backoffs], _Places(self.dense[0])
 
-    def evidence(self, words: list[str]) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each word."""
-        if not words:
-            return np.zeros(0)
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in vars(self).items() if name != "_tables"}
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(toxic less ordinary log-likelihood of each word; number of a word and place of a strong n-gram that it has, each once, by word)."""
+        shares, backoffs, dense = self._tables
         at, hashes, starts = grams(words)
         p = np.full((len(at), 2), self.floor)
+        found = []
         for k in range(1, ORDER + 1):
             context = hashes[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64)
-            p = self._found(self.shares[k - 1], hashes[k][at].view(np.int64), 0.0) + self._found(self.backoffs[k - 1], context.view(np.int64), 1.0) * p
-        return np.add.reduceat(np.log(p[:, 0]) - np.log(p[:, 1]), starts)
-
-    def strong_grams(self, words: list[str]) -> dict[str, list[int]]:
-        """Places in the table of strengths of the n-grams of those words that have any there."""
-        known = self.dense[0]
-        if not words or not len(known):
-            return {}
-        keys, owner = grams_by_word(words)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        out: dict[str, list[int]] = {}
-        for word, gram in zip(owner[hit].tolist(), at[hit].tolist()):
-            out.setdefault(words[word], []).append(gram)
-        return out
+            keys = hashes[k][at].view(np.int64)
+            p = shares[k - 1].of(keys) + backoffs[k - 1].of(context.view(np.int64)) * p
+            if k >= DENSE_FROM and dense.missing:
+                place = dense.of(keys)
+                hit = np.flatnonzero(place != dense.missing)
+                found.append(np.column_stack([np.searchsorted(starts, hit, side="right") - 1, place[hit]]))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return np.add.reduceat(np.log(p[:, 0]) - np.log(p[:, 1]), starts), pairs[:, 0], pairs[:, 1]
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word."""
+        return self.of_words(words)[0] if words else np.zeros(0)
 
-    def strength(self, words: list[str], strong: dict[str, list[int]]) -> float:
-        """The greatest strength of the n-grams that are dense in a document of these words."""
-        found = [gram for w in words if w in strong for gram in strong[w]]
-        if not found:
-            return 0.0
-        kinds, times = np.unique(found, return_counts=True)
-        return float(self.dense[1][kinds[is_dense(times, len(words))]].max(initial=0.0))
-
-    def features(self, texts: list[str | None], cache: dict[str, float], strong: dict[str, list[int]]) -> np.ndarray:
-        lists = [words_of(t) for t in texts]
-        new = list({w for words in lists for w in words if w not in cache})
-        if len(cache) + len(new) > _WORDS_KEPT:
-            cache.clear()
-            strong.clear()
-            new = list({w for words in lists for w in words})
-        for begin in range(0, len(new), 20_000):
-            some = new[begin : begin + 20_000]
-            cache.update(zip(some, self.evidence(some).tolist()))
-            strong.update(self.strong_grams(some))
+    def features(self, texts: list[str | None], vocabulary: Vocabulary) -> np.ndarray:
+        """A row of features for each text; texts without a word have zeros."""
         out = np.zeros((len(texts), 2 + len(RUNS)))
-        for row, words in zip(out, lists):
-            if words:
-                sums = np.concatenate([[0.0], np.cumsum([cache[w] for w in words])])
-                row[0] = sums[-1] / len(words)
-                for n, run in enumerate(RUNS):
-                    r = min(run, len(words))
-                    row[1 + n] = ((sums[r:] - sums[:-r]) / r).max()
-                row[-1] = self.strength(words, strong)
+        for some in blocks_of([len(t or "") for t in texts], _BLOCK_BYTES):
+            out[some] = self._block([lower_bytes(t) for t in texts[some]], vocabulary)
         return out
 
+    def _block(self, lists: list[list[bytes]], vocabulary: Vocabulary) -> np.ndarray:
+        out = np.zeros((len(lists), 2 + len(RUNS)))
+        kinds = set().union(*lists)
+        new = list(kinds - vocabulary.number.keys())
+        if len(vocabulary.number) + len(new) > _WORDS_KEPT:
+            vocabulary.__init__()
+            new = list(kinds)
+        vocabulary.learn(self, new)
+        sizes = np.array([len(words) for words in lists])
+        filled = np.flatnonzero(sizes)
+        if not len(filled):
+            return out
+        number = np.fromiter(chain.from_iterable(map(vocabulary.number.__getitem__, words) for words in lists), np.int64, sizes.sum())
+        sizes = sizes[filled]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        sums = np.concatenate([[0.0], np.cumsum(vocabulary.evidence[number])])
+        out[filled, 0] = (sums[ends] - sums[begins]) / sizes
+        end_of = np.repeat(ends, sizes)
+        place = np.arange(len(number))
+        for n, run in enumerate(RUNS):
+            to = place + run
+            mean = np.where(to <= end_of, (sums[np.minimum(to, len(number))] - sums[place]) / run, -np.inf)
+            out[filled, 1 + n] = np.where(sizes >= run, np.maximum.reduceat(mean, begins), out[filled, 0])
+        out[filled, -1] = self._strengths(number, begins, sizes, vocabulary)
+        return out
+
+    def _strengths(self, number: np.ndarray, begins: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        """For each text the greatest strength of the n-grams that are dense in it; zero where there is none."""
+        best = np.zeros(len(sizes))
+        strong = np.flatnonzero(vocabulary.count[number])
+        if not len(strong):
+            return best
+        text = np.searchsorted(begins, strong, side="right") - 1
+        count = vocabulary.count[number[strong]]
+        first = np.repeat(vocabulary.begin[number[strong]], count)
+        gram = vocabulary.grams[first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        kinds, times = np.unique(np.repeat(text, count) * len(self.dense[0]) + gram, return_counts=True)
+        text, gram = np.divmod(kinds, len(self.dense[0]))
+        here = is_dense(times, sizes[text])
+        np.maximum.at(best, text[here], self.dense[1][gram[here]])
+        return best
+
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + features @ self.curve[1:], -500, 500)))
 
@@ -308,9 +398,9 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, strong = {}, {}
+        known = Vocabulary()
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "features": list(shared.value.features(list(batch["text"]), cache, strong))})
+            yield pd.DataFrame({"toxic": batch["toxic"], "features": list(shared.value.features(list(batch["text"]), known))})
 
     return rows.select("text", "toxic").mapInPandas(run, "toxic int, features array<double>")
 
@@ -328,9 +418,9 @@ def scorer(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache, strong = {}, {}
+        known = Vocabulary()
         for texts in batches:
-            yield pd.Series(shared.value.score(shared.value.features(list(texts), cache, strong)))
+            yield pd.Series(shared.value.score(shared.value.features(list(texts), known)))
 
     return score
 

@@ -405,3 +405,36 @@ def test_sql(spark, name):
 
 def test_all_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
+
+
+def test_places_in_a_table_of_hashes():
+    rng = np.random.default_rng(2)
+    keys = np.unique(np.concatenate([rng.integers(-(2**63), 2**63, 5000), np.arange(-3, 60), rng.integers(2**62, 2**62 + 900, 500)]))
+    places = toxicity._Places(keys)
+    assert (places.of(keys) == np.arange(len(keys))).all()
+    others = np.setdiff1d(rng.integers(-(2**63), 2**63, 5000), keys)
+    assert (places.of(others) == places.missing).all()
+    assert (toxicity._Places(np.zeros(0, np.int64)).of(keys) == 0).all()
+
+
+def test_features_do_not_depend_on_blocks(spark, monkeypatch):
+    """Word by word in plain Python, whatever texts share a block and however often the vocabulary is begun anew."""
+    folder = "/root/testdata/sf0.01"
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [None, "", " ", "a"]
+
+    def plain(text):
+        words = toxicity.words_of(text)
+        if not words:
+            return [0.0] * 5
+        own = [float(model.evidence([w])[0]) for w in words]
+        best = [max(sum(own[i : i + r]) / r for i in range(len(own) - r + 1)) for r in (min(r, len(own)) for r in toxicity.RUNS)]
+        strengths = dict(zip(model.dense[0].tolist(), model.dense[1].tolist()))
+        return [sum(own) / len(own), *best, max([strengths.get(g, 0.0) for g in toxicity.dense_grams(words).tolist()], default=0.0)]
+
+    wanted = np.array([plain(t) for t in texts])
+    for block, kept in ((1, 10**6), (20_000, 300), (1 << 30, 10**6)):
+        monkeypatch.setattr(toxicity, "_BLOCK_BYTES", block)
+        monkeypatch.setattr(toxicity, "_WORDS_KEPT", kept)
+        assert np.abs(model.features(texts, toxicity.Vocabulary()) - wanted).max() < 1e-9
+    assert (wanted[:, 4] > 0).any()

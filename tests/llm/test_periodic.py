@@ -7,7 +7,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from ledgerlake.llm import periodic, queries
+from ledgerlake.llm import common, periodic, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,5 +135,5 @@ def test_the_given_documents(spark):
 
 
 def test_blocks_hold_whole_rows():
-    assert list(periodic.blocks_of([3, 3, 9, 1, 1], 6)) == [slice(0, 2), slice(2, 3), slice(3, 5)]
-    assert list(periodic.blocks_of([], 6)) == []
+    assert list(common.blocks_of([3, 3, 9, 1, 1], 6)) == [slice(0, 2), slice(2, 3), slice(3, 5)]
+    assert list(common.blocks_of([], 6)) == []
