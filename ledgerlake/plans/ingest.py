@@ -26,18 +26,29 @@ PARQUET_OPTIONS = {
 }
 
 
-def write_versions(versions: DataFrame, path: str, decoders: Sequence[Decoder] = DEFAULT_DECODERS) -> None:
+# A reader that looks for one key skips row groups whose Bloom filter lacks it.
+BLOOM_OPTIONS = {f"parquet.bloom.filter.enabled#{name}": "true" for name in ("pubkey", "hash")} | {
+    "parquet.bloom.filter.adaptive.enabled": "true"
+}
+
+
+def write_versions(
+    versions: DataFrame, path: str, decoders: Sequence[Decoder] = DEFAULT_DECODERS, clustered_by: Sequence[str] = ()
+) -> None:
     """Store account versions by the decoder that takes them.
 
     A decoder then reads only its own folder, and the others never see the
-    record data.
+    record data. Row groups carry Bloom filters of pubkeys and hashes. With
+    `clustered_by` the versions are range-partitioned and sorted by those
+    columns (one shuffle), so that files also differ in their least and
+    greatest keys; equal rows fall into several ranges.
     """
-    (
-        versions.withColumn("decoder", dispatch(decoders))
-        .write.mode("overwrite")
-        .partitionBy("decoder")
-        .parquet(path)
-    )
+    stored = versions.withColumn("decoder", dispatch(decoders))
+    if clustered_by:
+        order = ["decoder", *clustered_by]
+        tied = stored.withColumn("_tie", F.monotonically_increasing_id())
+        stored = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order).drop("_tie")
+    stored.write.mode("overwrite").options(**BLOOM_OPTIONS).partitionBy("decoder").parquet(path)
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:

@@ -43,6 +43,7 @@ from ledgerlake.operators.decoders import rule_of
 from ledgerlake.operators.walk import KEY_WORDS, U64_WORDS, Condition, record_batches
 from ledgerlake.schemas import ACCOUNT_VERSIONS, ARCHIVES, ENTRIES
 from ledgerlake.sources.archive import DEFAULT_CHUNK, Chunk, read_archive
+from ledgerlake.sources.arriving import ArrivingArchives
 from ledgerlake.sources.files import list_files
 
 # File names of the two kinds of archive.
@@ -95,8 +96,13 @@ class _ArchiveReader(DataSourceReader):
         self.max_partition_bytes = int(options.get("maxPartitionBytes", 128 << 20))
         self.drop_malformed = options.get("mode", "FAILFAST").upper() == "DROPMALFORMED"
 
+    def found(self) -> list[tuple[str, int]]:
+        return [f for path in self.paths for f in list_files(path, ARCHIVE_PATTERNS[self.kind])]
+
     def partitions(self):
-        found = [f for path in self.paths for f in list_files(path, ARCHIVE_PATTERNS[self.kind])]
+        return self.packed_partitions(self.found())
+
+    def packed_partitions(self, found: list[tuple[str, int]]) -> list[ArchivePartition]:
         groups = len(found)
         if self.min_partitions:
             total = sum(size for _, size in found)
@@ -244,7 +250,14 @@ class AccountReader(_ArchiveReader):
             )
 
 
-class LedgerSnapshot(DataSource):
+class _ArchiveSource(DataSource):
+    """Read at once, or as a stream of archives that arrive (options ``progress``, ``maxBytesPerTrigger``)."""
+
+    def streamReader(self, schema: StructType) -> ArrivingArchives:
+        return ArrivingArchives(self.reader(schema), self.options.get("progress"), int(self.options.get("maxBytesPerTrigger", 0)))
+
+
+class LedgerSnapshot(_ArchiveSource):
     """``spark.read.format("ledger_snapshot")``: members of archives.
 
     Options: ``kind`` (all, full, incremental), ``accountsOnly``,
@@ -263,7 +276,7 @@ class LedgerSnapshot(DataSource):
         return EntryReader(schema, self.options)
 
 
-class LedgerArchives(DataSource):
+class LedgerArchives(_ArchiveSource):
     """``spark.read.format("ledger_archives")``: archives, unread, in tasks of about equal bytes.
 
     Options: ``kind``, ``minPartitions``, ``maxPartitionBytes``.
@@ -280,7 +293,7 @@ class LedgerArchives(DataSource):
         return ListReader(schema, self.options)
 
 
-class LedgerAccounts(DataSource):
+class LedgerAccounts(_ArchiveSource):
     """``spark.read.format("ledger_accounts")``: account versions in archives.
 
     A u64 column asked for as bigint holds the bits of the number.

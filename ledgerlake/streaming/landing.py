@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder
+from ledgerlake.operators.decoders import DEFAULT_DECODERS, TOKEN_ACCOUNTS, Decoder
 from ledgerlake.operators.filters import SnapshotFilters
 from ledgerlake.operators.membership import ready_keys
 from ledgerlake.operators.records import unfold
+from ledgerlake.operators.sketches import holder_sketches
 from ledgerlake.plans.ingest import publish, publish_archives, read_versions, write_versions
 from ledgerlake.schemas import STORED_VERSIONS
 from ledgerlake.sources.snapshot import ARCHIVE_PATTERNS
@@ -60,10 +61,14 @@ def publish_arriving_archives(
     kind: str = "all",
     files_per_batch: int = FILES_PER_BATCH,
     mode: str = "FAILFAST",
+    with_sketches: bool = False,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Publish all tables of archives as they land, each archive read once.
 
+    With sketches a batch also leaves its holders a mint in `holder_sketches`,
+    which `operators.sketches.estimates` puts together.
+
     The stream carries file names only: at most `files_per_batch` of them reach
     the driver, and their archives are then read like any others.
     """
@@ -75,7 +80,11 @@ def publish_arriving_archives(
         arrived = [row.path for row in batch.collect()]
         if arrived:
             place = _batch_place(folder, number)
-            publish_archives(batch.sparkSession, arrived, place, known=known, filters=filters, decoders=decoders, mode=mode)
+            session = batch.sparkSession
+            publish_archives(session, arrived, place, known=known, filters=filters, decoders=decoders, mode=mode)
+            if with_sketches:
+                found = session.read.parquet(place(TOKEN_ACCOUNTS.name))
+                holder_sketches(found).write.mode("overwrite").parquet(place("holder_sketches"))
 
     return _start(paths, write, checkpoint, available_now)
 

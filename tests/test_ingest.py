@@ -15,7 +15,7 @@ from ledgerlake.plans import ingest
 from ledgerlake.plans.ingest import publish, publish_archives, write_versions
 from ledgerlake.plans.sql import query, query_text
 from ledgerlake.sources.views import open_table, register_views, view_counts
-from tests.conftest import account_member, mint_data, record, write_archive
+from tests.conftest import account_member, key, mint_data, record, write_archive
 from ledgerlake.schemas import TOKEN_PROGRAM
 
 
@@ -111,3 +111,46 @@ def test_sql_text(spark, tmp_path):
     assert query(spark, f"{tmp_path}/out", sql).first().supply == 2**64 - 1
     text = query_text(spark, f"{tmp_path}/out", sql).first()
     assert tuple(text) == (base58.encode(TOKEN_PROGRAM), "18446744073709551615", "NULL")
+
+
+def scanned(table):
+    """Rows that the Parquet scans of a plan handed out, and the result's rows."""
+    found = len(table.collect())
+
+    def scans(node):
+        if "Scan" in node.nodeName():
+            yield node.metrics().apply("numOutputRows").value()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            yield from scans(node.executedPlan())
+        children = node.children()
+        for n in range(children.size()):
+            yield from scans(children.apply(n))
+
+    return sum(scans(table._jdf.queryExecution().executedPlan())), found
+
+
+@pytest.mark.parametrize("clustered_by", [(), ("pubkey",)])
+def test_one_key_skips_row_groups(spark, tmp_path, clustered_by):
+    archives = tmp_path / "in"
+    archives.mkdir()
+    for n in range(6):
+        body = [record(pubkey=key(f"{n}:{i}"), hash_=key(f"h{n}:{i}")) for i in range(200)]
+        write_archive(archives, f"snapshot-{n}.tar.zst", account_member(f"accounts/{n}.{n}", *body))
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_versions(read_accounts(spark, str(archives)), f"{tmp_path}/versions", clustered_by=clustered_by)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    versions = spark.read.parquet(f"{tmp_path}/versions")
+    groups = [pq.ParquetFile(f).metadata.row_group(0).num_rows for f in glob.glob(f"{tmp_path}/versions/*/*.parquet")]
+    assert versions.count() == 1200 and len(groups) >= 5
+    for name, text in (("pubkey", "3:77"), ("hash", "h3:77")):
+        read, found = scanned(versions.where(F.col(name) == F.lit(bytearray(key(text)))).select("lamports"))
+        assert found == 1 and read <= max(groups)
+    for name in ("pubkey", "hash"):
+        read, found = scanned(versions.where(F.col(name) == F.lit(bytearray(key("nobody")))).select("lamports"))
+        assert found == 0 and read <= max(groups)
+    every = {bytes(r.pubkey) for r in versions.select("pubkey").collect()}
+    assert every == {key(f"{n}:{i}") for n in range(6) for i in range(200)}
