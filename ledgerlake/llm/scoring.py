@@ -5,13 +5,16 @@ end are classes of their own; every other word, seen or not, belongs to one of R
 and inside its class has its smoothed share of the training counts. With context vectors a and b, word vectors q
 and biases, the score of class w after (u, v) is (a[u] + b[v]) . q[w] + bias[w].
 
-Training is noise-contrastive estimation in NumPy over all training tokens: in each round every task runs it from
-the same parameters over its slice of the texts, and the results are averaged by tokens. Since the score is a sum
+Training is noise-contrastive estimation in NumPy over all training tokens. A hash of the document gives its round and
+its shard, a shard having about SHARD_TOKENS tokens, so that neither depends on how the input is split over tasks. In a
+round every shard starts from the same parameters and optimiser state, takes its texts in a fixed order, and the results
+are averaged by tokens, in whole numbers, so that the order of adding does not matter either. Since the score is a sum
 over the two context words, the normaliser of all pairs of them is one matrix product, exp(a q) times exp(b q + bias),
 so every token's log-probability is exactly normalised.
 
 Counts of all words are a written table. A task holds the counts of the KNOWN most frequent words (a fixed number);
-counts of rarer ones are joined to the documents that have them.
+counts of rarer ones are joined to the documents that have them. Texts are taken apart twice: to count words, and then
+to write their classes, from which training and scoring go on.
 """
 
 from __future__ import annotations
@@ -20,13 +23,18 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ledgerlake.llm.common import crc_of_id, lower_words, stored
+from ledgerlake.llm.common import blocks_of, crc_of_id, lower_words, stored
 
 HEAD, REST, KNOWN = 1535, 512, 65_536
 CLASSES = HEAD + 1 + REST
@@ -35,8 +43,13 @@ END_CLASS = HEAD
 START = CLASSES
 WIDTH, ROUNDS, BATCH, NOISE, RATE = 24, 3, 4096, 64, 0.03
 SMOOTH = 0.1
-_WORDS_AT_ONCE = 300_000
-_TEXTS_AT_ONCE = 500
+#: Tokens of one shard, and shards of a round at most: beyond that they grow.
+SHARD_TOKENS, SHARDS = 2_000_000, 4096
+#: Tokens among which a shard draws its batches.
+POOL = 1 << 18
+#: Averages are summed in whole multiples of this.
+_UNIT = 2.0**-40
+_WORDS_AT_ONCE, _BLOCK_BYTES = 300_000, 4 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,7 +62,7 @@ def rest_class(word: bytes) -> int:
 
 def _source(documents: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("bigint")
-    return documents.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), (F.shiftright(crc_of_id(doc_id), 8) % ROUNDS).cast("int").alias("slice"), "text")
+    return documents.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "text")
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -137,31 +150,36 @@ class Parameters:
             np.log(shares / shares.sum()).astype(np.float32),
         )
 
-    def rows(self) -> np.ndarray:
-        """All parameters as one matrix, to be averaged."""
-        table = np.zeros((3 * CLASSES + 2, WIDTH + 1), np.float32)
-        table[: CLASSES + 1, :WIDTH] = self.a
-        table[CLASSES + 1 : 2 * CLASSES + 2, :WIDTH] = self.b
-        table[2 * CLASSES + 2 :, :WIDTH] = self.q
-        table[2 * CLASSES + 2 :, WIDTH] = self.bias
-        return table
-
-    @staticmethod
-    def of(table: np.ndarray) -> Parameters:
-        table = table.astype(np.float32)
-        words = table[2 * CLASSES + 2 :]
-        return Parameters(table[: CLASSES + 1, :WIDTH], table[CLASSES + 1 : 2 * CLASSES + 2, :WIDTH], words[:, :WIDTH].copy(), words[:, WIDTH].copy())
+    @property
+    def parts(self) -> list[np.ndarray]:
+        return [self.a, self.b, self.q, self.bias]
 
 
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps; noise comes from the unigram shares and is shared by a batch."""
 
-    def __init__(self, start: Parameters, shares: np.ndarray, seed: int):
-        self.p = Parameters(*(x.copy() for x in (start.a, start.b, start.q, start.bias)))
+    def __init__(self, start: Parameters, seen: list[np.ndarray], shares: np.ndarray, seed: int):
+        self.p = Parameters(*(x.copy() for x in start.parts))
+        self.seen = [x.copy() for x in seen]
         self.log_noise = np.log(NOISE * shares).astype(np.float32)
         self.steps = np.cumsum(shares)
         self.random = np.random.default_rng(seed)
-        self.seen = [np.full(len(x), 1e-2, np.float32) for x in (self.p.a, self.p.b, self.p.q, self.p.bias)]
+
+    @staticmethod
+    def nothing_seen(p: Parameters) -> list[np.ndarray]:
+        """The optimiser's state before the first step: the sum of squared gradients of each row."""
+        return [np.full(len(x), 1e-2, np.float32) for x in p.parts]
+
+    def flat(self) -> np.ndarray:
+        """Parameters and optimiser state as one row of numbers."""
+        return np.concatenate([x.reshape(-1) for x in [*self.p.parts, *self.seen]])
+
+    @staticmethod
+    def unflat(row: np.ndarray, like: Parameters) -> tuple[Parameters, list[np.ndarray]]:
+        shapes = [x.shape for x in like.parts] + [(len(x),) for x in like.parts]
+        cuts = np.cumsum([int(np.prod(shape)) for shape in shapes])
+        found = [x.reshape(shape).astype(np.float32) for x, shape in zip(np.split(row, cuts), shapes)]
+        return Parameters(*found[:4]), found[4:]
 
     def _move(self, which: int, table: np.ndarray, index: np.ndarray, gradient: np.ndarray) -> None:
         """Add up gradients by row, then step by AdaGrad with one rate a row."""
@@ -190,64 +208,125 @@ class Trainer:
         self._move(3, p.bias, np.concatenate([w, noise]), np.concatenate([g_right, g_wrong.sum(0)]))
 
 
-def _coded(texts: pd.Series, class_of: dict[bytes, int]) -> np.ndarray:
-    """Classes of all words and ends of texts, each text led by two starts."""
-    out: list[int] = []
-    for text in texts:
-        out += (START, START)
-        out += map(class_of.__getitem__, lower_words(text))
-        out.append(END_CLASS)
-    return np.array(out, np.int32)
-
-
-class _Classes(dict):
-    """Classes of words; those of rare ones are worked out and kept for a while."""
+CODED = (
+    "doc_id bigint, held_out boolean, n_tokens bigint, seen bigint, base double, inside double, codes binary, "
+    "rare array<struct<word:binary,times:bigint>>"
+)
 
-    def __init__(self, known: dict[bytes, int]):
-        super().__init__(known)
-        self.known = known
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _WORDS_AT_ONCE:
-            self.clear()
-            self.update(self.known)
-        found = self[word] = rest_class(word)
-        return found
+def coded(documents: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """A row per row of documents with the classes of its words and end, and what its known words give to both scores.
 
+    `base` sums log10 of the smoothed counts of known words, `inside` those of known words that are no class of their
+    own, `seen` counts known words; `rare` lists the other words.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(vocab)
+    schema = to_arrow_schema(StructType.fromDDL(CODED))
 
-def train(documents: DataFrame, vocab: Vocabulary) -> Parameters:
-    """Parameters after ROUNDS rounds; the slices of a round are fixed by the ids, and together they are all training texts."""
-    spark = documents.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        values = {w: float(np.log10(n + SMOOTH)) for w, n in vocab.counts.items()}
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+            for some in blocks_of(pc.binary_length(texts).to_pylist(), _BLOCK_BYTES):
+                size = some.stop - some.start
+                columns = _coded_block(texts.slice(some.start, size).to_pylist(), vocab, values)
+                yield pa.RecordBatch.from_arrays([batch.column(n).slice(some.start, size) for n in (0, 1)] + columns, schema=schema)
+
+    return _source(documents).mapInArrow(run, CODED)
+
+
+def _coded_block(texts: list[bytes], vocab: Vocabulary, values: dict[bytes, float]) -> list[pa.Array]:
+    lists = [text.lower().split() for text in texts]
+    for words in lists:
+        words.append(b"")
+    kinds = list(dict.fromkeys(chain.from_iterable(lists)))
+    number = dict(zip(kinds, range(len(kinds))))
+    sizes = np.array([len(words) for words in lists])
+    at = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    known = np.array([w in values for w in kinds])
+    value = np.array([values.get(w, 0.0) for w in kinds])
+    own = np.array([w in vocab.classes for w in kinds])
+    seen = np.array([vocab.counts.get(w, 0) > 0 for w in kinds])
+    classes = np.array([vocab.class_of(w) for w in kinds], np.uint16)
+    per_text = [np.add.reduceat(x[at], starts) for x in (seen.astype(np.int64), value, np.where(own, 0.0, value))]
+    codes = classes[at].astype("<u2").tobytes()
+    codes = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(2 * starts, len(codes)).astype(np.int32)), pa.py_buffer(codes)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rare = ~known[at]
+    pairs, times = np.unique(owner[rare] * len(kinds) + at[rare], return_counts=True)
+    owner, word = np.divmod(pairs, len(kinds))
+    offsets = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
+    words = pa.array([kinds[k] for k in word.tolist()], pa.binary())
+    listed = pa.StructArray.from_arrays([words, pa.array(times.astype(np.int64))], ["word", "times"])
+    return [pa.array(sizes), *map(pa.array, per_text), codes, pa.ListArray.from_arrays(pa.array(offsets), listed)]
+
+
+def _pools(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, classes of some texts, each led by two starts): texts in their order, POOL tokens or one text at least."""
+    lead = np.array([START, START], np.uint16)
+    shard, held, size = None, [], 0
+    for batch in batches:
+        for mine, codes in zip(batch["shard"].tolist(), batch["codes"]):
+            if held and (mine != shard or size >= POOL):
+                yield shard, np.concatenate(held)
+                held, size = [], 0
+            shard = mine
+            held += [lead, np.frombuffer(codes, "<u2")]
+            size += len(held[-1])
+    if held:
+        yield shard, np.concatenate(held)
+
+
+def train(rows: DataFrame, vocab: Vocabulary, shard_tokens: int = SHARD_TOKENS) -> Parameters:
+    """Parameters after ROUNDS rounds over the coded rows; the shards of all rounds are together all training texts."""
+    spark = rows.sparkSession
     p = Parameters.first(vocab)
+    seen = Trainer.nothing_seen(p)
     if not vocab.tokens:
         return p
     shares = (vocab.class_tokens + SMOOTH) / (vocab.class_tokens + SMOOTH).sum()
-    columns = [f"v{k}" for k in range(WIDTH + 1)]
+    shards = max(1, min(SHARDS, -(-vocab.tokens // (ROUNDS * shard_tokens))))
+    mixed = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "codes")
+    placed = rows.where(~F.col("held_out")).select(
+        F.pmod(mixed, F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright(mixed, 8), F.lit(shards)).cast("int").alias("shard"), mixed.alias("mixed"), "n_tokens", "codes"
+    )
+    columns = [f"v{k}" for k in range(32)]
+    total = {r["round"]: r.n for r in placed.groupBy("round").agg(F.sum("n_tokens").alias("n")).collect()}
     for n in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((p, shares, vocab.classes))
+        if not total.get(n):
+            continue
+        shared = spark.sparkContext.broadcast((p, seen, shares, total[n]))
 
         def run(batches: Iterator[pd.DataFrame], n: int = n, shared=shared) -> Iterator[pd.DataFrame]:
-            start, shares, classes = shared.value
-            class_of, learner, seen = _Classes(classes), Trainer(start, shares, n), 0
-            for batch in batches:
-                for begin in range(0, len(batch), _TEXTS_AT_ONCE):
-                    codes = _coded(batch["text"].iloc[begin : begin + _TEXTS_AT_ONCE], class_of)
-                    at = np.flatnonzero(codes != START)
-                    learner.random.shuffle(at)
-                    for first in range(0, len(at), BATCH):
-                        some = at[first : first + BATCH]
-                        learner.learn(codes[some - 2], codes[some - 1], codes[some])
-                    seen += len(at)
-            if seen:
-                table = learner.p.rows() * np.float32(seen)
-                found = pd.DataFrame(table, columns=columns)
-                yield found.assign(row=np.arange(len(table), dtype=np.int32), seen=float(seen))
-
-        mine = _source(documents).where(~F.col("held_out") & (F.col("slice") == n)).select("text")
-        parts = mine.mapInPandas(run, ", ".join(f"{c} float" for c in columns) + ", row int, seen double")
-        sums = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns), F.sum("seen").alias("seen")).toPandas().sort_values("row")
-        if len(sums):
-            p = Parameters.of(sums[columns].to_numpy() / sums[["seen"]].to_numpy())
+            start, state, shares, total = shared.value
+            shard, learner, tokens = None, None, 0
+
+            def done() -> pd.DataFrame:
+                units = np.rint(learner.flat().astype(float) * (tokens / total / _UNIT)).astype(np.int64)
+                units = np.pad(units, (0, -len(units) % len(columns))).reshape(-1, len(columns))
+                return pd.DataFrame(units, columns=columns).assign(place=np.arange(len(units), dtype=np.int32))
+
+            for mine, codes in _pools(batches):
+                if mine != shard:
+                    if learner:
+                        yield done()
+                    shard, learner, tokens = mine, Trainer(start, state, shares, ROUNDS * mine + n), 0
+                at = np.flatnonzero(codes != START)
+                learner.random.shuffle(at)
+                for first in range(0, len(at), BATCH):
+                    some = at[first : first + BATCH]
+                    learner.learn(codes[some - 2], codes[some - 1], codes[some])
+                tokens += len(at)
+            if learner:
+                yield done()
+
+        mine = placed.where(F.col("round") == n).select("shard", "mixed", "codes")
+        mine = mine.repartition(shards, "shard").sortWithinPartitions("shard", "mixed", "codes").select("shard", "codes")
+        parts = mine.mapInPandas(run, ", ".join(f"{c} bigint" for c in columns) + ", place int")
+        sums = parts.groupBy("place").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("place")
+        p, seen = Trainer.unflat(sums[columns].to_numpy().reshape(-1) * _UNIT, p)
     return p
 
 
@@ -262,7 +341,6 @@ class Scorer:
         self.at_a, self.at_b = at_a, at_b
         smooth = vocab.class_tokens + SMOOTH * (vocab.class_types + 1)
         self.log_class = np.log10(smooth)
-        self.classes = _Classes(vocab.classes)
         self.log_all = float(np.log10(vocab.tokens + SMOOTH * (vocab.types + 1)))
 
     def log10(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -271,87 +349,55 @@ class Scorer:
         return (self.at_a[u, w].astype(float) + self.at_b[v, w] - self.log_z[u, v]) / np.log(10)
 
 
-def scored(documents: DataFrame, model: Parameters, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of documents."""
-    spark = documents.sparkSession
+def scored(rows: DataFrame, model: Parameters, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every coded row; `row` numbers them."""
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((model, vocab))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = "doc_id bigint, held_out boolean, n_tokens bigint, seen bigint, row bigint, base_score double, score double"
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        known, log_count = vocab_counts(scorer.vocab)
+        lead = np.array([START, START], np.uint16)
         for batch in batches:
-            for begin in range(0, len(batch), _TEXTS_AT_ONCE):
-                rows = []
-                part = batch.iloc[begin : begin + _TEXTS_AT_ONCE]
-                lists = [lower_words(t) for t in part["text"]]
-                flat: list[int] = []
-                for words in lists:
-                    flat += (START, START)
-                    flat += map(scorer.classes.__getitem__, words)
-                    flat.append(END_CLASS)
-                codes = np.array(flat, np.int32)
+            for some in blocks_of(pc.binary_length(batch.column("codes")).to_pylist(), _BLOCK_BYTES):
+                part = batch.slice(some.start, some.stop - some.start)
+                codes = np.concatenate([x for c in part.column("codes").to_pylist() for x in (lead, np.frombuffer(c, "<u2"))])
                 at = np.flatnonzero(codes != START)
-                sizes = np.array([len(w) + 1 for w in lists])
+                sizes = part.column("n_tokens").to_numpy()
                 starts = np.cumsum(sizes) - sizes
                 by_class = np.add.reduceat(scorer.log10(codes, at), starts)
                 inner = np.add.reduceat(np.where(codes[at] > END_CLASS, scorer.log_class[codes[at]], 0.0), starts)
-                for n, (doc_id, held, words) in enumerate(zip(part["doc_id"], part["held_out"], lists)):
-                    base = head = 0.0
-                    seen = 0
-                    rare: list[bytes] = []
-                    for word in words:
-                        value = log_count.get(word)
-                        if value is None:
-                            rare.append(word)
-                        else:
-                            base += value[0]
-                            head += value[1]
-                            seen += 1
-                    base += log_count[b""][0]
-                    seen += known[b""] > 0
-                    times = Counter(rare)
-                    rows.append((
-                        doc_id, bool(held), len(words) + 1, seen, base - (len(words) + 1) * scorer.log_all,
-                        by_class[n] - inner[n] + head, [{"word": w, "times": k} for w, k in times.items()],
-                    ))
-                found = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
-                found["doc_id"] = part["doc_id"].to_numpy()
-                yield found
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,times:bigint>>"
-    parts = stored(_source(documents).mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored-parts")
-    rare = parts.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.times")
+                base = part.column("base").to_numpy() - sizes * scorer.log_all
+                score = by_class - inner + part.column("inside").to_numpy()
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(base), pa.array(score)], schema=schema)
+
+    parts = rows.select("doc_id", "held_out", "n_tokens", "seen", "row", "base", "inside", "codes").mapInArrow(run, kind)
+    rare = rows.select("row", F.explode("rare").alias("rare")).select("row", "rare.word", "rare.times")
     n = F.coalesce("n", F.lit(0))
     value = F.col("times") * F.log10(n + SMOOTH)
     sums = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(value).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"))
-    joined = parts.drop("rare").join(sums, "row", "left")
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
+        F.sum(value).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_seen"))
+    joined = parts.join(sums, "row", "left")
+    more, more_seen = F.coalesce("more", F.lit(0.0)), F.coalesce("more_seen", F.lit(0))
     return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(vocab.tokens).cast("bigint").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("seen") + more_seen).alias("n_known"), F.lit(vocab.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
 
 
-def vocab_counts(vocab: Vocabulary) -> tuple[dict[bytes, int], dict[bytes, tuple[float, float]]]:
-    """Counts of frequent words, and for each log10 of its smoothed count, for the base and inside a class of many."""
-    values = {}
-    for word, n in vocab.counts.items():
-        value = float(np.log10(n + SMOOTH))
-        values[word] = (value, 0.0 if word in vocab.classes else value)
-    return vocab.counts, values
-
-
 def lm_scores(documents: DataFrame) -> DataFrame:
     """Train on all rows that are not held out, and score all.
 
     Null text is empty: one end. A null id counts as the empty id. Repeated rows are learnt from and scored as often
     as they come. Without training rows the model is the smoothed unigram model of nothing. Without rows there is no
-    result. Other columns are not read.
+    result. Texts of any length are read whole. Other columns are not read.
     """
     counts = stored(word_counts(documents), "word-counts")
     vocab = vocabulary(counts)
-    return scored(documents, train(documents, vocab), vocab, counts)
+    rows = stored(coded(documents, vocab).withColumn("row", F.monotonically_increasing_id()), "coded")
+    return scored(rows, train(rows, vocab), vocab, counts)
 
 
 def op1_lm(documents: DataFrame) -> DataFrame:

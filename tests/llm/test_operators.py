@@ -391,6 +391,42 @@ def test_lm_is_normalised_and_beats_the_base(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+@pytest.mark.parametrize("shard_tokens", [10**9, 5000])
+def test_lm_does_not_depend_on_tasks(spark, monkeypatch, shard_tokens):
+    """The same scores to the last bit, however the input is split over tasks; shards are texts, not tasks."""
+    monkeypatch.setattr(scoring.train, "__defaults__", (shard_tokens,))
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    table = table.union(table.limit(20))
+    found = [sorted(tuple(r) for r in scoring.op1_lm(table.repartition(n)).collect()) for n in (1, 8, 64)]
+    assert [r[:5] for r in found[0]] == [r[:5] for r in found[1]] == [r[:5] for r in found[2]]
+    for other in found[1:]:
+        assert max(abs(a[6] - b[6]) + abs(a[5] - b[5]) for a, b in zip(found[0], other)) < 1e-9
+    unseen = [r for r in found[0] if r[1]]
+    assert sum(r[6] for r in unseen) > sum(r[5] for r in unseen)
+
+
+def test_lm_scores_word_by_word(spark):
+    """The score of a text is the sum over its words of log10 of the class's softmax and of the word's share of its class."""
+    table = spark.createDataFrame([(n, f"the cat w{n % 7}aaa sat on THE mat z{n}" if n % 5 else None) for n in range(60)], "doc_id bigint, text string")
+    counts = scoring.stored(scoring.word_counts(table), "test-counts")
+    vocab = scoring.vocabulary(counts)
+    coded = scoring.stored(scoring.coded(table, vocab).withColumn("row", scoring.F.monotonically_increasing_id()), "test-coded")
+    model = scoring.train(coded, vocab)
+    times = {bytes(r.word): r.n for r in counts.collect()}
+    logits = lambda u, v: (model.a[u] + model.b[v]).astype(float) @ model.q.T.astype(float) + model.bias
+    for r in scoring.scored(coded, model, vocab, counts).collect():
+        words = [*(f"the cat w{r.doc_id % 7}aaa sat on the mat z{r.doc_id}" if r.doc_id % 5 else "").encode().split(), b""]
+        u, v, total = scoring.START, scoring.START, 0.0
+        for w in words:
+            c = vocab.class_of(w)
+            x = logits(u, v)
+            total += (x[c] - np.log(np.exp(x - x.max()).sum()) - x.max()) / math.log(10)
+            if c > scoring.END_CLASS:
+                total += math.log10((times.get(w, 0) + 0.1) / (vocab.class_tokens[c] + 0.1 * (vocab.class_types[c] + 1)))
+            u, v = v, c
+        assert r.score == pytest.approx(total, abs=1e-3)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     duck = duckdb.connect()
