@@ -16,6 +16,8 @@ SHARDS = 8
 DEPTH = 5
 #: Rows of one curve cell are ordered in so many parts, so that a cell with a third of all rows is many tasks' work.
 SALTS = 256
+#: Tasks that order the distinct values of a text dimension, and values that are sent to all tasks.
+RANGES, BROADCAST_VALUES = 64, 100_000
 
 
 def hilbert_index(axes: list[Column], depth: int = DEPTH) -> Column:
@@ -59,10 +61,32 @@ def hilbert_index(axes: list[Column], depth: int = DEPTH) -> Column:
     return F.transform(coded, woven)[0]
 
 
-def text_code(value: Column) -> Column:
-    """The first seven bytes as a number that sorts like the text; null sorts first."""
-    prefix = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(prefix, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+def text_axis(rows: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
+    """(value, axis) for each value of a text column: 2^depth times the share of rows with lesser values, rounded down.
+
+    Values are compared whole. They are counted, and the counts summed up along the values range by range.
+    """
+    counted = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranged = counted.repartitionByRange(RANGES, "value").withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "text-values")
+    along = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy("range").agg(F.sum("n").alias("all")).select("range", F.coalesce(F.sum("all").over(along), F.lit(0)).alias("start"))
+    inside = W.partitionBy("range").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    before = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), "range")
+    total = max(ranged.agg(F.sum("n")).first()[0] or 0, 1)
+    axis = F.floor((F.col("start") + F.col("inside")) * (1 << depth) / total).cast("int")
+    return stored(before.select("value", axis.alias("axis")), "text-axis")
+
+
+def on_axes(rows: DataFrame, texts: list[str], numbers: list[str], depth: int = DEPTH) -> DataFrame:
+    """Stored rows with columns _a0, _a1, ...: coordinates by text columns without nulls, then by number columns."""
+    out = rows
+    for k, column in enumerate(texts):
+        axis = text_axis(rows, column, depth).toDF("_value", f"_a{k}")
+        if axis.count() <= BROADCAST_VALUES:
+            axis = F.broadcast(axis)
+        out = out.join(axis, F.col(column) == F.col("_value")).drop("_value")
+    return out.select("*", *(a.alias(f"_a{len(texts) + k}") for k, a in enumerate(shares(rows, numbers, depth))))
 
 
 def shares(found: DataFrame, codes: list[str], depth: int = DEPTH) -> list[Column]:
@@ -86,21 +110,20 @@ def curve_order(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Dimensions: source, lang and size. Places come from counts by cell and part, so no task orders more than one
     part of one cell. Rows that agree in all three output columns take neighbouring places in any order. Null text
-    has no bytes; nulls in a dimension sort first. Other columns are not read.
+    has no bytes; a null in a dimension counts as the empty text. No rows give no rows. Other columns are not read.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     known = set(documents.columns)
-    of_text = [text_code(F.col(c) if c in known else F.lit(None).cast("string")) for c in ("source", "lang")]
+    of_text = [F.coalesce(F.col(c).cast("string") if c in known else F.lit(None).cast("string"), F.lit("")) for c in ("source", "lang")]
     size = (F.octet_length(text) + 1).cast("bigint")
     found = documents.select(
         F.col("doc_id").cast("bigint"), size.alias("size"), F.crc32(text).alias("text_crc32"),
         of_text[0].alias("_source"), of_text[1].alias("_lang"),
     )
     found = stored(found, "shard-rows")
-    axes = shares(found, ["_source", "_lang", "size"], depth)
     part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS))
-    cells = found.select("doc_id", "size", "text_crc32", *(a.alias(f"_a{k}") for k, a in enumerate(axes)))
-    curve = hilbert_index([F.col(f"_a{k}") for k in range(len(axes))], depth)
+    cells = on_axes(found, ["_source", "_lang"], ["size"], depth).select("doc_id", "size", "text_crc32", "_a0", "_a1", "_a2")
+    curve = hilbert_index([F.col(f"_a{k}") for k in range(3)], depth)
     cells = cells.select("doc_id", "size", "text_crc32", curve.alias("curve"), part.alias("_part"))
     counted = stored(cells.groupBy("curve", "_part").agg(F.count("*").alias("_n")), "cell-counts")
     inside = W.partitionBy("curve").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -124,14 +147,20 @@ def shard_runs(documents: DataFrame, shards: int = SHARDS, depth: int = DEPTH) -
 
 def write_runs(documents: DataFrame, folder: str, files: int = SHARDS, depth: int = DEPTH) -> None:
     """Write documents as about `files` Parquet files along the curve, each sorted by it."""
-    codes = documents.select(
-        *documents.columns, text_code(F.col("source")).alias("_source"), text_code(F.col("lang")).alias("_lang"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_size"),
+    names = [f"_d{k}" for k in range(len(documents.columns))]
+    named = documents.toDF(*names)
+    place = {c: F.col(names[documents.columns.index(c)]) for c in ("source", "lang", "text", "doc_id")}
+    rows = stored(
+        named.select(
+            *names, F.coalesce(place["source"], F.lit("")).alias("_source"), F.coalesce(place["lang"], F.lit("")).alias("_lang"),
+            F.coalesce(F.octet_length(place["text"]), F.lit(0)).cast("bigint").alias("_size"),
+        ),
+        "run-rows",
     )
-    axes = shares(codes, ["_source", "_lang", "_size"], depth)
-    rows = codes.select(*documents.columns, *(a.alias(f"_a{k}") for k, a in enumerate(axes)))
-    rows = rows.select(*documents.columns, hilbert_index([F.col(f"_a{k}") for k in range(3)], depth).alias("_curve"))
-    rows.repartitionByRange(files, "_curve", "doc_id").sortWithinPartitions("_curve", "doc_id").drop("_curve").write.parquet(folder)
+    rows = on_axes(rows, ["_source", "_lang"], ["_size"], depth)
+    rows = rows.select(*names, hilbert_index([F.col(f"_a{k}") for k in range(3)], depth).alias("_curve"))
+    ordered = rows.repartitionByRange(files, "_curve", place["doc_id"]).sortWithinPartitions("_curve", place["doc_id"])
+    ordered.drop("_curve").toDF(*documents.columns).write.parquet(folder)
 
 
 def op9_hilbert(documents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ just those rules, adds one increment to the ledger, and joins findings back to a
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +41,15 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}+"),
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{24,}+"),
 )
-#: The method's own: headers of private keys.
-MORE = (Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),)
+#: The method's own: private keys to the line that ends them, or, where there is none, to the end of their letters.
+#: Repetitions are bounded, as the regular expressions of the JVM take stack for each.
+MORE = (
+    Rule(
+        "pem", 2,
+        r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+        r"(?:[^-]*+(?:-(?!----)[^-]*+){0,200}-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:\s{0,8}[A-Za-z0-9+/=]{16,}+){0,400})",
+    ),
+)
 RULES = BASE + MORE
 
 #: As the ledger keeps them, and as a scan gives them; rank is the place of the rule in the rules asked for.
@@ -50,25 +58,58 @@ SPANS = "array<struct<begin:int,rank:int,kind:string,finish:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {FOUND}"
 
 
+#: Elements of an array that are put together at once: what is built grows by copying.
+_PART = 128
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each element of an array of ints, all up to it merged; merge(0, x) must be x.
+
+    Parts of _PART elements are worked out each on their own and then moved on by those before them, on `levels`
+    levels, so that the work is in proportion to the array and not to its square.
+    """
+    none = F.array().cast("array<int>")
+
+    def step(acc: Column, x: Column) -> Column:
+        at = merge(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    def whole(some: Column) -> Column:
+        return F.aggregate(some, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def in_parts(some: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(some) - 1) / _PART).cast("int"))
+        return F.transform(numbers, lambda k: whole(F.slice(some, k * _PART + 1, F.lit(_PART))))
+
+    def moved(inner: Column) -> Column:
+        lasts = F.transform(inner, lambda part: F.element_at(part, -1))
+        return bound(running(lasts, merge, levels - 1), lambda before: F.flatten(F.transform(
+            inner, lambda part, k: bound(F.coalesce(F.get(before, k - 1), F.lit(0)), lambda at: F.transform(part, lambda x: merge(at, x)))
+        )))
+
+    if not levels:
+        return whole(values)
+    return bound(values, lambda some: F.when(F.size(some) > _PART, bound(in_parts(some), moved)).otherwise(whole(some)))
+
+
 def _spans(rule: Rule, text: Column) -> Column:
     """Spans of one rule: what lies between matches, and the matches, give the places in code points."""
     pattern = F.lit(rule.pattern)
     lengths = F.transform(F.split(text, rule.pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, pattern, 0), F.length)
     value = F.transform(F.regexp_extract_all(text, pattern, rule.group), F.length) if rule.group else whole
-    steps = F.arrays_zip(F.slice(lengths, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    none = F.array().cast("array<struct<begin:int,finish:int,value:int>>")
-    state = F.struct(F.lit(0).alias("at"), none.alias("found"))
-
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        finish = begin + m["whole"]
-        one = F.struct(begin.alias("begin"), finish.alias("finish"), m["value"].alias("value"))
-        keep = m["value"] >= rule.least
-        return F.struct(finish.alias("at"), F.when(keep, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(steps, state, step, lambda acc: acc["found"])
-    named = F.transform(found, lambda s: F.struct(s["begin"].alias("begin"), F.lit(rule.name).alias("rule"), s["finish"].alias("finish")))
+
+    def placed(whole: Column) -> Column:
+        finish = running(F.zip_with(F.slice(lengths, 1, F.size(whole)), whole, lambda gap, n: gap + n), lambda a, b: a + b)
+        return F.arrays_zip(whole.alias("whole"), (value if rule.group else whole).alias("value"), finish.alias("finish"))
+
+    found = F.filter(bound(whole, placed), lambda m: m["value"] >= rule.least)
+    named = F.transform(found, lambda m: F.struct((m["finish"] - m["whole"]).alias("begin"), F.lit(rule.name).alias("rule"), m["finish"].alias("finish")))
     return F.when(F.regexp_like(text, pattern), named.cast(FOUND)).otherwise(F.array().cast(FOUND))
 
 
@@ -134,10 +175,11 @@ def scan(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> D
     """(path, spans): findings of all versions(path, text), after one more increment of the ledger in folder.
 
     A path comes once for each of its versions. Of several versions of a rule in the ledger only those in `rules`
-    count. Null texts are empty, repeated rows repeat, no rows give no rows; a text without a find has no spans.
+    count, and what two increments both found counts once. Null texts are empty, repeated rows repeat, no rows give no
+    rows; a text without a find has no spans. Very long texts are scanned whole, in time proportional to their finds.
     """
     ledger = scan_blobs(versions, folder, rules)
-    found = ledger.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     found = stored(found.select("blob", _ranked(F.col("spans"), rules).alias("spans")), "findings")
     return named_versions(versions).select("path", "blob").join(found, "blob").select("path", "spans")
 
@@ -147,18 +189,31 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["finish"].cast("string"))), ",")
 
 
+#: Code points times finds up to which pieces are cut from the text itself, which is read from its beginning each time.
+_CUTS = 400_000_000
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span, overlaps once, replaced by its kind in brackets."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.greatest(s["begin"] - acc["at"], F.lit(0))
-        mark = F.when(s["begin"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        out = F.concat(acc["out"], text.substr(acc["at"] + 1, gap), mark)
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["finish"]).alias("at"))
+    def pieces(reached: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        def piece(s: Column, k: Column) -> Column:
+            at = F.coalesce(F.get(reached, k - 1), F.lit(0))
+            mark = F.when(s["begin"] >= at, F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+            return F.concat(cut(at, F.greatest(s["begin"] - at, F.lit(0))), mark)
+
+        end = F.element_at(reached, -1)
+        return F.array_join(F.concat(F.transform(spans, piece), F.array(cut(end, F.length(text) - end))), "")
+
+    def by_letter(reached: Column) -> Column:
+        return bound(F.split(text, ""), lambda letters: pieces(reached, lambda at, n: F.array_join(F.slice(letters, at + 1, n), "")))
+
+    def changed(reached: Column) -> Column:
+        work = F.length(text).cast("bigint") * F.size(spans)
+        return F.when(work <= _CUTS, pieces(reached, lambda at, n: text.substr(at + 1, n))).otherwise(by_letter(reached))
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    reached = running(F.transform(spans, lambda s: s["finish"]), F.greatest)
+    return F.when(F.size(spans) == 0, text).otherwise(bound(reached, changed))
 
 
 def op4_secrets(documents: DataFrame) -> DataFrame:
@@ -185,7 +240,9 @@ def redacted(documents: DataFrame) -> DataFrame:
     versions = documents.select(F.lit(0).alias("path"), "text")
     folder = new_folder(documents.sparkSession, "blob-ledger")
     scan_blobs(versions, folder)
-    found = stored(ledger_of(documents.sparkSession, folder).where(F.size("spans") > 0).select("blob", _ranked(F.col("spans"), RULES).alias("_spans")), "redactions")
+    ledger = ledger_of(documents.sparkSession, folder).where(F.size("spans") > 0)
+    found = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = stored(found.select("blob", _ranked(F.col("spans"), RULES).alias("_spans")), "redactions")
     named = documents.toDF(*(f"_d{k}" for k in range(len(names))))
     text = F.col(f"_d{names.index('text')}")
     blob = F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))

@@ -38,11 +38,11 @@ def whole(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, embedding) as doubles: rows with an id and a vector without null, NaN or infinity. Of rows that repeat an id the least vector counts."""
+    """(row, vec_id, embedding) as doubles: rows with an id and a vector without null, NaN or infinity; row numbers them."""
     vector = F.col("embedding").cast("array<double>")
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(~odd)
-    return rows.groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min(vector).alias("embedding"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("bigint").alias("vec_id"), vector.alias("embedding"))
 
 
 def _square() -> Column:
@@ -84,20 +84,20 @@ class _Space:
         return ((q * q).sum(1)[:, None] + self.square - low * low) / 2 * (1 + 1e-9) + 1
 
 
-def _block(index: DataFrame, space: _Space, query_ids: np.ndarray, queries: np.ndarray, pivot_ids: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each task for each query of a block."""
+def _block(index: DataFrame, space: _Space, query_rows: np.ndarray, queries: np.ndarray, pivot_rows: np.ndarray, k: int) -> DataFrame:
+    """(query, row, vec_id, score): the k best of each task for each query of a block; query and row are row numbers."""
     at_pivots = space.of_queries(queries)
     first = np.full(len(queries), -np.inf)
     known = _dot(queries, space.pivots, space.exact)
-    for n, own in enumerate(query_ids):
-        others = sorted((s for s, p in zip(known[n], pivot_ids) if p != own), reverse=True)
+    for n, own in enumerate(query_rows):
+        others = sorted((s for s, p in zip(known[n], pivot_rows) if p != own), reverse=True)
         if len(others) >= k:
             first[n] = others[k - 1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[list[tuple]] = [[] for _ in query_ids]
+        best: list[list[tuple]] = [[] for _ in query_rows]
         for batch in batches:
-            ids = batch["vec_id"].to_numpy(np.int64)
+            ids, numbers = batch["vec_id"].to_numpy(np.int64), batch["row"].to_numpy(np.int64)
             rows = np.array(batch["vector"].tolist(), float).reshape(len(ids), space.width)
             away = np.array(batch["away"].tolist(), float).reshape(len(ids), -1)
             part = max(1, _AT_ONCE // max(1, len(ids)))
@@ -110,7 +110,7 @@ def _block(index: DataFrame, space: _Space, query_ids: np.ndarray, queries: np.n
                 for n in range(begin, begin + len(low)):
                     bound = most[n - begin]
                     floor = max(first[n], -best[n][k - 1][0] if len(best[n]) >= k else -np.inf)
-                    order = np.flatnonzero((bound >= floor) & (ids != query_ids[n]))
+                    order = np.flatnonzero((bound >= floor) & (numbers != query_rows[n]))
                     order = order[np.argsort(-bound[order], kind="stable")]
                     for at in range(0, len(order), STEP):
                         some = order[at : at + STEP]
@@ -119,18 +119,18 @@ def _block(index: DataFrame, space: _Space, query_ids: np.ndarray, queries: np.n
                             break
                         scores = _dot(queries[n : n + 1], rows[some], space.exact)[0]
                         near = [m for m in range(len(some)) if scores[m] >= floor] if floor > -np.inf else range(len(some))
-                        found = [(-int(scores[m]), int(ids[some[m]])) for m in near]
+                        found = [(-int(scores[m]), int(ids[some[m]]), int(numbers[some[m]])) for m in near]
                         best[n] = sorted(best[n] + found)[:k]
-        out = [(int(q), vec, -score) for q, list_ in zip(query_ids, best) for score, vec in list_]
-        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        out = [(int(q), row, vec, -score) for q, list_ in zip(query_rows, best) for score, vec, row in list_]
+        yield pd.DataFrame(out, columns=["query", "row", "vec_id", "score"]).astype("int64")
 
-    return index.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint")
+    return index.mapInPandas(run, "query bigint, row bigint, vec_id bigint, score bigint")
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vec_id divisible by `every` its k best other rows, ties to smaller ids.
+    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every` its k best other rows, ties to smaller ids.
 
-    Rows left out: see usable. Vectors of different widths are compared as if the missing components were zero.
+    Rows that repeat an id are rows of their own, as queries and as candidates. Rows left out: see usable. Vectors of different widths are compared as if the missing components were zero.
     Scores must fit a bigint. No rows give no rows; a query without other rows has none.
     """
     rows = stored(usable(embeddings), "vectors")
@@ -145,19 +145,20 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, pivots: int = P
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = whole(batch["embedding"], width)
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "vector": list(x), "away": list(space.of_rows(x))})
+            yield pd.DataFrame({"row": batch["row"], "vec_id": batch["vec_id"], "vector": list(x), "away": list(space.of_rows(x))})
 
-    index = stored(rows.mapInPandas(measure, "vec_id bigint, vector array<double>, away array<double>"), "pivot-index")
+    index = stored(rows.mapInPandas(measure, "row bigint, vec_id bigint, vector array<double>, away array<double>"), "pivot-index")
     blocks = -(-size.queries // block)
     found = []
     for n in range(blocks):
-        mine = index.where((F.col("vec_id") % every == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n)).toPandas()
+        mine = index.where((F.col("vec_id") % every == 0) & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == n)).toPandas()
         if len(mine):
             queries = np.array(mine["vector"].tolist(), float).reshape(len(mine), width)
-            found.append(stored(_block(index, space, mine["vec_id"].to_numpy(), queries, chosen["vec_id"].to_numpy(), k), "block-best"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            found.append(stored(_block(index, space, mine["row"].to_numpy(), queries, chosen["row"].to_numpy(), k), "block-best"))
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    names = index.where(F.col("vec_id") % every == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return ranked.join(names, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def op7_pivots(embeddings: DataFrame) -> DataFrame:
@@ -166,13 +167,13 @@ def op7_pivots(embeddings: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+    SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row AND c.vec_id IS NOT NULL
 ), r AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -216,12 +216,68 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert {r.path: len(r.spans) for r in secrets.scan(first, folder, secrets.BASE).collect()} == {"a": 1, "b": 1, "c": 0}
     more = first.union(spark.createDataFrame([("a", "-----BEGIN PRIVATE KEY-----"), ("d", "x")], "path string, text string"))
     todo = {r.text: r.todo for r in secrets.unseen(more, secrets.ledger_of(spark, folder)).collect()}
-    assert todo == {"token=abcdefgh": ["pem@1"], "x": ["pem@1"], "-----BEGIN PRIVATE KEY-----": ["assign@1", "access@1", "hex@1", "pem@1"]}
+    assert todo == {"token=abcdefgh": ["pem@2"], "x": ["pem@2"], "-----BEGIN PRIVATE KEY-----": ["assign@1", "access@1", "hex@1", "pem@2"]}
     found = sorted((r.path, [s.kind for s in r.spans]) for r in secrets.scan(more, folder).collect())
     assert found == [("a", ["assign"]), ("a", ["pem"]), ("b", ["assign"]), ("c", []), ("d", [])]
     assert secrets.unseen(more, secrets.ledger_of(spark, folder)).count() == 0
 
 
+def test_private_keys_go_with_their_letters(spark):
+    body = "\n".join("MIIEvQ" + "aB3/" * 14 for _ in range(20))
+    texts = {
+        "whole": f"a\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----\nz",
+        "open": f"a\n-----BEGIN PRIVATE KEY-----\n{body}\nplain words go on",
+        "two": "-----BEGIN PRIVATE KEY-----\nAAAA\n-----END PRIVATE KEY----- and -----BEGIN EC PRIVATE KEY-----\nBBBB\n-----END EC PRIVATE KEY-----",
+        "none": "-----BEGIN CERTIFICATE-----",
+        "many": "-----BEGIN PRIVATE KEY----- x" * 3000,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "name string, text string")
+    clean = {r.name: r.text for r in secrets.redacted(docs).collect()}
+    assert clean["whole"] == "a\n[pem]\nz" and clean["open"] == "a\n[pem]\nplain words go on"
+    assert clean["two"] == "[pem] and [pem]" and clean["none"] == texts["none"] and clean["many"] == "[pem] x" * 3000
+
+
+@pytest.mark.parametrize("cuts", [400_000_000, 0])
+def test_many_finds_in_one_text(spark, monkeypatch, cuts):
+    """More finds than one part holds, overlaps, and letters outside the basic plane; both ways to cut a text."""
+    monkeypatch.setattr(secrets, "_CUTS", cuts)
+    text = "".join(f"\U0001f600é token=abc{k:06d} password: secret=AKIA{'A' * 16}{k}\n" for k in range(700)) + "end"
+    docs = spark.createDataFrame([(1, text), (2, "none"), (3, text[:100])], "doc_id bigint, text string")
+    found = by_id(secrets.op4_secrets(docs).collect())
+    for k, t in ((1, text), (3, text[:100])):
+        spans = brute_spans(t)
+        assert found[k].spans == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+        out, at = "", 0
+        for a, _, kind, b in spans:
+            out += t[at:a] + (f"[{kind}]" if a >= at else "")
+            at = max(at, b)
+        assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()}[k] == out + t[at:]
+    assert found[1].n_access == 700 and found[2].spans == ""
+
+
+def test_finds_cost_in_proportion(spark):
+    import time
+
+    def seconds(finds):
+        docs = spark.createDataFrame([(1, "token=abcdefgh x" * finds)], "doc_id bigint, text string")
+        begin = time.perf_counter()
+        assert secrets.op4_secrets(docs).first().n_assign == finds
+        assert secrets.redacted(docs).first().text == "[assign] x" * finds
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    few, many = seconds(2000), seconds(32_000)
+    assert many < 16 * few
+
+
+def test_two_increments_of_one_blob_count_once(spark):
+    folder = new_folder(spark, "ledger-test")
+    versions = spark.createDataFrame([("a", "token=abcdefgh")], "path string, text string")
+    secrets.scan_blobs(versions, folder)
+    secrets.ledger_of(spark, folder).write.parquet(f"{folder}/increment-again")
+    assert [len(r.spans) for r in secrets.scan(versions, folder).collect()] == [1]
+
+
 def brute_counts(text):
     words = WORD.findall(text)
     lines = [line for line in text.split("\n") if WORD.search(line)]
@@ -305,17 +361,21 @@ def test_dense_grams_are_in_two_words_and_a_hundredth():
 
 
 VECTORS = [(0, [1.0, 0.5]), (50, [0.25, -1.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [None, 1.0]), (100, [float("nan"), 1.0]),
-           (5, [float("inf"), 1.0]), (6, [3.0]), (7, [-2.0, 0.1]), (8, [0.0, 0.0]), (9, [1.5, 1.5]), (9, [1.5, 1.5]), (None, [1.0, 1.0]), (10, [0.3, 0.3])]
+           (5, [float("inf"), 1.0]), (6, [3.0]), (7, [-2.0, 0.1]), (8, [0.0, 0.0]), (9, [1.5, 1.5]), (9, [1.5, 1.5]), (50, [2.0, 1.0]), (50, [2.0, 1.0]), (None, [1.0, 1.0]), (10, [0.3, 0.3])]
 
 
 def test_top_k(spark):
     table = spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS score", "2 AS rank")
-    known = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in VECTORS if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, v) for i, v in VECTORS if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    known = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in usable]
     expected = []
-    for q in (0, 50):
-        scores = sorted((-sum(a * b for a, b in zip(known[q], v)), i) for i, v in known.items() if i != q)[:5]
-        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
-    assert sorted(map(tuple, topk.top_k(table, block=1, pivots=3).collect())) == expected
+    for n, (q, query) in enumerate(known):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(query, v)), i) for m, (i, v) in enumerate(known) if m != n)[:5]
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert len(expected) == 20
+    for block in (1, 1000):
+        assert sorted(map(tuple, topk.top_k(table, block=block, pivots=3).collect())) == sorted(expected)
     assert topk.op7_pivots(table.where("false")).count() == 0
 
 
@@ -348,6 +408,25 @@ def test_shards(documents, empty):
     assert hilbert.op9_hilbert(empty).count() == 0
 
 
+def test_text_dimensions_are_compared_whole(spark, tmp_path):
+    """Sources that share a long beginning fall apart; the share of rows before a value is its place; files are runs of the curve."""
+    names = ["https://a.org", "https://b.org", "https://zz", "src", None]
+    table = [(n, "x" * (n % 40 + 1), ["de", "en"][n % 2], names[0] if n % 3 else names[n // 3 % 5], n, "axis") for n in range(900)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string, _a0 int, value string")
+    axis = {r.value: r.axis for r in hilbert.text_axis(docs.fillna("", ["source"]), "source").collect()}
+    counts = collections.Counter(r[3] or "" for r in table)
+    assert axis == {v: 32 * sum(counts[w] for w in counts if w < v) // 900 for v in counts} and len(set(axis.values())) == 5
+    found = sorted(hilbert.op9_hilbert(docs).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in found] == sorted(r.curve for r in found) and len({r.curve for r in found}) > 60
+    hilbert.write_runs(docs, str(tmp_path / "runs"), files=8)
+    back = spark.read.parquet(str(tmp_path / "runs"))
+    assert back.columns == docs.columns and sorted(r.doc_id for r in back.collect()) == list(range(900))
+    from pyspark.sql import functions as F
+
+    boxes = back.groupBy(F.input_file_name()).agg(F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources")).collect()
+    assert len(boxes) > 1 and any(b.sources < 4 for b in boxes)
+
+
 def test_hilbert_curve_is_a_walk(spark):
     from pyspark.sql import functions as F
 
