@@ -78,3 +78,13 @@ def blocks_of(sizes: Sequence[int], most: int) -> Iterator[slice]:
         held += size
     if begin < len(sizes):
         yield slice(begin, len(sizes))
+
+
+def in_parts(rows: DataFrame, key: str, sizes: DataFrame, hashed: list[str], least: int, part_rows: int = 1_000_000) -> DataFrame:
+    """The rows with _part: a number by their hash, such that no (key, _part) has many more than `part_rows` rows.
+
+    sizes(key, _rows) has a row for each key; it is broadcast, so keys must be few. Keys have `least` parts at least.
+    """
+    parts = F.greatest(F.lit(least), F.ceil(F.col("_rows") / part_rows))
+    few = F.broadcast(sizes.select(key, parts.alias("_parts")))
+    return rows.join(few, key).withColumn("_part", F.pmod(F.xxhash64(*hashed), F.col("_parts"))).drop("_parts")

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import stored
+from ledgerlake.llm.common import in_parts, stored
 
 SHARDS = 8
 DEPTH = 5
-#: Rows of one curve cell are ordered in so many parts, so that a cell with a third of all rows is many tasks' work.
+#: Rows of one curve cell are ordered in so many parts at least, more where the cell has many rows: no task orders a cell.
 SALTS = 256
 #: Tasks that order the distinct values of a text dimension, and values that are sent to all tasks.
 RANGES, BROADCAST_VALUES = 64, 100_000
@@ -121,10 +121,11 @@ def curve_order(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         of_text[0].alias("_source"), of_text[1].alias("_lang"),
     )
     found = stored(found, "shard-rows")
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS))
     cells = on_axes(found, ["_source", "_lang"], ["size"], depth).select("doc_id", "size", "text_crc32", "_a0", "_a1", "_a2")
     curve = hilbert_index([F.col(f"_a{k}") for k in range(3)], depth)
-    cells = cells.select("doc_id", "size", "text_crc32", curve.alias("curve"), part.alias("_part"))
+    cells = cells.select("doc_id", "size", "text_crc32", curve.alias("curve"))
+    sizes = stored(cells.groupBy("curve").agg(F.count("*").alias("_rows")), "cell-sizes")  # at most 2^(3 depth) rows
+    cells = in_parts(cells, "curve", sizes, ["doc_id", "size", "text_crc32"], SALTS)
     counted = stored(cells.groupBy("curve", "_part").agg(F.count("*").alias("_n")), "cell-counts")
     inside = W.partitionBy("curve").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     along = W.orderBy("curve").rowsBetween(W.unboundedPreceding, -1)  # at most 2^(3 depth) rows

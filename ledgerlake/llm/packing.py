@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlake.llm.bpe import byte_of_letter
-from ledgerlake.llm.common import stored
+from ledgerlake.llm.common import in_parts, stored
 
 WINDOW, UNIT, END = 4096, 16, 2
-#: Rows of one length are ranked in so many parts.
+#: Rows of one length are ranked in so many parts at least, more where the length has many rows.
 SALTS = 64
 
 #: Fixed values of the public vocabulary: its word pattern and the mark of a word's end.
@@ -228,13 +228,14 @@ def placed(found: DataFrame, window: int = WINDOW) -> DataFrame:
     many rows is ranked in many tasks. The histogram has at most `window` rows; so has each sequence.
     """
     order = [c for c in found.columns if c != "length"]
-    parts = found.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    sizes = stored(found.groupBy("length").agg(F.count("*").alias("_rows")), "length-sizes")  # at most `window` rows
+    parts = in_parts(found, "length", sizes, order, SALTS).select(*found.columns, "_part")
     counted = parts.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     counted = stored(counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "length-parts")
     counts = np.zeros(window + 1, np.int64)
-    for row in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect():
-        counts[row.length] = row.n
+    for row in sizes.collect():
+        counts[row.length] = row["_rows"]
     ranges = plan(counts)
     starts = ranges[:, 0] << 48 | ranges[:, 1]
 
