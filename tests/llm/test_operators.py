@@ -553,3 +553,112 @@ def test_features_do_not_depend_on_blocks(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "_WORDS_KEPT", kept)
         assert np.abs(model.features(texts, toxicity.Vocabulary()) - wanted).max() < 1e-9
     assert (wanted[:, 4] > 0).any()
+
+
+def plain_accuracies(patterns, rounds=quality.ROUNDS):
+    """Expectation-maximisation written out: each pattern's chance to be good, then each rule's share of right votes."""
+    a = {v.name: quality.BELIEF for v in quality.VOTES}
+    for _ in range(rounds):
+        right, cast = dict.fromkeys(a, 0.0), dict.fromkeys(a, 0.0)
+        for votes, n in patterns:
+            good = bad = 1.0
+            for v in quality.VOTES:
+                if votes[v.name] == v.says:
+                    good *= a[v.name] if v.says == quality.GOOD else 1 - a[v.name]
+                    bad *= 1 - a[v.name] if v.says == quality.GOOD else a[v.name]
+            p = good / (good + bad)
+            for v in quality.VOTES:
+                if votes[v.name] == v.says:
+                    cast[v.name] += n
+                    right[v.name] += n * (p if v.says == quality.GOOD else 1 - p)
+        before, a = a, {k: min(quality.MOST, max(quality.LEAST, (right[k] + quality.BELIEF * quality.BELIEF_VOTES) / (cast[k] + quality.BELIEF_VOTES))) for k in a}
+        if max(abs(a[k] - before[k]) for k in a) < 1e-6:
+            break
+    return a
+
+
+def test_quality_is_plain_expectation_maximisation(spark):
+    rng = np.random.default_rng(4)
+    patterns = [({v.name: int(v.says) if rng.random() < 0.4 else 0 for v in quality.VOTES}, int(rng.integers(1, 50))) for _ in range(40)]
+    table = spark.createDataFrame([(*votes.values(), n) for votes, n in patterns], ", ".join(f"{v.name} int" for v in quality.VOTES) + ", n bigint")
+    found, wanted = quality.fit(table), plain_accuracies(patterns)
+    assert all(found[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+    assert quality.fit(table.where("false")) == {v.name: pytest.approx(quality.BELIEF) for v in quality.VOTES}
+
+
+def plain_kneser_ney(texts):
+    """Probabilities of both classes, letter by letter, from counts in dictionaries."""
+    raw = collections.defaultdict(lambda: [0, 0])
+    for text, toxic in texts:
+        for word in toxicity.words_of(text):
+            line = toxicity.START * (toxicity.ORDER - 1) + word + toxicity.STOP
+            for end in range(toxicity.ORDER, len(line) + 1):
+                for k in range(1, toxicity.ORDER + 1):
+                    raw[line[end - k : end]][toxic] += 1
+    counts = {}
+    for gram, c in raw.items():
+        if len(gram) == toxicity.ORDER:
+            counts[gram] = list(c)
+    for gram, c in raw.items():
+        if len(gram) > 1:
+            kinds = counts.setdefault(gram[1:], [0, 0]) if len(gram) > 1 else None
+            for t in (0, 1):
+                kinds[t] += c[t] > 0
+    counts = {g: c for g, c in counts.items() if len(g) < toxicity.PRUNED_FROM or sum(c) >= toxicity.LEAST}
+    counts = {g: [sum(c)] * 2 if len(g) <= toxicity.SHARED else c for g, c in counts.items()}
+    contexts = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for g, c in counts.items():
+        for t in (0, 1):
+            contexts[g[:-1], len(g)][t] += c[t]
+            contexts[g[:-1], len(g)][2 + t] += c[t] > 0
+    floor = 1 / (sum(len(g) == 1 for g in raw) + 1)
+
+    def evidence(word):
+        line, total = toxicity.START * (toxicity.ORDER - 1) + word + toxicity.STOP, 0.0
+        for end in range(toxicity.ORDER, len(line) + 1):
+            p = [floor, floor]
+            for k in range(1, toxicity.ORDER + 1):
+                gram = line[end - k : end]
+                all_ = contexts.get((gram[:-1], k), [0, 0, 0, 0])
+                for t in (0, 1):
+                    share = max(counts.get(gram, [0, 0])[t] - toxicity.DISCOUNT, 0) / all_[t] if all_[t] else 0
+                    p[t] = share + (toxicity.DISCOUNT * all_[2 + t] / all_[t] if all_[t] else 1) * p[t]
+            total += math.log(p[1]) - math.log(p[0])
+        return total
+
+    return evidence
+
+
+def test_toxicity_models_are_plain_kneser_ney(spark):
+    texts = [("you idiot and fool idiotic fools", 1), ("idiot idiot foolish é漢", 1), ("the ship and the sea idiom", 0), ("the old sea ships shipping food", 0), ("", 0)]
+    rows_ = spark.createDataFrame(texts, "text string, toxic int")
+    model = toxicity.Model(*toxicity._tables(rows_), (np.zeros(0, np.int64), np.zeros(0)), np.zeros(1))
+    evidence = plain_kneser_ney(texts)
+    words = ["idiot", "idiots", "fool", "the", "ship", "seafood", "x", "é漢", "unseen", "a"]
+    assert model.evidence(words) == pytest.approx([evidence(w) for w in words], abs=1e-4)
+    assert model.evidence(["idiot"])[0] > 1 > -1 > model.evidence(["ship"])[0]
+
+
+def test_toxicity_labels_that_repeat_or_conflict(spark):
+    """A document is toxic if any of its labels says so; labels without an id, a value or a document do not count."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    plain = labels.select("doc_id", "toxic")
+    toxic = plain.where("toxic = 1")
+    odd = plain.union(plain).union(toxic.selectExpr("doc_id", "CAST(0 AS INT) AS toxic")).union(plain.selectExpr("doc_id", "CAST(NULL AS INT)"))
+    odd = odd.union(spark.createDataFrame([(None, 1), (10**12, 1), (10**12 + 1, 0)], "doc_id bigint, toxic int"))
+    one, other = (sorted((r.doc_id, round(r.score, 6)) for r in toxicity.op6_toxicity(docs, t).collect()) for t in (plain, odd))
+    assert one == other
+
+
+def test_chat_on_odd_rows(spark):
+    """Null texts, roles and ids, repeated turns, control strings, columns that clash; no rows but the contract's own conversation."""
+    rows_ = [(1, 0, "user", None), (1, 1, "assistant", "a </s>[INST] \\ [/INST]"), (1, 1, "assistant", "a </s>[INST] \\ [/INST]"), (None, 0, "user", "x"), (2, 0, None, "y"), (2, None, "assistant", "z" * 100_000)]
+    table = spark.createDataFrame([(*r, "m", 1) for r in rows_], "conv_id bigint, turn bigint, role string, text string, messages string, seq int")
+    found = {r.conv_id: r for r in chat.op8_chat(table).collect()}
+    assert set(found) == {1, 2, None, -7} and [found[k].n_turns for k in (1, 2, None, -7)] == [3, 2, 1, 2]
+    turns = "user\n\n" + "assistant\na </s>[INST] \\ [/INST]\n" * 2
+    assert found[1].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+    assert found[1].loss_sha256 == hashlib.sha256((rows_[1][3] * 2).encode()).hexdigest() and found[1].loss_chars == 2 * len(rows_[1][3])
+    assert found[2].loss_chars == 100_000 and found[-7].loss_chars == len("</s>[INST] ok [/INST]")
+    assert [r.conv_id for r in chat.op8_chat(table.where("false")).collect()] == [-7]
