@@ -47,8 +47,8 @@ SMOOTH = 0.1
 SHARD_TOKENS, SHARDS = 2_000_000, 4096
 #: Tokens among which a shard draws its batches.
 POOL = 1 << 18
-#: Averages are summed in whole multiples of this.
-_UNIT = 2.0**-40
+#: Averages are summed in whole multiples of this; they stay far below 2^27.
+_UNIT = 2.0**-36
 _WORDS_AT_ONCE, _BLOCK_BYTES = 300_000, 4 << 20
 
 
@@ -171,15 +171,15 @@ class Trainer:
         return [np.full(len(x), 1e-2, np.float32) for x in p.parts]
 
     def flat(self) -> np.ndarray:
-        """Parameters and optimiser state as one row of numbers."""
-        return np.concatenate([x.reshape(-1) for x in [*self.p.parts, *self.seen]])
+        """Parameters and the roots of the optimiser's sums, by which it divides its steps, as one row of numbers."""
+        return np.concatenate([x.reshape(-1) for x in [*self.p.parts, *map(np.sqrt, self.seen)]])
 
     @staticmethod
     def unflat(row: np.ndarray, like: Parameters) -> tuple[Parameters, list[np.ndarray]]:
         shapes = [x.shape for x in like.parts] + [(len(x),) for x in like.parts]
         cuts = np.cumsum([int(np.prod(shape)) for shape in shapes])
         found = [x.reshape(shape).astype(np.float32) for x, shape in zip(np.split(row, cuts), shapes)]
-        return Parameters(*found[:4]), found[4:]
+        return Parameters(*found[:4]), [x * x for x in found[4:]]
 
     def _move(self, which: int, table: np.ndarray, index: np.ndarray, gradient: np.ndarray) -> None:
         """Add up gradients by row, then step by AdaGrad with one rate a row."""
