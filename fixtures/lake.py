@@ -12,7 +12,7 @@ from fixtures.pack import known_mint_lines, write_archives
 from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder, Field
 from ledgerlake.operators.known import read_known_mints
 from ledgerlake.operators.records import read_accounts
-from ledgerlake.plans.ingest import publish, read_versions, write_versions
+from ledgerlake.plans.ingest import publish_archives, read_versions, write_versions
 from ledgerlake.plans.scratch import new_folder
 from ledgerlake.schemas import STORED_VERSIONS
 
@@ -68,7 +68,7 @@ class Lake:
     @cached_property
     def published(self) -> str:
         folder = f"{self.root}/published"
-        publish(self.versions, lambda name: f"{folder}/{name}", known=self.known)
+        publish_archives(self.spark, self.archives, lambda name: f"{folder}/{name}", known=self.known)
         return folder
 
     def table(self, name: str) -> DataFrame:

@@ -9,11 +9,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures.lake import DECODERS
+from fixtures.lake import DECODERS, key_of
 from ledgerlake.functions import base58
 from ledgerlake.operators import membership
 from ledgerlake.operators.decoders import DEFAULT_DECODERS, Decoder, Field, first_matches, kept_data, rule_of
-from ledgerlake.operators.filters import SnapshotFilters
+from ledgerlake.operators.filters import SnapshotFilters, accounts
 from ledgerlake.operators.records import read_accounts
 from ledgerlake.plans import ingest
 from ledgerlake.plans.ingest import publish, publish_archives, read_versions, write_versions
@@ -255,6 +255,17 @@ def test_keys_reach_the_walk(spark, archives, column, name):
     assert scan(spark, archives).where(F.col(column) == F.lit(bytearray(b"short"))).count() == 0
 
 
+@pytest.mark.parametrize(
+    "asked",
+    [{"owner": "loader"}, {"hash": "hash:mint:4"}, {"pubkey": "wallet:3"}, {"pubkey": "mint:9", "include_dead": True}, {}],
+)
+def test_filters_from_archives_and_from_versions(spark, lake, asked):
+    filters = SnapshotFilters(**{k: v if k == "include_dead" else base58.encode(key_of(v)) for k, v in asked.items()})
+    pushed = scan(spark, lake.archives).where(filters.predicate())
+    assert "Filter " not in plan(pushed)
+    assert rows(accounts(pushed, SnapshotFilters(include_dead=True))) == rows(accounts(lake.versions, filters))
+
+
 def test_bits_are_compared_as_bits(spark, tmp_path):
     from ledgerlake.schemas import STORED_VERSIONS
     from ledgerlake.sources import register
