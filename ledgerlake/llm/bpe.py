@@ -210,7 +210,11 @@ def _digests(encoder: ByteEncoder, ids: list[int]) -> tuple[int, str, str]:
 
 
 def op3_bpe(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """The contract's digests of the ids and of the text decoded from them."""
+    """The contract's digests of the ids and of the text decoded from them.
+
+    Null and empty texts have no ids and the digests of nothing. Rows that repeat give rows that repeat; texts of any
+    length are encoded whole. No rows give no rows. Other columns are not read.
+    """
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")

@@ -254,7 +254,11 @@ def placed(found: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op10_packing(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """The contract's columns: each piece with its sequence and the offset there."""
+    """The contract's columns: each piece with its sequence and the offset there.
+
+    Null and empty texts are one end each. A text longer than a sequence is cut. Rows that repeat are packed as often as
+    they come; which of equal pieces takes which place does not matter. No rows give no rows. Other columns are not read.
+    """
     import public_tokenizers
 
     path = path or public_tokenizers.path("word_bpe_49k.json")

@@ -171,7 +171,12 @@ def kept_documents(documents: DataFrame) -> DataFrame:
 
 
 def op5_quality(documents: DataFrame) -> DataFrame:
-    """The contract's columns; good, the posterior probability, is one more."""
+    """The contract's columns; good, the posterior probability, is one more.
+
+    Null and empty texts have no words and fail the base rule. Texts of any length are read whole. Rows that repeat are
+    judged alike, and count as often as they come where accuracies are estimated; ties of the odds keep a document.
+    No rows give no rows. Other columns are not read.
+    """
     return judged(documents).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good",
     )

@@ -7,8 +7,8 @@ length-normalised: the mean over all its words, and the largest mean over any ru
 
 Where toxicity is how densely words on a stem come, which ordinary documents have now and then too, no single word
 tells. So n-grams of orders three to six are also counted by the documents in which they are dense: in at least a
-hundredth of the words, and in two. The logarithm of the ratio of a dense n-gram's document shares by class, less two
-standard errors, is its strength; a document's fifth feature is the greatest strength of the n-grams dense in it.
+hundredth of the words, and in three. The logarithm of the ratio of a dense n-gram's document shares by class, less one
+standard error, is its strength; a document's fifth feature is the greatest strength of the n-grams dense in it.
 A logistic curve fitted on labelled rows that the models have not seen turns the five into a score.
 
 The models are fitted on at most SAMPLE labelled rows a class (whole texts), chosen by a hash of the id, so that
@@ -36,7 +36,7 @@ ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 PRUNED_FROM, LEAST = 5, 2
 RUNS = (1, 4, 16)
 #: An n-gram of DENSE_FROM letters or more is dense in a document with this share of its words, and this many, on it.
-DENSE_FROM, DENSE_SHARE, DENSE_WORDS, ERRORS = 3, 0.01, 2, 2.0
+DENSE_FROM, DENSE_SHARE, DENSE_WORDS, ERRORS = 3, 0.01, 3, 1.0
 THRESHOLD = 0.7
 START, STOP = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -426,7 +426,13 @@ def scorer(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
 
 def op6_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns for every row of documents."""
+    """The contract's columns for every row of documents.
+
+    Null and empty texts get a score too, the curve's value where there is no evidence. Rows that repeat get equal
+    scores; a null id counts as the empty text where rows are held out. A document with several labels is toxic if one
+    says so; labels without an id, a value or a document do not count. Texts of any length are read whole. No rows
+    give no rows. Other columns are not read.
+    """
     doc_id = F.col("doc_id").cast("bigint")
     found = documents.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), scorer(documents, labels)(F.col("text")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -350,14 +350,17 @@ def test_toxicity_learns_from_one_side_of_the_split(spark, in_curve):
     assert [found[n].predicted for n in held_out] == [1] * 10 + [0] * 10
 
 
-def test_dense_grams_are_in_two_words_and_a_hundredth():
+def test_dense_grams_are_in_some_words_and_a_share():
     def grams(words):
         return set(toxicity.dense_grams(words).tolist())
 
-    stem = grams(["achlix", "achliy"])
-    assert stem and stem < grams(["achlix"] * 2 + ["achliy"] * 2)
-    assert stem <= grams(["achlix", "achliy"] + ["o"] * 198) and not stem & grams(["achlix", "achliy"] + ["o"] * 199)
-    assert not grams([]) and not grams(["achlix"])
+    few = toxicity.DENSE_WORDS
+    own = [f"achli{c}" for c in "xyzuvw"[:few]]
+    stem = grams(own)
+    assert stem and stem < grams(own * few)
+    most = round(few / toxicity.DENSE_SHARE)
+    assert stem <= grams(own + ["o"] * (most - few)) and not stem & grams(own + ["o"] * (most + 1 - few))
+    assert not grams([]) and not grams(own[: few - 1])
 
 
 VECTORS = [(0, [1.0, 0.5]), (50, [0.25, -1.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [None, 1.0]), (100, [float("nan"), 1.0]),
