@@ -19,31 +19,45 @@ from ledgerlake.plans.ship import ship_code
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed votes of the quality rules keep."""
+    """Documents that the weighed votes of the quality rules keep.
+
+    Null and empty texts go (no word); copies are judged alike; very long texts are read whole; no rows give no rows.
+    Column names and types do not matter, here and in the stages below.
+    """
     ship_code(spark)
     return kept_documents(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold; the models learn from those labelled rows that are among docs."""
+    """Documents below the toxicity threshold; the models learn from those labelled rows that are among docs.
+
+    Null and empty texts have no evidence and stay unless the curve says otherwise there; copies stay or go together;
+    with fewer than two labelled rows of a class all stay; no rows give no rows.
+    """
     ship_code(spark)
     return not_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints link: three-word shingles, three bits at most."""
+    """One document of each group whose SimHash fingerprints link: three-word shingles, three bits at most.
+
+    The least id stays, of rows that repeat it the least text. Null and empty texts are one group; no rows give no rows.
+    """
     ship_code(spark)
     return one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by its kind and n_chars counted again."""
+    """All documents, with every secret replaced by its kind and n_chars counted again.
+
+    Null texts stay null; copies are scanned once and masked alike; a text without a find is as it was.
+    """
     ship_code(spark)
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids with their places in packed sequences."""
+    """Pieces of the documents' ids with their places in packed sequences; null and empty texts are one end each."""
     ship_code(spark)
     return op10_packing(docs)
 
