@@ -115,7 +115,8 @@ def read_accounts(
     large = too_large_for_one_task(archives, cores)
     parts = []
     if len(large) < len(archives) or not archives:
-        small = paths if not large else [uri for uri, _ in archives if uri not in dict(large)]
+        apart = {uri for uri, _ in large}
+        small = paths if not large else [uri for uri, _ in archives if uri not in apart]
         reader = _accounts_reader(spark, pick(schema, *columns), decoders, filters, kind, mode)
         parts.append(reader.option("onlyKeptData", str(decoded_only).lower()).load(small))
     if large:

@@ -141,7 +141,8 @@ def _sink_rows(spark: SparkSession, path: str | Sequence[str], kind: str) -> Dat
     large = too_large_for_one_task(archives, cores)
     parts = []
     if len(large) < len(archives) or not archives:
-        small = [uri for uri, _ in archives if uri not in dict(large)] if large else paths
+        apart = {uri for uri, _ in large}
+        small = [uri for uri, _ in archives if uri not in apart] if large else paths
         listed = spark.read.format("ledger_archives").option("kind", kind).option("minPartitions", cores)
         parts.append(as_archives(listed.load(small)))
     if large:
