@@ -278,3 +278,55 @@ def test_bits_are_compared_as_bits(spark, tmp_path):
     plain = scan(spark, str(tmp_path))
     assert plain.where("lamports > 9223372036854775807").count() == 1 and plain.where("lamports = -1").count() == 0
     assert plain.where("lamports < 5.5").count() == 1 and plain.where("lamports <> 18446744073709551616").count() == 2
+
+
+# Two-phase commit, attempt by attempt
+
+
+def writer_of(tmp_path, archives, **more):
+    from pyspark.sql.types import StructType
+
+    from ledgerlake.sources import tables
+
+    names = ("accounts", "mints", "token_accounts", *(("rejected",) if more.get("drop_malformed") else ()))
+    plan = tables.plan_of({n: f"{tmp_path}/out/{n}" for n in names}, list(DEFAULT_DECODERS), [], None, more.get("drop_malformed", False), f"{tmp_path}/summary.json")
+    return tables.TablesWriter(StructType.fromDDL(tables.SINK), plan, True)
+
+
+def names_batch(*uris):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from ledgerlake.sources.tables import SINK
+
+    schema = to_arrow_schema(StructType.fromDDL(SINK))
+    return pa.RecordBatch.from_pylist([{"uri": u} for u in uris], schema=schema)
+
+
+def test_only_accepted_attempts_are_seen(spark, archives, tmp_path):
+    """A task tried twice, as by speculation: nothing is visible before the commit, and then one attempt's rows."""
+    from ledgerlake.sources.tables import written_counts
+
+    writer = writer_of(tmp_path, archives)
+    lost = writer.write(iter([names_batch(f"{archives}/snapshot-0.tar.zst")]))
+    kept = writer.write(iter([names_batch(f"{archives}/snapshot-0.tar.zst")]))
+    other = writer.write(iter([names_batch(f"{archives}/snapshot-1.tar.zst", f"{archives}/snapshot-2.tar.zst")]))
+    empty = writer.write(iter([]))
+    assert visible(tmp_path / "out") == [] and lost.files["accounts"] != kept.files["accounts"] and empty.files == {}
+    writer.commit([kept, other, empty, None])
+    assert pq.read_table(f"{tmp_path}/out/token_accounts").num_rows == 3 * 8
+    assert written_counts(f"{tmp_path}/summary.json").archives == 3
+    assert len(visible(tmp_path / "out")) == 6 and not glob.glob(f"{tmp_path}/out/*/_*")
+    writer_of(tmp_path, archives).commit([])
+    assert pq.read_table(f"{tmp_path}/out/token_accounts").num_rows == 0
+
+
+def test_an_aborted_write_leaves_what_was_there(spark, archives, tmp_path):
+    first = writer_of(tmp_path, archives)
+    first.commit([first.write(iter([names_batch(f"{archives}/snapshot-0.tar.zst")]))])
+    before = sorted(visible(tmp_path / "out"))
+    second = writer_of(tmp_path, archives)
+    message = second.write(iter([names_batch(f"{archives}/snapshot-1.tar.zst")]))
+    second.abort([message, None])
+    assert sorted(visible(tmp_path / "out")) == before and not glob.glob(f"{tmp_path}/out/*/_*")
