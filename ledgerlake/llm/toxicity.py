@@ -192,9 +192,9 @@ class Model:
             if k >= DENSE_FROM and dense.missing:
                 place = dense.of(keys)
                 hit = np.flatnonzero(place != dense.missing)
-                found.append(np.column_stack([np.searchsorted(starts, hit, side="right") - 1, place[hit]]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return np.add.reduceat(np.log(p[:, 0]) - np.log(p[:, 1]), starts), pairs[:, 0], pairs[:, 1]
+                found.append((np.searchsorted(starts, hit, side="right") - 1) * dense.missing + place[hit])
+        owner, place = np.divmod(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), max(dense.missing, 1))
+        return np.add.reduceat(np.log(p[:, 0]) - np.log(p[:, 1]), starts), owner, place
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each word."""
