@@ -41,7 +41,7 @@ THRESHOLD = 0.7
 START, STOP = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose evidence a task remembers; texts that are worked out at once, in bytes, unless one is larger; new words at once.
-_WORDS_KEPT, _BLOCK_BYTES, _NEW_WORDS = 500_000, 4 << 20, 20_000
+_WORDS_KEPT, _BLOCK_BYTES, _NEW_WORDS = 500_000, 1 << 20, 20_000
 
 
 def lower_bytes(text: str | None) -> list[bytes]:
