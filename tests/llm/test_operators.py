@@ -99,6 +99,18 @@ def test_simhash(spark, documents, empty):
     assert list(left[0].asDict()) == documents.columns
 
 
+def planned(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_meet_without_a_broadcast(spark):
+    prints = [0, 1, 7, 15, 255, -1, -2]
+    pairs = simhash.close_pairs(simhash.stored(spark.createDataFrame([(p,) for p in prints], "print bigint"), "prints"))
+    assert "Broadcast" not in planned(pairs)
+    near = {(u, v) for u in prints for v in prints if u < v and ((u ^ v) & 2**64 - 1).bit_count() <= 3}
+    assert sorted((r.u, r.v) for r in pairs.collect()) == sorted(near)
+
+
 def test_simhash_on_the_given_documents(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in table.collect()}
