@@ -111,6 +111,13 @@ def test_fingerprints_meet_without_a_broadcast(spark):
     assert sorted((r.u, r.v) for r in pairs.collect()) == sorted(near)
 
 
+def test_ids_that_go_are_found_without_a_broadcast(spark):
+    found = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 3), (None, 3), (4, None)], "doc_id bigint, component_id bigint")
+    dropped = simhash.dropped_ids(simhash.stored(found, "duplicates"))
+    assert "Broadcast" not in planned(dropped)
+    assert sorted(r.doc_id for r in dropped.collect()) == [2, 4]  # null ids: component 4 keeps one
+
+
 def test_simhash_on_the_given_documents(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in table.collect()}
