@@ -34,7 +34,7 @@ def archives_under(folder: str) -> list[str]:
     return [file for _, _, files in os.walk(folder) for file in files if file.endswith(".tar.zst")]
 
 
-@pytest.mark.parametrize("name", ["accounts_all_versions", "describe_accounts", "token_accounts_all", ])
+@pytest.mark.parametrize("name", ["accounts_all_versions", "describe_accounts", "token_accounts_all", "option_fields"])
 def test_versions_are_read_without_keeping_archives_or_versions(passing, rows_of, name):
     kept, passed = rows_of(name)
     assert kept == passed and kept
