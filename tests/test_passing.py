@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 
 from catalog.queries import QUERIES
-from conftest import SF_DIR
+from conftest import SF_DIR, key
 from fixtures import lake as lakes
+from ledgerlake.operators.known import only_known
+from ledgerlake.operators.membership import only_listed
 from ledgerlake.plans.scratch import new_folder
 
 
@@ -34,9 +36,19 @@ def archives_under(folder: str) -> list[str]:
     return [file for _, _, files in os.walk(folder) for file in files if file.endswith(".tar.zst")]
 
 
-@pytest.mark.parametrize("name", ["accounts_all_versions", "describe_accounts", "token_accounts_all", "option_fields"])
+@pytest.mark.parametrize("name", ["accounts_all_versions", "describe_accounts", "token_accounts_all", "option_fields", "token_accounts_verified"])
 def test_versions_are_read_without_keeping_archives_or_versions(passing, rows_of, name):
     kept, passed = rows_of(name)
     assert kept == passed and kept
     left = os.listdir(passing.root) if os.path.isdir(passing.root) else []
     assert not {x for x in left if x.startswith(("archives", "headers", "decoded"))}
+
+
+def test_a_long_list_is_a_filter_before_the_join(spark):
+    known = spark.createDataFrame([(bytearray(key(f"k{n}")),) for n in range(40)] + [(bytearray(b"short"),)], "pubkey binary")
+    cells = [key(f"k{n}") for n in range(0, 80, 3)] * 2 + [None, b"short", b"other"]
+    rows = spark.createDataFrame([(None if c is None else bytearray(c), n) for n, c in enumerate(cells)], "mint binary, n int")
+    found = only_listed(rows, rows["mint"], known, broadcast_keys=3)
+    assert "may" not in found.columns and "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    expected = [r.n for r in only_known(rows, rows["mint"], known).collect()]
+    assert sorted(r.n for r in found.collect()) == sorted(expected) and len(expected) == 2 * 14 + 1
