@@ -44,6 +44,13 @@ def test_versions_are_read_without_keeping_archives_or_versions(passing, rows_of
     assert not {x for x in left if x.startswith(("archives", "headers", "decoded"))}
 
 
+@pytest.mark.parametrize("name", ["sql_cube_accounts"])
+def test_tables_are_published_without_keeping_archives(passing, rows_of, name):
+    kept, passed = rows_of(name)
+    assert kept == passed and kept
+    assert not os.path.exists(f"{passing.root}/archives") and not archives_under(passing.root)
+
+
 def test_a_long_list_is_a_filter_before_the_join(spark):
     known = spark.createDataFrame([(bytearray(key(f"k{n}")),) for n in range(40)] + [(bytearray(b"short"),)], "pubkey binary")
     cells = [key(f"k{n}") for n in range(0, 80, 3)] * 2 + [None, b"short", b"other"]
