@@ -10,7 +10,7 @@ from conftest import SF_DIR, key
 from fixtures import lake as lakes
 from ledgerlake.operators.known import only_known
 from ledgerlake.operators.membership import only_listed
-from ledgerlake.plans.scratch import new_folder
+from ledgerlake.plans.scratch import new_folder, shuffles_removed
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_versions_are_read_without_keeping_archives_or_versions(passing, rows_of
     assert not {x for x in left if x.startswith(("archives", "headers", "decoded"))}
 
 
-@pytest.mark.parametrize("name", ["sql_cube_accounts"])
+@pytest.mark.parametrize("name", ["sql_cube_accounts", "sql_scalar_subquery"])
 def test_tables_are_published_without_keeping_archives(passing, rows_of, name):
     kept, passed = rows_of(name)
     assert kept == passed and kept
@@ -59,3 +59,16 @@ def test_a_long_list_is_a_filter_before_the_join(spark):
     assert "may" not in found.columns and "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
     expected = [r.n for r in only_known(rows, rows["mint"], known).collect()]
     assert sorted(r.n for r in found.collect()) == sorted(expected) and len(expected) == 2 * 14 + 1
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def files() -> int:
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return sum(f.startswith("shuffle_") for folder in folders for _, _, names in os.walk(folder.getPath()) for f in names)
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting, None)
+    with shuffles_removed(spark):
+        spark.range(1000).groupBy("id").count().write.parquet(new_folder(spark, "shuffled"))
+        assert files() <= before
+    assert spark.conf.get(setting, None) == was
