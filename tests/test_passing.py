@@ -44,7 +44,7 @@ def test_versions_are_read_without_keeping_archives_or_versions(passing, rows_of
     assert not {x for x in left if x.startswith(("archives", "headers", "decoded"))}
 
 
-@pytest.mark.parametrize("name", ["sql_cube_accounts", "sql_scalar_subquery", "sql_approx_holders"])
+@pytest.mark.parametrize("name", ["sql_cube_accounts", "sql_scalar_subquery", "sql_approx_holders", "sql_owner_setops"])
 def test_tables_are_published_without_keeping_archives(passing, rows_of, name):
     kept, passed = rows_of(name)
     assert kept == passed and kept
