@@ -10,7 +10,7 @@ from conftest import SF_DIR, key
 from fixtures import lake as lakes
 from ledgerlake.operators.known import only_known
 from ledgerlake.operators.membership import only_listed
-from ledgerlake.plans.scratch import new_folder, shuffles_removed
+from ledgerlake.plans.scratch import new_folder, scratch_root, shuffles_removed
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,20 @@ def test_tables_are_published_without_keeping_archives(passing, rows_of, name):
     assert not os.path.exists(f"{passing.root}/archives") and not archives_under(passing.root)
 
 
+def test_archives_land_by_and_by(spark, passing, rows_of):
+    shares = [len(archives_under(folder)) for folder in passing.landings()]
+    assert shares == [1] * passing.count
+    kept, passed = rows_of("stream_accounts")
+    assert kept == passed and kept
+    assert not [f for f in os.listdir(scratch_root(spark)) if f.startswith(("landing-", "passing-")) and archives_under(f"{scratch_root(spark)}/{f}")]
+
+
+def test_archives_that_are_kept_are_read(spark):
+    one = lakes.Lake(spark, SF_DIR, new_folder(spark, "kept-ledger"), kept=2)
+    assert len(archives_under(one.archives)) == one.count > one.kept
+    assert list(one.landings()) == [one.archives] and len(archives_under(one.archives)) == one.count
+
+
 def test_a_long_list_is_a_filter_before_the_join(spark):
     known = spark.createDataFrame([(bytearray(key(f"k{n}")),) for n in range(40)] + [(bytearray(b"short"),)], "pubkey binary")
     cells = [key(f"k{n}") for n in range(0, 80, 3)] * 2 + [None, b"short", b"other"]
