@@ -51,12 +51,34 @@ def test_tables_are_published_without_keeping_archives(passing, rows_of, name):
     assert not os.path.exists(f"{passing.root}/archives") and not archives_under(passing.root)
 
 
+def left_in(root: str) -> set[str]:
+    return {f for f in os.listdir(root) if f.startswith(("landing-", "passing-")) and archives_under(f"{root}/{f}")}
+
+
 def test_archives_land_by_and_by(spark, passing, rows_of):
+    before = left_in(scratch_root(spark))
     shares = [len(archives_under(folder)) for folder in passing.landings()]
     assert shares == [1] * passing.count
     kept, passed = rows_of("stream_accounts")
     assert kept == passed and kept
-    assert not [f for f in os.listdir(scratch_root(spark)) if f.startswith(("landing-", "passing-")) and archives_under(f"{scratch_root(spark)}/{f}")]
+    assert left_in(scratch_root(spark)) == before
+
+
+def test_what_passes_is_removed_when_a_query_fails(spark, monkeypatch):
+    def failing(_, archives, *others, **options):
+        places = [r.uri for r in archives.collect()]
+        assert len(places) == one.count and all(map(os.path.exists, places))
+        raise RuntimeError("no tables")
+
+    monkeypatch.setattr(lakes, "publish_archives", failing)
+    before = left_in(scratch_root(spark))
+    one = lakes.Lake(spark, SF_DIR, new_folder(spark, "failing-ledger"), kept=2)
+    with pytest.raises(RuntimeError, match="no tables"):
+        _ = one.published
+    for folder in one.landings():
+        assert archives_under(folder)
+        break
+    assert left_in(scratch_root(spark)) == before
 
 
 def test_archives_that_are_kept_are_read(spark):
